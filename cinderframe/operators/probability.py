@@ -114,18 +114,20 @@ def hard_prediction(p: Column, threshold: float) -> Column:
 def linear_probability(rows: DataFrame, ids: Sequence[str], coefficients: DataFrame) -> DataFrame:
     """Score rows with a table ``model, feature, mean, scale, coef, intercept``.
 
-    The table has one row per model and feature. It is folded to one row per
-    model (a map of features), so rows are joined once and never unpivoted.
+    The table has one row per model and feature, so it is small whatever the
+    rows: it becomes one scalar (an array of models, each a map of features) and
+    the rows are neither joined nor unpivoted.
     """
     terms = F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "scale", "coef"))))
-    models = coefficients.groupBy("model").agg(terms.alias("terms"), F.max("intercept").alias("intercept"))
-    features = [c for c in rows.columns if c not in ids]
-    z = F.col("intercept")
-    for name in features:
-        term = F.col("terms")[name]
+    per_model = coefficients.groupBy("model").agg(terms.alias("terms"), F.max("intercept").alias("intercept"))
+    models = per_model.agg(F.collect_list(F.struct("model", "terms", "intercept"))).scalar()
+    scored = rows.withColumn("__models", models).withColumn("__m", F.explode("__models"))
+    z = F.col("__m.intercept")
+    for name in (c for c in rows.columns if c not in ids):
+        term = F.col("__m.terms")[name]
         centred = (F.col(name).cast("double") - term["mean"]) / F.when(term["scale"] != 0, term["scale"]).otherwise(1.0)
         z = z + F.coalesce(term["coef"] * centred, F.lit(0.0))
-    return rows.join(models, "model").select(*ids, (1 / (1 + F.exp(-z))).alias("p"))
+    return scored.select(*ids, F.col("__m.model").alias("model"), (1 / (1 + F.exp(-z))).alias("p"))
 
 
 def foreign_probability(load_model, features: Sequence[str]) -> Column:
