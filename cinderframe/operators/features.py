@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinderframe.functions.joins import join_metadata
 from cinderframe.operators.cells import composite_flammability
 
 # The ten base features, in order.
@@ -58,7 +59,7 @@ def assemble(
     if "material_class" in SCHEMAS[schema]:
         static.append("material_class")
     wind = encode_wind(winds).select("run_id", "wind_speed", "wind_sin", "wind_cos")
-    joined = rows.join(env.select("r", "c", *static), ["r", "c"]).join(wind, "run_id")
+    joined = join_metadata(rows.join(env.select("r", "c", *static), ["r", "c"]), wind, ["run_id"])
     if "wind_weighted_score" not in rows.columns:
         joined = joined.withColumn("wind_weighted_score", F.lit(0.0))
     joined = joined.withColumns(

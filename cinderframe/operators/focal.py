@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cinderframe.functions.columns import BLAZING, clip, struct_array
 from cinderframe.functions.grid import Grid
+from cinderframe.functions.joins import join_metadata
 from cinderframe.operators.cells import base_probability
 
 NEIGHBOURS = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)]
@@ -85,11 +86,10 @@ def neighbour_scores(
 ) -> DataFrame:
     """Blazing-neighbour count and normalised wind-weighted score per target cell.
 
-    Cost is 8 x blazing rows. The winds table has one row per run; the join is
-    left to the planner, which broadcasts it only below its size threshold.
+    Cost is 8 x blazing rows, whatever the size of the grid.
     """
     winds = with_kernel(winds, wind_weight).select(wind_key, "kernel", "kernel_sum")
-    blazing = snapshots.filter(F.col("state") == BLAZING).select(*keys, "r", "c").join(winds, wind_key)
+    blazing = join_metadata(snapshots.filter(F.col("state") == BLAZING).select(*keys, "r", "c"), winds, [wind_key])
     targets = scatter(blazing, F.col("kernel"), [*keys, "kernel_sum"], grid)
     return (
         targets.groupBy(*keys, "r", "c")

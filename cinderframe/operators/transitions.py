@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderframe.functions.columns import BLAZING, IGNITED, NOT_YET_BURNING, is_active, is_reached
+from cinderframe.functions.columns import IGNITED, NOT_YET_BURNING, is_active, is_reached
 from cinderframe.functions.grid import Grid
-from cinderframe.operators.focal import with_kernel
+from cinderframe.functions.joins import join_metadata
+from cinderframe.operators.focal import neighbour_scores
 
 # Names of states 1 to 5 in a count report, and run statuses.
 STATE_NAMES = {1: "non_burnable", 2: "not_yet_burning", 3: "ignited", 4: "blazing", 5: "extinguished"}
@@ -38,59 +39,34 @@ def susceptible(df: DataFrame) -> DataFrame:
 
 
 def label_transitions(
-    snapshots: DataFrame, winds: DataFrame, grid: Grid | None = None, *, wind_weight: float = 0.20
+    snapshots: DataFrame,
+    winds: DataFrame,
+    grid: Grid | None = None,
+    *,
+    run_log: DataFrame | None = None,
+    wind_weight: float = 0.20,
 ) -> DataFrame:
     """Labelled candidates: cells that could ignite at ``step`` and whether they did.
 
-    One scan and one shuffle: a blazing row emits its 8 weighted targets, an
-    unburnt row marks itself as a candidate, a newly ignited row marks the step
-    before. They meet in a single ``groupBy`` on the cell. Steps whose successor
-    was not recorded have no label and are dropped.
+    The neighbour scores, the unburnt cells and the newly ignited cells are
+    partitioned alike, so each is shuffled once. Scores and ignitions follow the
+    fire front and are the hashed sides; the dense unburnt cells stream past
+    without being sorted. Steps whose successor was not recorded have no label;
+    ``run_log`` (one row per run and step) saves reading them off the snapshots.
     """
-    winds = with_kernel(winds, wind_weight).select("run_id", "kernel", "kernel_sum")
-    live = snapshots.filter(F.col("state").isin(NOT_YET_BURNING, IGNITED, BLAZING)).join(winds, "run_id")
-    state = F.col("state")
-
-    def message(r: Column, c: Column, step: Column, weight: Column, code: int) -> Column:
-        return F.struct(
-            r.alias("r"), c.alias("c"), step.alias("step"), weight.alias("weight"), F.lit(code).alias("kind")
-        )
-
-    r, c, step, none = F.col("r"), F.col("c"), F.col("step"), F.lit(0.0)
-    neighbours = F.transform(
-        "kernel", lambda k: message(r - k["dr"], c - k["dc"], step, k["weight"], BLAZING)
+    keys = ["run_id", "step", "r", "c"]
+    scores = neighbour_scores(snapshots, winds, grid, wind_weight=wind_weight)
+    unburnt = snapshots.filter(F.col("state") == NOT_YET_BURNING).select(*keys)
+    ignited = snapshots.filter(F.col("state") == IGNITED).select(
+        "run_id", (F.col("step") - 1).alias("step"), "r", "c", F.lit(1).alias("ignited")
     )
-    emitted = (
-        F.when(state == BLAZING, neighbours)
-        .when(state == NOT_YET_BURNING, F.array(message(r, c, step, none, NOT_YET_BURNING)))
-        .otherwise(F.array(message(r, c, step - 1, none, IGNITED)))
-    )
-    rows = live.select("run_id", "kernel_sum", F.explode(emitted).alias("m")).select("run_id", "kernel_sum", "m.*")
-    if grid:
-        rows = rows.filter(grid.contains(F.col("r"), F.col("c")))
-    kind = F.col("kind")
-    cells = rows.groupBy("run_id", "step", "r", "c").agg(
-        F.count_if(kind == BLAZING).alias("neighbor_burning_count"),
-        F.sum("weight").alias("wind_score"),
-        F.max("kernel_sum").alias("kernel_sum"),
-        F.bool_or(kind == NOT_YET_BURNING).alias("candidate"),
-        F.bool_or(kind == IGNITED).cast("int").alias("ignited"),
-    )
-    recorded = snapshots.groupBy("run_id", "step").agg(F.lit(1).alias("seen"))
-    labelled_steps = recorded.select("run_id", (F.col("step") - 1).alias("step"))
-    return (
-        cells.filter("candidate and neighbor_burning_count > 0")
-        .join(labelled_steps, ["run_id", "step"], "left_semi")
-        .select(
-            "run_id",
-            "step",
-            "r",
-            "c",
-            "neighbor_burning_count",
-            (F.col("wind_score") / F.col("kernel_sum")).alias("wind_weighted_score"),
-            "ignited",
-        )
+    recorded = snapshots if run_log is None else run_log
+    labelled_steps = recorded.select("run_id", (F.col("step") - 1).alias("step")).distinct()
+    candidates = unburnt.join(scores.hint("shuffle_hash"), keys)
+    labelled = candidates.join(ignited.hint("shuffle_hash"), keys, "left").select(
+        *keys, "neighbor_burning_count", "wind_weighted_score", F.coalesce("ignited", F.lit(0)).alias("ignited")
     )
+    return join_metadata(labelled, labelled_steps, ["run_id", "step"], "left_semi")
 
 
 def as_of_steps(run_log: DataFrame, requested: Sequence[int]) -> DataFrame:
@@ -110,7 +86,7 @@ def as_of_steps(run_log: DataFrame, requested: Sequence[int]) -> DataFrame:
 def as_of_snapshots(snapshots: DataFrame, run_log: DataFrame, requested: Sequence[int]) -> DataFrame:
     """Cell states at each requested horizon; a run that ended early keeps its last state."""
     steps = as_of_steps(run_log, requested).withColumn("step", F.col("actual_step"))
-    return snapshots.join(steps, ["run_id", "step"]).drop("step")
+    return join_metadata(snapshots, steps, ["run_id", "step"]).drop("step")
 
 
 def first_passing_step(growth: DataFrame, target_cells: Column, keys: Sequence[str] = ("run_id",)) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderframe.functions.grid import Grid
+from cinderframe.functions.joins import inline_table
 from cinderframe.operators.cells import environment
 from cinderframe.operators.features import assemble
 from cinderframe.operators.focal import neighbour_scores
@@ -104,7 +105,13 @@ class Tables:
 
     @property
     def winds(self) -> DataFrame:
-        return self.spark.createDataFrame(WINDS, "run_id int, speed_kmh double, direction_deg double")
+        return inline_table(self.spark, ["run_id", "speed_kmh", "direction_deg"], WINDS)
+
+    @property
+    def run_log(self) -> DataFrame:
+        """``run_id, step``: what was recorded."""
+        steps = F.explode(F.sequence(F.lit(0), F.lit(LAST_STEP)))
+        return self.winds.select("run_id", steps.alias("step"))
 
     @property
     def focal(self) -> DataFrame:
@@ -112,7 +119,7 @@ class Tables:
 
     @property
     def transitions(self) -> DataFrame:
-        return label_transitions(self.snapshots, self.winds, self.grid)
+        return label_transitions(self.snapshots, self.winds, self.grid, run_log=self.run_log)
 
     def training(self, schema: str = "B") -> DataFrame:
         return assemble(self.transitions, self.env, self.winds, schema)
