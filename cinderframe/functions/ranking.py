@@ -39,10 +39,11 @@ def running_sums(
     if len(levels) == 1:
         return df.withColumns(own)
     totals = df.groupBy(*bucket).agg(*[F.sum(m).alias(m) for m in measures])
-    offsets = running_sums(totals, keys, levels[:-1], measures, descending=descending, suffix="__off").drop(*measures)
+    off = f"__off{len(levels)}"
+    offsets = running_sums(totals, keys, levels[:-1], measures, descending=descending, suffix=off).drop(*measures)
     out = df.withColumns(own).join(offsets, bucket)
-    return out.withColumns({m + suffix: F.col(m + suffix) + F.col(m + "__off") for m in measures}).drop(
-        *[m + "__off" for m in measures]
+    return out.withColumns({m + suffix: F.col(m + suffix) + F.col(m + off) for m in measures}).drop(
+        *[m + off for m in measures]
     )
 
 

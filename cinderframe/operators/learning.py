@@ -12,7 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -178,8 +178,13 @@ def coefficient_table(model: PipelineModel, features: Sequence[str], spark) -> D
 
 
 def rank_features(coefficients: DataFrame) -> DataFrame:
-    """Features by falling absolute coefficient (one row per feature)."""
-    return coefficients.orderBy(F.col("abs_coef").desc(), "feature")
+    """Features numbered by falling absolute coefficient (one row per feature).
+
+    Sizes that agree to 9 places tie and are ordered by name, so that the last
+    bit of a sum does not decide.
+    """
+    order = Window.orderBy(F.round("abs_coef", 9).desc(), "feature")
+    return coefficients.withColumn("rank", F.row_number().over(order))
 
 
 def evaluate(scored: DataFrame, label: str = TARGET, p: str = "p", cutoff: float | None = None) -> dict[str, float]:

@@ -39,6 +39,28 @@ def roc_auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) ->
     )
 
 
+def feature_auc(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Exact ROC AUC of each feature on its own, whatever its range.
+
+    The buckets come from the value's place between the feature's minimum and
+    maximum; the order inside a bucket is by the value itself.
+    """
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
+    y = F.col(label).cast("bigint")
+    long = df.select(y.alias("y"), F.explode(pairs).alias("p")).select("y", "p.*")
+    counts = long.groupBy("feature", "value").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    # One row per feature of the schema.
+    ranges = F.broadcast(counts.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
+    span = F.col("hi") - F.col("lo")
+    unit = F.when(span > 0, (F.col("value") - F.col("lo")) / F.when(span > 0, span)).otherwise(0.0)
+    placed = counts.join(ranges, "feature").withColumn("__unit", unit)
+    levels = unit_levels("__unit")
+    ranked = running_sums(placed.withColumns(levels), ["feature"], [*levels, "value"], ["neg"])
+    wins = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2))
+    pairs_total = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return ranked.groupBy("feature").agg((wins / F.when(pairs_total > 0, pairs_total)).alias("roc_auc"))
+
+
 def average_precision(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Step-wise average precision over distinct scores, highest first."""
     counts, levels = _score_counts(df, label, score, keys)
@@ -102,6 +124,21 @@ def best_cutoff(sweep: DataFrame, keys: Sequence[str] = (), fallback: float = 0.
     )
 
 
+def best_trials(results: DataFrame, keys: Sequence[str], trial: str, value: str) -> DataFrame:
+    """First trial with the highest value, and whether it lies in the first half of the search."""
+    best = results.groupBy(*keys).agg(
+        F.max_by(F.struct(trial, value), F.struct(F.col(value), -F.col(trial))).alias("b"),
+        F.count(F.lit(1)).alias("trials"),
+    )
+    return best.select(
+        *keys,
+        F.col(f"b.{trial}").alias("best_trial"),
+        F.col(f"b.{value}").alias("best_value"),
+        "trials",
+        (F.col(f"b.{trial}") < F.col("trials") * 0.5).alias("converged_early"),
+    )
+
+
 def gate(p: Column, threshold: float) -> Column:
     """Keep ``p`` at or above the threshold, else 0; a threshold of 0 is off."""
     return F.when(p >= F.lit(threshold), p).otherwise(F.lit(0.0)) if threshold > 0 else p
