@@ -190,19 +190,22 @@ def rank_features(coefficients: DataFrame) -> DataFrame:
 def evaluate(scored: DataFrame, label: str = TARGET, p: str = "p", cutoff: float | None = None) -> dict[str, float]:
     """Cutoff (best of 16 unless given), precision, recall, F1, Jaccard and AUC.
 
-    Everything collected is one row of counts.
+    Everything collected is one row of counts. The scores are cached while the
+    three aggregations read them, so the model runs once.
     """
-    if cutoff is None:
-        sweep = cutoff_counts(scored, label, p)
-        best = best_cutoff(sweep).first()
-        cutoff = best["best_cutoff"]
-    counts = cutoff_counts(scored, label, p, cutoffs=[cutoff]).first()
+    cached = scored.select(label, p).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if cutoff is None:
+            cutoff = best_cutoff(cutoff_counts(cached, label, p)).first()["best_cutoff"]
+        counts = cutoff_counts(cached, label, p, cutoffs=[cutoff]).first()
+        auc = roc_auc(cached, label, p).first()["roc_auc"]
+    finally:
+        cached.unpersist()
     tp, fp, fn = counts["tp"], counts["fp"], counts["fn"]
 
     def part(a: float, b: float) -> float:
         return a / b if b else 0.0
 
-    auc = roc_auc(scored, label, p).first()["roc_auc"]
     return {
         "cutoff": float(cutoff),
         "precision": part(tp, tp + fp),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -174,11 +174,11 @@ def foreign_probability(load_model, features: Sequence[str]) -> Column:
     """
 
     @F.pandas_udf("double")
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterable[pd.Series]:
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         model = load_model()
         if not callable(getattr(model, "predict_proba", None)):
             raise TypeError("the model must provide predict_proba")
         for batch in batches:
             yield pd.Series(model.predict_proba(batch[list(features)].to_numpy())[:, 1])
 
-    return predict(F.struct(*[F.col(f).cast("double") for f in features]))
+    return predict(F.struct(*[F.col(f).cast("double").alias(f) for f in features]))
