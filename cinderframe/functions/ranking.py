@@ -23,12 +23,15 @@ def running_sums(
     measures: Sequence[str],
     *,
     descending: bool = False,
+    totals: bool = False,
     suffix: str = "_before",
 ) -> DataFrame:
     """Add, per measure, its sum over the rows that come before in the group.
 
     ``levels`` are columns in lexicographic order; each is a monotone
     refinement of the one before it. Rows must be unique on ``keys + levels``.
+    With ``totals`` the group's sum is added as ``<measure>_total``; it comes
+    from the coarsest buckets, so it costs no other pass.
     """
     keys, levels = list(keys), list(levels)
     bucket, last = keys + levels[:-1], levels[-1]
@@ -37,11 +40,13 @@ def running_sums(
     zero = F.lit(0).cast("bigint")
     own = {m + suffix: F.coalesce(F.sum(m).over(window), zero) for m in measures}
     if len(levels) == 1:
+        if totals:
+            own |= {m + "_total": F.sum(m).over(Window.partitionBy(*keys)) for m in measures}
         return df.withColumns(own)
-    totals = df.groupBy(*bucket).agg(*[F.sum(m).alias(m) for m in measures])
     off = f"__off{len(levels)}"
-    offsets = running_sums(totals, keys, levels[:-1], measures, descending=descending, suffix=off).drop(*measures)
-    out = df.withColumns(own).join(offsets, bucket)
+    buckets = df.groupBy(*bucket).agg(*[F.sum(m).alias(m) for m in measures])
+    offsets = running_sums(buckets, keys, levels[:-1], measures, descending=descending, totals=totals, suffix=off)
+    out = df.withColumns(own).join(offsets.drop(*measures), bucket)
     return out.withColumns({m + suffix: F.col(m + suffix) + F.col(m + off) for m in measures}).drop(
         *[m + off for m in measures]
     )
@@ -54,11 +59,17 @@ def ordinal(
     tail: Sequence[str | Column],
     *,
     name: str = "rank",
+    total: str | None = None,
 ) -> DataFrame:
-    """Exact ``row_number`` (from 1) per ``keys``, ordered by ``levels`` and then ``tail``."""
+    """Exact ``row_number`` (from 1) per ``keys``, ordered by ``levels`` and then ``tail``.
+
+    ``total`` names a column for the size of the row's group.
+    """
     bucket = [*keys, *levels]
     counts = df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = running_sums(counts, keys, levels, ["__n"]).select(*bucket, "__n_before")
+    offsets = running_sums(counts, keys, levels, ["__n"], totals=total is not None).drop("__n")
+    if total:
+        offsets = offsets.withColumnRenamed("__n_total", total)
     window = Window.partitionBy(*bucket).orderBy(*tail)
     ranked = df.withColumn("__own", F.row_number().over(window)).join(offsets, bucket)
     return ranked.withColumn(name, F.col("__own") + F.col("__n_before")).drop("__own", "__n_before")
@@ -70,11 +81,19 @@ def hash_levels(hash_column: str, digits: Sequence[int] = (2, 4)) -> dict[str, C
 
 
 def hash_ordinal(
-    df: DataFrame, keys: Sequence[str], hash_column: str, tie: Sequence[str], *, name: str = "rank", digits: Sequence[int] = (2, 4)
+    df: DataFrame,
+    keys: Sequence[str],
+    hash_column: str,
+    tie: Sequence[str],
+    *,
+    name: str = "rank",
+    total: str | None = None,
+    digits: Sequence[int] = (2, 4),
 ) -> DataFrame:
     """Exact rank per ``keys`` in hash order, ties by ``tie``."""
     levels = hash_levels(hash_column, digits)
-    return ordinal(df.withColumns(levels), keys, list(levels), [hash_column, *tie], name=name).drop(*levels)
+    rows = df.withColumns(levels)
+    return ordinal(rows, keys, list(levels), [hash_column, *tie], name=name, total=total).drop(*levels)
 
 
 def unit_levels(value: str, bits: Sequence[int] = (10, 20)) -> dict[str, Column]:

@@ -37,6 +37,11 @@ def restrict(rows: DataFrame, domains: DataFrame, domain: str) -> DataFrame:
     return rows.join(domains.filter(F.col("domain") == domain).select("r", "c"), ["r", "c"], "left_semi")
 
 
+def restrict_each(rows: DataFrame, domains: DataFrame) -> DataFrame:
+    """Rows once per domain they lie in, from one pass; ``domain, r, c`` is unique."""
+    return rows.join(domains.select("domain", "r", "c"), ["r", "c"])
+
+
 def coregister(pred: DataFrame, truth: DataFrame, *, strict: bool = True) -> DataFrame:
     """Pair prediction and truth on ``(r, c)``.
 

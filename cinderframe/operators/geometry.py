@@ -70,13 +70,13 @@ def polygon_edges(vertices: DataFrame) -> DataFrame:
     ring = ["poly_id", "ring_id"]
     following = vertices.select(*ring, (F.col("seq") - 1).alias("seq"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     edges = vertices.join(following, [*ring, "seq"]).select("poly_id", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
-    point = F.struct("x", "y")
-    closing = (
-        vertices.groupBy(*ring)
-        .agg(F.max_by(point, "seq").alias("a"), F.min_by(point, "seq").alias("b"))
-        .filter(F.col("a") != F.col("b"))
-        .select("poly_id", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
+    ends = vertices.groupBy(*ring).agg(
+        F.max_by("x", "seq").alias("x1"),
+        F.max_by("y", "seq").alias("y1"),
+        F.min_by("x", "seq").alias("x2"),
+        F.min_by("y", "seq").alias("y2"),
     )
+    closing = ends.filter("x1 <> x2 or y1 <> y2").select("poly_id", "x1", "y1", "x2", "y2")
     return edges.unionByName(closing)
 
 

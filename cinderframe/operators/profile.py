@@ -176,13 +176,8 @@ def positives_per_chunk(
 def exact_percentile(df: DataFrame, value: str, fraction: float, keys: Sequence[str], levels: dict[str, Column]) -> DataFrame:
     """Linearly interpolated percentile from value counts and running sums."""
     counts = df.groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running_sums(counts.withColumns(levels), keys, [*levels, "__v"], ["__n"])
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__total")) if keys else None
-    if total is None:
-        ranked = ranked.withColumn("__total", df.agg(F.count(F.lit(1))).scalar())
-    else:
-        ranked = ranked.join(total, list(keys))
-    position = (F.col("__total") - 1) * F.lit(fraction)
+    ranked = running_sums(counts.withColumns(levels), keys, [*levels, "__v"], ["__n"], totals=True)
+    position = (F.col("__n_total") - 1) * F.lit(fraction)
     last = F.col("__n_before") + F.col("__n") - 1  # 0-based position of the value's last copy
     return ranked.groupBy(*keys).agg(
         F.min(F.when(last >= F.floor(position), F.col("__v"))).alias("__low"),

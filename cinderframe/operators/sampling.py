@@ -42,25 +42,22 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def _ranked(df: DataFrame, label: str, seed: int, ids: Sequence[str]) -> DataFrame:
+    """Add the rank in hash order within the class and the size of the class."""
     hashed = df.withColumn("__hash", hash_key(seed, *ids))
-    return hash_ordinal(hashed, [label], "__hash", ids, name="__rank").drop("__hash")
+    return hash_ordinal(hashed, [label], "__hash", ids, name="__rank", total="__size").drop("__hash")
 
 
 def stratified_split(df: DataFrame, label: str, ids: Sequence[str], *, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``part`` (train or test) with the same share of each class."""
-    counts = F.broadcast(class_counts(df, label))
-    cut = F.round(F.col("class_rows") * F.lit(test))
-    return (
-        _ranked(df, label, seed, ids)
-        .join(counts, label)
-        .withColumn("part", F.when(F.col("__rank") <= cut, "test").otherwise("train"))
-        .drop("__rank", "class_rows")
-    )
+    in_test = F.col("__rank") <= F.round(F.col("__size") * F.lit(test))
+    part = F.when(in_test, "test").otherwise("train")
+    return _ranked(df, label, seed, ids).withColumn("part", part).drop("__rank", "__size")
 
 
 def stratified_folds(df: DataFrame, label: str, ids: Sequence[str], *, k: int = 5, seed: int = 42) -> DataFrame:
     """Add ``fold`` 0..k-1, balanced within each class."""
-    return _ranked(df, label, seed, ids).withColumn("fold", ((F.col("__rank") - 1) % k).cast("int")).drop("__rank")
+    fold = ((F.col("__rank") - 1) % k).cast("int")
+    return _ranked(df, label, seed, ids).withColumn("fold", fold).drop("__rank", "__size")
 
 
 def group_split(df: DataFrame, group: str, *, test: float = 0.2, seed: int = 42) -> DataFrame:

@@ -208,7 +208,7 @@ def layer_values(t: Tables):
     select wind_speed, count(*) "rows", cast(sum(ignited) as bigint) positives, round(avg(ignited), 6) positive_rate,
       round(count(*) / sum(count(*)) over (), 6) share_of_rows from training group by 1"""))
 def dataset_summary(t: Tables):
-    per_wind = profile.class_balance(t.training(), "ignited", ["wind_speed"])
+    per_wind = profile.class_balance(t.training_table(), "ignited", ["wind_speed"])
     total = per_wind.agg(F.sum("rows")).scalar()
     return rounded(per_wind.withColumn("share_of_rows", F.col("rows") / total), "positive_rate", "share_of_rows")
 
@@ -336,7 +336,7 @@ def sensitivity_band(t: Tables):
       when 'custom' then case when ignited = 1 then 7.5 else 1 end else 1 end, 6) weight
     from (select ignited, count(*) n from training group by 1) cross join (values ('balanced'), ('custom'), ('none')) s(strategy)"""))
 def class_weights(t: Tables):
-    rows = t.training()
+    rows = t.training_table()
     parts = [sampling.class_weights(rows, "ignited", s, 7.5).withColumn("strategy", F.lit(s)) for s in ("balanced", "custom", "none")]
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "weight")
 

@@ -20,14 +20,14 @@ DIST2 = f"((cast(r as bigint) - {R0}) * (r - {R0}) + (cast(c as bigint) - {C0})
       select *, row_number() over (partition by ignited order by {IDS_HASH}, run_id, step, r, c) rk from training)
     where ignited = 1 or rk <= 10 * (select count(*) from training where ignited = 1)"""))
 def under_sampling(t: Tables):
-    return sampling.under_sample(t.training().select(*IDS, "ignited"), "ignited", IDS, ratio=10)
+    return sampling.under_sample(t.training_table().select(*IDS, "ignited"), "ignited", IDS, ratio=10)
 
 
 @query("d2_positives_per_chunk", with_fixtures("training", """
     select (n - 1) // 10000 chunk, count(*) "rows", cast(sum(ignited) as bigint) positives
     from (select ignited, row_number() over (order by run_id, step, r, c) n from training) group by 1"""))
 def positives_per_chunk(t: Tables):
-    return profile.positives_per_chunk(t.training(), "ignited", ["run_id", "step", "r"], ["c"], 10_000)
+    return profile.positives_per_chunk(t.training_table(), "ignited", ["run_id", "step", "r"], ["c"], 10_000)
 
 
 @query("d3_class_means", with_fixtures("training", "select feature, round(m0, 6) mean_0, round(m1, 6) mean_1, round(m1 - m0, 6) difference from (" + " union all ".join(
@@ -61,7 +61,7 @@ def column_profile(t: Tables):
 @query("d6_single_feature_auc", with_fixtures("training", "select feature, round(sum(pos::double * (before + neg / 2)) / (sum(pos)::double * sum(neg)), 6) roc_auc from (select *, coalesce(sum(neg) over (partition by feature order by v rows between unbounded preceding and 1 preceding), 0) before from (select feature, v, sum(ignited) pos, sum(1 - ignited) neg from (" + " union all ".join(
     f"select '{f}' feature, round({f}, 9) v, ignited from training" for f in FEATURES) + ") group by 1, 2)) group by 1"))
 def single_feature_auc(t: Tables):
-    rows = t.training().withColumns({f: F.round(f, 9) for f in FEATURES})
+    rows = t.training_table().withColumns({f: F.round(f, 9) for f in FEATURES})
     return rounded(probability.feature_auc(rows, FEATURES, "ignited"), "roc_auc")
 
 
@@ -144,7 +144,7 @@ def centroid_bearing(t: Tables):
     from (select *, case when wind_speed > 10 then 'strong' else 'light' end source from training) group by rollup (source)"""))
 def combined_datasets(t: Tables):
     """Two datasets combined, and the balance of each and of both."""
-    rows = t.training().select(*IDS, "wind_speed", "ignited")
+    rows = t.training_table().select(*IDS, "wind_speed", "ignited")
     strong = rows.filter("wind_speed > 10").withColumn("source", F.lit("strong"))
     light = rows.filter("wind_speed <= 10").withColumn("source", F.lit("light"))
     combined = strong.unionByName(light)

@@ -17,6 +17,7 @@ from cinderframe.operators.cells import environment
 from cinderframe.operators.features import assemble
 from cinderframe.operators.focal import neighbour_scores
 from cinderframe.operators.transitions import label_transitions
+from cinderframe.session import written
 
 WIDTH = 120
 PIXEL = 3.0
@@ -124,6 +125,10 @@ class Tables:
     def training(self, schema: str = "B") -> DataFrame:
         return assemble(self.transitions, self.env, self.winds, schema)
 
+    def training_table(self, schema: str = "B", partition_by: tuple[str, ...] = ()) -> DataFrame:
+        """The training rows as a written table, for queries that read them more than once."""
+        return written(self.training(schema), f"training-{schema}", partition_by)
+
     @property
     def truths(self) -> DataFrame:
         """``fire, r, c, burned`` for both fires."""

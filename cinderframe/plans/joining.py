@@ -50,11 +50,7 @@ def domain_restriction(t: Tables):
     r0, c0, size = CROPS["alpha"]
     flags = domains.domain_flags(domains.in_window(r0, c0, size, size))
     long = domains.domain_rows(t.env, flags)
-    out = None
-    for name in flags:
-        part = domains.restrict(t.final, long, name).withColumn("domain", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("domain", "run_id").agg(
+    return domains.restrict_each(t.final, long).groupBy("domain", "run_id").agg(
         F.count(F.lit(1)).alias("cells"), F.count_if(is_reached()).alias("predicted")
     )
 
@@ -147,7 +143,7 @@ STATIC = ("slope_risk", "proximity_risk", "material_risk", "wind_weighted_score"
         from training""" for f in STATIC) + ")"))
 def model_comparison(t: Tables):
     """Class-mean difference models of two groups of runs, side by side."""
-    rows = t.training()
+    rows = t.training_table()
 
     def fit(part):
         return profile.class_means(part, STATIC, "ignited").withColumnRenamed("difference", "coef")

@@ -27,7 +27,7 @@ VARYING = ("slope_risk", "proximity_risk", "building_presence", "material_risk",
     f"round(({f} - m_{f}) / s_{f}, 6) {f}" for f in VARYING) + " from training cross join stats", "stats as (select " + ", ".join(
     f"avg({f}) m_{f}, stddev_pop({f}) s_{f}" for f in VARYING) + " from training)"))
 def standardise(t: Tables):
-    rows = learning.standardise(t.training().select(*IDS, *VARYING), VARYING)
+    rows = learning.standardise(t.training_table().select(*IDS, *VARYING), VARYING)
     return rounded(rows, *VARYING)
 
 

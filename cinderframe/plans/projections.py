@@ -147,16 +147,23 @@ def susceptible(t: Tables):
     from training_c cross join (values ('A', 10), ('B', 10), ('C', 11), ('9', 9)) s(schema_name, n_features)
     group by s.schema_name, s.n_features"""))
 def feature_rows(t: Tables):
-    """Mean of every feature in each of the four schemas."""
-    columns = list(features.SCHEMA_C)
-    out = None
-    for name, schema in features.SCHEMAS.items():
-        rows = features.assemble(t.transitions, t.env, t.winds, name)
-        means = [r6(F.avg(f), f) if f in schema else F.lit(None).cast("double").alias(f) for f in columns]
-        part = rows.agg(F.count(F.lit(1)).alias("rows"), *means)
-        part = part.withColumns({"schema_name": F.lit(name), "n_features": F.lit(len(schema))})
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Mean of every feature in each of the four schemas, from one pass over the widest."""
+    widest = features.SCHEMA_C
+    means = features.assemble(t.transitions, t.env, t.winds, "C").agg(
+        F.count(F.lit(1)).alias("rows"), *[r6(F.avg(f), f) for f in widest]
+    )
+    schemas = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("schema_name"),
+                F.lit(len(schema)).alias("n_features"),
+                F.col("rows").alias("rows"),
+                *[(F.col(f) if f in schema else F.lit(None).cast("double")).alias(f) for f in widest],
+            )
+            for name, schema in features.SCHEMAS.items()
+        ]
+    )
+    return means.select(F.explode(schemas).alias("s")).select("s.*")
 
 
 @query("p14_burnable_rows", with_fixtures("env", """
@@ -229,7 +236,7 @@ STATIC_FEATURES = ("slope_risk", "proximity_risk", "building_presence", "materia
         f"avg({f}) m_{f}, stddev_pop({f}) s_{f}, avg(case when ignited = 1 then {f} end) a_{f}, avg(case when ignited = 0 then {f} end) b_{f}" for f in STATIC_FEATURES)} from training)"""))
 def linear_scoring(t: Tables):
     """Score every row with a coefficient table: standardised class-mean differences."""
-    rows = t.training()
+    rows = t.training_table()
     scales = learning.standardisation(rows, STATIC_FEATURES)
     gaps = profile.class_means(rows, STATIC_FEATURES, "ignited")
     coefficients = scales.join(gaps, "feature").select(

@@ -35,14 +35,14 @@ def ignition_sample(t: Tables):
       select *, count(*) over (partition by ignited) n, row_number() over (partition by ignited order by {IDS_HASH}, run_id, step, r, c) rk
       from training)"""))
 def stratified_split(t: Tables):
-    return sampling.stratified_split(t.training().select(*IDS, "ignited"), "ignited", IDS)
+    return sampling.stratified_split(t.training_table().select(*IDS, "ignited"), "ignited", IDS)
 
 
 @query("w3_stratified_folds", with_fixtures("training", f"""
     select run_id, step, r, c, ignited,
       cast((row_number() over (partition by ignited order by {IDS_HASH}, run_id, step, r, c) - 1) % 5 as int) fold from training"""))
 def stratified_folds(t: Tables):
-    return sampling.stratified_folds(t.training().select(*IDS, "ignited"), "ignited", IDS, k=5)
+    return sampling.stratified_folds(t.training_table().select(*IDS, "ignited"), "ignited", IDS, k=5)
 
 
 FEATURES = ("slope_risk", "proximity_risk", "building_presence", "material_risk", "neighbor_burning_count", "composite_flammability", "wind_weighted_score")
@@ -54,7 +54,7 @@ FEATURES = ("slope_risk", "proximity_risk", "building_presence", "material_risk"
       (avg({f}) filter (where ignited = 1) - avg({f}) filter (where ignited = 0)) / stddev_pop({f}) coef from training""" for f in FEATURES) + ")"))
 def feature_ranking(t: Tables):
     """Features by the size of their standardised class-mean difference."""
-    rows = t.training()
+    rows = t.training_table()
     gaps = profile.class_means(rows, FEATURES, "ignited").join(learning.standardisation(rows, FEATURES), "feature")
     coefficients = gaps.select("feature", (F.col("difference") / F.col("scale")).alias("coef"))
     ranked = learning.rank_features(coefficients.withColumn("abs_coef", F.abs("coef")))
@@ -83,7 +83,7 @@ def best_trial(t: Tables):
     from training where run_id <> 44 group by 1"""))
 def scenario_union(t: Tables):
     """Union of one frame per scenario, one of which failed."""
-    rows = t.training()
+    rows = t.training_table(partition_by=("run_id",))
     frames = [None if s == 44 else rows.filter(F.col("run_id") == s) for s in SEEDS]
     combined = tables.union_scenarios(frames, rows.schema, t.spark)
     return rounded(profile.class_balance(combined, "ignited", ["run_id"]), "positive_rate")
