@@ -12,6 +12,7 @@ from cinderframe.functions.grid import Grid
 from cinderframe.functions.joins import join_metadata
 from cinderframe.operators.cells import base_probability
 
+TILE = 32
 NEIGHBOURS = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)]
 
 
@@ -55,15 +56,33 @@ def kernel_table(winds: DataFrame, keys: Sequence[str], wind_weight: float = 0.2
     )
 
 
-def scatter(sources: DataFrame, kernel: Column, keep: Sequence[str], grid: Grid | None = None) -> DataFrame:
-    """Send every source row to its 8 targets; targets off the grid are dropped."""
-    spread = sources.select(*keep, "r", "c", F.explode(kernel).alias("k")).select(
+def to_tiles(sources: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
+    """Spread source rows by square tile; rows at a tile's rim also go to the next tile.
+
+    A tile is bounded by ``tile * tile`` cells, so no partition can be hot, and
+    all that a target needs is in its own tile: this is the only shuffle of a
+    neighbourhood, of the sources themselves and not of their 8 messages each.
+    """
+
+    def near(axis: str) -> Column:
+        cell = F.col(axis)
+        return F.array_distinct(F.array(*[F.floor((cell + d) / F.lit(tile)).cast("int") for d in (-1, 0, 1)]))
+
+    placed = sources.withColumn("tile_r", F.explode(near("r"))).withColumn("tile_c", F.explode(near("c")))
+    return placed.repartition(*keys, "tile_r", "tile_c")
+
+
+def scatter(tiled: DataFrame, kernel: Column, carry: Sequence[str], grid: Grid | None = None, tile: int = TILE) -> DataFrame:
+    """Send every tiled source row to its targets in the tile, off-grid ones dropped."""
+    keep = [*carry, "tile_r", "tile_c"]
+    spread = tiled.select(*keep, "r", "c", F.explode(kernel).alias("k")).select(
         *keep,
         (F.col("r") - F.col("k.dr")).alias("r"),
         (F.col("c") - F.col("k.dc")).alias("c"),
         F.col("k.weight").alias("weight"),
     )
-    return spread.filter(grid.contains(F.col("r"), F.col("c"))) if grid else spread
+    own = (F.floor(F.col("r") / F.lit(tile)) == F.col("tile_r")) & (F.floor(F.col("c") / F.lit(tile)) == F.col("tile_c"))
+    return spread.filter(own & grid.contains(F.col("r"), F.col("c")) if grid else own)
 
 
 def neighbour_counts(
@@ -71,8 +90,10 @@ def neighbour_counts(
 ) -> DataFrame:
     """Number of blazing neighbours, for cells that have at least one."""
     ones = struct_array(["dr", "dc", "weight"], [(dr, dc, 1.0) for dr, dc in NEIGHBOURS])
-    targets = scatter(snapshots.filter(F.col("state") == state), ones, keys, grid)
-    return targets.groupBy(*keys, "r", "c").agg(F.count(F.lit(1)).alias("neighbor_burning_count"))
+    blazing = snapshots.filter(F.col("state") == state).select(*keys, "r", "c")
+    targets = scatter(to_tiles(blazing, keys), ones, keys, grid)
+    counts = targets.groupBy(*keys, "tile_r", "tile_c", "r", "c").agg(F.count(F.lit(1)).alias("neighbor_burning_count"))
+    return counts.drop("tile_r", "tile_c")
 
 
 def neighbour_scores(
@@ -86,18 +107,21 @@ def neighbour_scores(
 ) -> DataFrame:
     """Blazing-neighbour count and normalised wind-weighted score per target cell.
 
-    Cost is 8 x blazing rows, whatever the size of the grid.
+    The work is 8 x blazing rows, whatever the size of the grid. The tiles'
+    partitioning also serves the ``groupBy``, which therefore shuffles nothing.
     """
     winds = with_kernel(winds, wind_weight).select(wind_key, "kernel", "kernel_sum")
-    blazing = join_metadata(snapshots.filter(F.col("state") == BLAZING).select(*keys, "r", "c"), winds, [wind_key])
-    targets = scatter(blazing, F.col("kernel"), [*keys, "kernel_sum"], grid)
+    blazing = snapshots.filter(F.col("state") == BLAZING).select(*keys, "r", "c")
+    tiled = join_metadata(to_tiles(blazing, keys), winds, [wind_key])
+    targets = scatter(tiled, F.col("kernel"), [*keys, "kernel_sum"], grid)
     return (
-        targets.groupBy(*keys, "r", "c")
+        targets.groupBy(*keys, "tile_r", "tile_c", "r", "c")
         .agg(
             F.count(F.lit(1)).alias("neighbor_burning_count"),
             F.sum("weight").alias("wind_score"),
             F.max("kernel_sum").alias("kernel_sum"),
         )
+        .drop("tile_r", "tile_c")
         .withColumn("wind_weighted_score", F.col("wind_score") / F.col("kernel_sum"))
     )
 
