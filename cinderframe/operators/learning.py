@@ -132,7 +132,7 @@ def fit_logistic(
         elasticNetParam=recipe.elastic_net,
         standardization=False,
         maxIter=300,
-        tol=1e-9,
+        tol=1e-7,
     )
     rows = vectors.transform(scaler.transform(_weighted(df, stats.weights(recipe), label)))
     model = regression.fit(rows.select(label, WEIGHT, "features"))
@@ -187,33 +187,39 @@ def rank_features(coefficients: DataFrame) -> DataFrame:
     return coefficients.withColumn("rank", F.row_number().over(order))
 
 
-def evaluate(scored: DataFrame, label: str = TARGET, p: str = "p", cutoff: float | None = None) -> dict[str, float]:
+def evaluate(
+    scored: DataFrame, label: str = TARGET, p: str = "p", cutoff: float | None = None, also: float | None = None
+) -> dict[str, float]:
     """Cutoff (best of 16 unless given), precision, recall, F1, Jaccard and AUC.
 
-    Everything collected is one row of counts. The scores are cached while the
-    three aggregations read them, so the model runs once.
+    ``also`` adds F1, recall and precision at a second cutoff. Everything
+    collected is a few counts. The scores are cached while the aggregations
+    read them, so the model runs once.
     """
     cached = scored.select(label, p).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if cutoff is None:
             cutoff = best_cutoff(cutoff_counts(cached, label, p)).first()["best_cutoff"]
-        counts = cutoff_counts(cached, label, p, cutoffs=[cutoff]).first()
+        wanted = [cutoff] if also is None else [cutoff, also]
+        counts = {row["cutoff_no"]: row for row in cutoff_counts(cached, label, p, cutoffs=wanted).collect()}
         auc = roc_auc(cached, label, p).first()["roc_auc"]
     finally:
         cached.unpersist()
-    tp, fp, fn = counts["tp"], counts["fp"], counts["fn"]
 
     def part(a: float, b: float) -> float:
         return a / b if b else 0.0
 
-    return {
-        "cutoff": float(cutoff),
-        "precision": part(tp, tp + fp),
-        "recall": part(tp, tp + fn),
-        "f1": part(2 * tp, 2 * tp + fp + fn),
-        "jaccard": part(tp, tp + fp + fn),
-        "auc_roc": float("nan") if auc is None else auc,
-    }
+    def rates(row) -> dict[str, float]:
+        tp, fp, fn = row["tp"], row["fp"], row["fn"]
+        return {"precision": part(tp, tp + fp), "recall": part(tp, tp + fn), "f1": part(2 * tp, 2 * tp + fp + fn)}
+
+    main = counts[0]
+    out = {"cutoff": float(cutoff), **rates(main)}
+    out["jaccard"] = part(main["tp"], main["tp"] + main["fp"] + main["fn"])
+    out["auc_roc"] = float("nan") if auc is None else auc
+    if also is not None:
+        out |= {f"{k}_also": v for k, v in rates(counts[1]).items()}
+    return out
 
 
 def random_trials(n: int, seed: int = 42) -> list[Recipe]:

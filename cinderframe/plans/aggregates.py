@@ -262,11 +262,11 @@ def truth_audit(t: Tables):
 
 @query("a21_daily_wind", with_fixtures("wind_hourly", """
     select substr(hour_key, 1, 8) as day, round(avg(speed_ms * 3.6::double) filter (where speed_ms >= 0), 6) mean_kmh,
-      round(max(speed_ms * 3.6::double) filter (where speed_ms >= 0 and substr(hour_key, 9, 2) = '11'), 6) fire_kmh,
+      max(speed_ms * 3.6::double) filter (where speed_ms >= 0 and substr(hour_key, 9, 2) = '11') fire_kmh,
       max(dir_deg) filter (where speed_ms >= 0 and substr(hour_key, 9, 2) = '11') fire_dir,
       count(*) filter (where speed_ms < 0) missing_hours from wind_hourly group by 1"""))
 def daily_wind(t: Tables):
-    return rounded(wind.daily_wind(t.wind_hourly, 11), "mean_kmh", "fire_kmh")
+    return rounded(wind.daily_wind(t.wind_hourly, 11), "mean_kmh")
 
 
 @query("a22_mask_fingerprint", with_fixtures("domains dims", """

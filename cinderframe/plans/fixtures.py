@@ -150,12 +150,14 @@ class Tables:
         events = self.table("events")
         k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
         hours = events.groupBy(F.date_format("ts", "yyyyMMddHH").alias("hour_key")).agg(
-            F.avg("value").alias("v"),
+            F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"),
+            F.count(F.lit(1)).alias("n"),
             F.min_by(k, "event_id").alias("k"),
             F.min_by("event_type", "event_id").alias("kind"),
         )
-        speed = F.when(F.col("kind") == "error", F.lit(-1.0)).otherwise(F.round(F.col("v") / 10, 6))
-        return hours.select("hour_key", speed.alias("speed_ms"), F.round(F.col("k") * 3.6, 6).alias("dir_deg"))
+        mean = F.col("cents").cast("double") / (F.col("n") * F.lit(1000.0))  # a tenth of the mean value
+        speed = F.when(F.col("kind") == "error", F.lit(-1.0)).otherwise(mean)
+        return hours.select("hour_key", speed.alias("speed_ms"), (F.col("k") * 3.6).alias("dir_deg"))
 
     @property
     def points(self) -> DataFrame:
@@ -277,9 +279,9 @@ FIXTURE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "scored": ((), """
         select event_id id, cast(event_type = 'purchase' as int) label, least(1.0::double, value / 500) p from events"""),
     "wind_hourly": ((), """
-        select hour_key, case when kind = 'error' then -1.0::double else round(v / 10, 6) end speed_ms,
-          round(k * 3.6::double, 6) dir_deg from (
-            select strftime(ts, '%Y%m%d%H') hour_key, avg(value) v,
+        select hour_key, case when kind = 'error' then -1.0::double else cents::double / (n * 1000.0::double) end speed_ms,
+          k * 3.6::double dir_deg from (
+            select strftime(ts, '%Y%m%d%H') hour_key, sum(cast(round(value * 100) as bigint)) cents, count(*) n,
               arg_min(cast(regexp_extract(props, '[0-9]+') as int), event_id) k, arg_min(event_type, event_id) kind
             from events group by 1)"""),
     "points": ((), """

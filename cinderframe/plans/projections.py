@@ -82,11 +82,11 @@ def window_crop(t: Tables):
 
 
 @query("p7_wind_encoding", with_fixtures("wind_hourly", """
-    select hour_key, round(speed_ms * 3.6::double, 6) as wind_speed, round(sin(radians(dir_deg)), 6) wind_sin,
+    select hour_key, speed_ms * 3.6::double as wind_speed, round(sin(radians(dir_deg)), 6) wind_sin,
       round(cos(radians(dir_deg)), 6) wind_cos from wind_hourly where speed_ms >= 0"""))
 def wind_encoding(t: Tables):
     hours = wind.usable_wind(t.wind_hourly).withColumnRenamed("dir_deg", "direction_deg")
-    return features.encode_wind(hours).select("hour_key", r6("wind_speed"), r6("wind_sin"), r6("wind_cos"))
+    return features.encode_wind(hours).select("hour_key", "wind_speed", r6("wind_sin"), r6("wind_cos"))
 
 
 @query("p8_composite_flammability", with_fixtures("env", "select r, c, round(building_presence * material_risk, 6) composite_flammability from env"))
@@ -260,6 +260,6 @@ def outcome_class(t: Tables):
 
 
 @query("p24_wind_units", with_fixtures("wind_hourly", """
-    select hour_key, speed_ms, dir_deg, round(speed_ms * 3.6::double, 6) speed_kmh from wind_hourly where speed_ms >= 0 and dir_deg >= 0"""))
+    select hour_key, speed_ms, dir_deg, speed_ms * 3.6::double speed_kmh from wind_hourly where speed_ms >= 0 and dir_deg >= 0"""))
 def wind_units(t: Tables):
-    return rounded(wind.usable_wind(t.wind_hourly), "speed_kmh")
+    return wind.usable_wind(t.wind_hourly)
