@@ -17,7 +17,8 @@ def mask_digest(mask: DataFrame, grid: Grid, keys: Sequence[str] = (), block: in
     """sha256 of the set cells in row-major order, folded in blocks.
 
     A block of ``block`` consecutive cell indexes is digested from its set
-    offsets, then ``block`` digests at a time are digested, until one is left.
+    offsets, then ``block`` digests at a time are digested, at least once and
+    until one is left.
     No group holds more than ``block`` entries, whatever the grid's size. The
     shape is part of the last digest. Rows must be unique per key and cell.
     """
@@ -31,7 +32,7 @@ def mask_digest(mask: DataFrame, grid: Grid, keys: Sequence[str] = (), block: in
         F.sum("n").alias("n"),
     )
     blocks = -(-grid.height * grid.width // block)
-    while blocks > 1:
+    while True:
         item = F.struct(F.pmod("b", F.lit(block)).alias("o"), F.col("d"))
         text = F.transform(
             F.array_sort(F.collect_list(item)), lambda s: F.concat(s["o"].cast("string"), F.lit(":"), s["d"])
@@ -40,5 +41,7 @@ def mask_digest(mask: DataFrame, grid: Grid, keys: Sequence[str] = (), block: in
             F.sha2(F.concat_ws(",", text), 256).alias("d"), F.sum("n").alias("n")
         )
         blocks = -(-blocks // block)
+        if blocks == 1:
+            break
     shape = f"{grid.height}x{grid.width}|bool|"
     return current.select(*keys, F.col("n").alias("cells"), F.sha2(F.concat(F.lit(shape), F.col("d")), 256).alias("sha256"))

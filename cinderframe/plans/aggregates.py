@@ -70,12 +70,18 @@ def horizon_scores(t: Tables, horizons=HORIZONS):
     return scoring.with_metrics(counts)
 
 
-HORIZON_COUNTS = """counts as (
+CASE_GRID = """(values ('alpha'), ('beta')) f(fire) cross join (values ('whole'), ('buildings'), ('crop_buildings'), ('spec')) d(domain)"""
+# A domain without cells scores 0 everywhere.
+HORIZON_COUNTS = f"""raw as (
   select d.fire, d.domain, s.run_id, q.requested_step, count(*) filter (where state >= 3 and burned = 1) tp,
     count(*) filter (where state >= 3 and burned = 0) fp, count(*) filter (where state < 3 and burned = 1) fn,
     count(*) filter (where state < 3 and burned = 0) tn
   from snapshots s join (values (3, 3), (6, 6), (9, 9), (20, 12)) q(requested_step, step) on q.step = s.step
-  join domains d on d.r = s.r and d.c = s.c group by 1, 2, 3, 4)"""
+  join domains d on d.r = s.r and d.c = s.c group by 1, 2, 3, 4),
+counts as (
+  select fire, domain, run_id, requested_step, coalesce(tp, 0) tp, coalesce(fp, 0) fp, coalesce(fn, 0) fn, coalesce(tn, 0) tn
+  from (select fire, domain, run_id, requested_step from {CASE_GRID} cross join winds
+    cross join (values (3), (6), (9), (20)) h(requested_step)) g left join raw using (fire, domain, run_id, requested_step))"""
 
 
 @query("a1_neighbour_count", with_fixtures("focal", "select run_id, step, neighbor_burning_count, count(*) cells from focal group by 1, 2, 3"))
@@ -230,8 +236,8 @@ def region_stats(t: Tables):
 
 
 @query("a19_padded_box", with_fixtures("cells dims", """
-    select 'crop' mask, greatest(min(r) - 8, 0) r_start, least(max(r) + 8, any_value(height)) r_end, greatest(min(c) - 8, 0) c_start, least(max(c) + 8, 120) c_end
-    from cells cross join dims where truth = 1 and r between 30 and 60 and c between 50 and 115
+    select 'crop' mask, greatest(min(r) - 8, 0) r_start, least(max(r) + 8, (select height from dims)) r_end, greatest(min(c) - 8, 0) c_start, least(max(c) + 8, 120) c_end
+    from cells where truth = 1 and r between 30 and 60 and c between 50 and 115
     union all select 'empty', 0, height, 0, 120 from dims"""))
 def padded_box(t: Tables):
     """Box of the scar inside a window, and of an empty mask."""
@@ -341,7 +347,8 @@ def class_weights(t: Tables):
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "weight")
 
 
-@query("a26_domain_inventory", with_fixtures("domains", """
-    select fire, domain, count(*) cells, cast(sum(burned) as bigint) positives from domains group by 1, 2"""))
+@query("a26_domain_inventory", with_fixtures("domains", f"""
+    select f.fire, d.domain, count(m.r) cells, cast(coalesce(sum(burned), 0) as bigint) positives
+    from {CASE_GRID} left join domains m on m.fire = f.fire and m.domain = d.domain group by 1, 2"""))
 def domain_inventory(t: Tables):
     return scoring.domain_inventory(t.env, cases())
