@@ -20,7 +20,7 @@ DIST2 = f"((cast(r as bigint) - {R0}) * (r - {R0}) + (cast(c as bigint) - {C0})
       select *, row_number() over (partition by ignited order by {IDS_HASH}, run_id, step, r, c) rk from training)
     where ignited = 1 or rk <= 10 * (select count(*) from training where ignited = 1)"""))
 def under_sampling(t: Tables):
-    return sampling.under_sample(t.training_table().select(*IDS, "ignited"), "ignited", IDS, ratio=10)
+    return sampling.under_sample(t.labels_table, "ignited", IDS, ratio=10)
 
 
 @query("d2_positives_per_chunk", with_fixtures("training", """

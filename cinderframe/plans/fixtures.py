@@ -129,6 +129,11 @@ class Tables:
         """The training rows as a written table, for queries that read them more than once."""
         return written(self.training(schema), f"training-{schema}", partition_by)
 
+    @property
+    def labels_table(self) -> DataFrame:
+        """Keys and labels of the training rows as a written table."""
+        return written(self.transitions.select("run_id", "step", "r", "c", "ignited"), "labels")
+
     @property
     def truths(self) -> DataFrame:
         """``fire, r, c, burned`` for both fires."""

@@ -35,14 +35,14 @@ def ignition_sample(t: Tables):
       select *, count(*) over (partition by ignited) n, row_number() over (partition by ignited order by {IDS_HASH}, run_id, step, r, c) rk
       from training)"""))
 def stratified_split(t: Tables):
-    return sampling.stratified_split(t.training_table().select(*IDS, "ignited"), "ignited", IDS)
+    return sampling.stratified_split(t.labels_table, "ignited", IDS)
 
 
 @query("w3_stratified_folds", with_fixtures("training", f"""
     select run_id, step, r, c, ignited,
       cast((row_number() over (partition by ignited order by {IDS_HASH}, run_id, step, r, c) - 1) % 5 as int) fold from training"""))
 def stratified_folds(t: Tables):
-    return sampling.stratified_folds(t.training_table().select(*IDS, "ignited"), "ignited", IDS, k=5)
+    return sampling.stratified_folds(t.labels_table, "ignited", IDS, k=5)
 
 
 FEATURES = ("slope_risk", "proximity_risk", "building_presence", "material_risk", "neighbor_burning_count", "composite_flammability", "wind_weighted_score")
