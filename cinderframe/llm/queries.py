@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderframe.llm import lines, minimax, minhash
+from cinderframe.llm import lines, minimax, minhash, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +40,49 @@ def op5(spark, sf_dir):
     return minimax.shard(table(spark, sf_dir, "documents"), 24)
 
 
+@query("op7_bin_slack_packing")
+def op7(spark, sf_dir):
+    """Token pieces of all documents in sequences of 2,048."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    path = public_tokenizers.path
+    return packing.pack(docs, str(path("byte_bpe_50k.json")), str(path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+@query(
+    "op8_poisson_mixing",
+    r"""
+    WITH s AS (SELECT source, CAST(sum(coalesce(strlen(text), 0) + 1) AS DOUBLE) AS size FROM documents GROUP BY source),
+    r AS (SELECT source, (SELECT sum(size) FROM s) / (SELECT sum(pow(size, 0.5)) FROM s) * pow(size, 0.5) / size AS rate FROM s),
+    u AS (
+      SELECT doc_id, r.source, rate, greatest(ceil(rate / 32.0), 1) AS parts FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+    ),
+    p AS (
+      SELECT doc_id, source, rate / parts AS mean,
+             CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || part), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS x
+      FROM (SELECT *, unnest(range(1, CAST(parts AS BIGINT) + 1)) AS part FROM u)
+    ),
+    k AS (
+      SELECT doc_id, source, n, mean, x,
+             sum(CASE WHEN n = 0 THEN exp(-mean) ELSE exp(-mean + n * ln(mean) - lgamma(n + 1)) END)
+               OVER (PARTITION BY doc_id, x ORDER BY n) AS c
+      FROM (SELECT *, unnest(range(0, 110)) AS n FROM p)
+    ),
+    t AS (SELECT doc_id, source, count(*) FILTER (WHERE x >= c) AS times FROM k GROUP BY doc_id, source),
+    e AS (SELECT doc_id, source, CAST(unnest(range(0, times)) AS INTEGER) AS copy FROM t)
+    SELECT doc_id, source, copy,
+           row_number() OVER (ORDER BY md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || copy || '|order'), doc_id, source, copy) - 1 AS position
+    FROM e
+    """,
+)
+def op8(spark, sf_dir):
+    """Documents repeated so that each source's bytes follow the root of its size, in shuffled order."""
+    mixed = mixing.replicate(table(spark, sf_dir, "documents"), alpha=0.5)
+    return mixing.positions(mixed, ["doc_id", "source"]).select("doc_id", "source", "copy", "position")
+
+
 @query(
     "op9_line_dedup",
     r"""

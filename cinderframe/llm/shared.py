@@ -38,7 +38,7 @@ def gapless(df: DataFrame, keys: list[str], order: list[str], out: str, bucket:
     """
     split = df.withColumn("__bucket", bucket)
     counts = split.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = (Window.partitionBy(*keys) if keys else Window).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
     ranked = split.withColumn("__rank", F.row_number().over(inside))
