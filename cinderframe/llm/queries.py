@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderframe.llm import lines, minimax, minhash, mixing, packing
+from cinderframe.llm import crf, lines, minimax, minhash, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,22 @@ def op1(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), similar=(85, 100))
 
 
+HELD_OUT = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> crf.Crf:
+    """The line model, trained on labels outside the held-out quarter."""
+    return crf.fit(docs, labels.filter(~HELD_OUT), label_col="quality")
+
+
+@query("op3_line_crf")
+def op3(spark, sf_dir):
+    """Quality score of every document from line marginals."""
+    docs = table(spark, sf_dir, "documents")
+    scored = crf.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query("op5_minimax_shards")
 def op5(spark, sf_dir):
     """24 shards near equal in bytes; equal texts stay together."""
