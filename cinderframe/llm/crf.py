@@ -8,10 +8,12 @@ length-weighted mean of the lines' forward-backward marginals.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderframe.llm.shared import batch_bytes, by_value, text_chunks
@@ -189,8 +191,6 @@ def train(texts: list[tuple[np.ndarray, int]], window: int = 48, rounds: int = 2
 
 
 def _features(batches):
-    import pyarrow as pa
-
     hasher = WordHasher(space_separated())
     for batch in batches:
         cells = []
@@ -201,19 +201,19 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], ["label", "lines"])
 
 
-def _scores(model: Crf):
-    def run(batches):
-        import pyarrow as pa
+def score_column(model: Crf, text: Column) -> Column:
+    """The score of a text column, in Arrow batches."""
 
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = WordHasher(space_separated())
-        for batch in batches:
+        for batch in texts:
             scores = [np.zeros(0)]
-            for _, _, data, bounds in text_chunks(batch.column(1)):
+            for _, _, data, bounds in text_chunks(batch):
                 features, size, first = line_features(hasher, data, bounds)
                 scores.append(model.score(with_neighbours(features, first), size, first))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array(np.concatenate(scores))], [*batch.schema.names[:1], *batch.schema.names[2:], "score"])
+            yield pa.array(np.concatenate(scores))
 
-    return run
+    return F.arrow_udf(run, "double")(text)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_bytes: int = 65_536, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
@@ -231,11 +231,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_bytes: int
     return train(sorted(((np.frombuffer(r["lines"], np.float32).reshape(-1, width), r["label"]) for r in rows), key=lambda x: (x[1], x[0].shape, x[0].tobytes())))
 
 
-def score(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row: whole texts, 0 bad to 1 good.
+def score(docs: DataFrame, model: Crf, text_col: str = "text", out: str = "score") -> DataFrame:
+    """Every row with its score ``out``: whole texts, 0 bad to 1 good.
 
-    A null or empty text is one empty line. Null and repeated ids are scored row by row; other columns are ignored.
+    A null or empty text is one empty line. Null and repeated ids are scored row by row; other
+    columns pass through, and one that is already called ``out`` is replaced.
     """
     batch_bytes(docs.sparkSession)
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return source.mapInArrow(_scores(model), "id long, score double").withColumnRenamed("id", id_col)
+    return docs.withColumn(out, score_column(model, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))

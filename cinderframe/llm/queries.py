@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderframe.llm import crf, lines, minimax, minhash, mixing, packing
+from cinderframe.llm import cross_polytope, crf, licenses, lines, minimax, minhash, mixing, packing, pstable, url_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,25 @@ def op1(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), similar=(85, 100))
 
 
+# The rules of the filter, as (verdict, rule).
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op2_url_templates")
+def op2(spark, sf_dir):
+    """Verdict on every page's url.
+
+    A page shows the document that its path's last number names; that document's labels,
+    where it has any, are the page's.
+    """
+    pages = table(spark, sf_dir, "pages")
+    number = F.regexp_extract(url_tree.url_path(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    shown = pages.select("page_id", F.when(number != "", number.cast("long")).alias("doc_id")).filter("doc_id is not null")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    labels = shown.join(table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad")), "doc_id").select("page_id", "bad")
+    return url_tree.judge(pages, labels, URL_RULES)
+
+
 HELD_OUT = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
@@ -50,12 +69,24 @@ def op3(spark, sf_dir):
     return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query("op4_pstable_dedup")
+def op4(spark, sf_dir):
+    """Links and components of vectors of one label at a cosine of 0.93 or more."""
+    return pstable.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 @query("op5_minimax_shards")
 def op5(spark, sf_dir):
     """24 shards near equal in bytes; equal texts stay together."""
     return minimax.shard(table(spark, sf_dir, "documents"), 24)
 
 
+@query("op6_cross_polytope_search")
+def op6(spark, sf_dir):
+    """The 20 rows with the largest inner product found for every twentieth vector."""
+    return cross_polytope.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query("op7_bin_slack_packing")
 def op7(spark, sf_dir):
     """Token pieces of all documents in sequences of 2,048."""
@@ -122,3 +153,32 @@ def op9(spark, sf_dir):
     """Lines of documents that are found in at least ten documents are dropped."""
     out = lines.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _license_oracle() -> str:
+    quoted = ", ".join("('" + n.replace("'", "''") + "', '" + t.replace("'", "''") + "')" for n, t in licenses.TEMPLATES.items())
+    words = (
+        "list_filter(string_split_regex(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: w <> '')"
+    )
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+    WITH t AS (SELECT name, {grams} AS g FROM (SELECT name, {words.format(x="body")} AS w FROM (VALUES {quoted}) v(name, body))),
+    units AS (
+      SELECT doc_id, 0 AS rank, text AS body FROM documents
+      UNION ALL SELECT doc_id, 1, unnest(string_split_regex(text, '\\n[ \\t\\r\\x0b\\x0c]*\\n')) FROM documents
+      UNION ALL SELECT doc_id, 2, unnest(string_split(text, chr(10))) FROM documents
+    ),
+    u AS (SELECT doc_id, rank, {grams} AS g FROM (SELECT doc_id, rank, {words.format(x="body")} AS w FROM units WHERE body IS NOT NULL)),
+    m AS (
+      SELECT doc_id, rank, name, 2.0::DOUBLE * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)) AS dice
+      FROM u JOIN t ON len(u.g) * 0.8 <= 1.2 * len(t.g) AND len(t.g) * 0.8 <= 1.2 * len(u.g) WHERE len(u.g) > 0
+    ),
+    b AS (SELECT * FROM m WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name, rank) = 1)
+    SELECT d.doc_id, name AS license, dice, ['text', 'paragraph', 'line'][rank + 1] AS unit FROM documents d LEFT JOIN b USING (doc_id)
+    """
+
+
+@query("op10_license_scan", _license_oracle())
+def op10(spark, sf_dir):
+    """Licence notices in documents, as a whole, by paragraph and by line."""
+    return licenses.scan(table(spark, sf_dir, "documents"))

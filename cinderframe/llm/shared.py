@@ -70,3 +70,43 @@ def text_chunks(array, most: int = CHUNK_BYTES):
         last = min(last, n)
         yield first, last, data[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
+
+
+def floats(array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat double values and offsets of an Arrow list of numbers."""
+    at = array.offsets.to_numpy().astype(np.int64)
+    return array.values.to_numpy(zero_copy_only=False).astype(np.float64), at
+
+
+def grouped(batches, keys: int):
+    """Runs of rows with equal first ``keys`` columns from batches sorted by them, as record batches.
+
+    Holds one batch and one run at a time; callers bound the rows of a run.
+    """
+    import pyarrow as pa
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        joined = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        new = np.zeros(joined.num_rows, bool)
+        for k in range(keys):
+            values = joined.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= values[1:] != values[:-1]
+        cuts = np.concatenate([[0], np.flatnonzero(new)])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield joined.slice(a, b - a)
+        held = [joined.slice(int(cuts[-1]))]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def usable(vector: str, *others: str) -> Column:
+    """True for vectors that are not null or zero and hold no null or non-finite component."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    whole = F.col(vector).isNotNull() & finite & F.exists(vector, lambda x: x != 0)
+    for other in others:
+        whole = whole & F.col(other).isNotNull()
+    return F.coalesce(whole, F.lit(False))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderframe.llm import lines, minhash
+from cinderframe.llm import crf, lines, minhash, mixing, queries
 from cinderframe.llm.shared import written
 
 
@@ -27,9 +27,30 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line model finds more likely bad than good go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = crf.score(docs, queries.quality_model(docs, labels), out="__score")
+    return scored.filter("__score >= 0.5").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeat by Poisson draws so that sources follow the root of their size; sorted by hash."""
+    mixed = mixing.replicate(docs, alpha=0.5)
+    return mixed.orderBy("order_key").select("row.*").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of every remaining copy in sequences of 2,048."""
+    return queries.pack_documents(docs)
+
+
 STAGES = [
+    ("quality", drop_low_quality),
     ("line_dedup", drop_common_lines),
     ("minhash_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 #: Stages of the pipeline train, hash and pack outside SQL; tests hold them against brute force.
