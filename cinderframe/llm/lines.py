@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinderframe.llm.shared import written
+
 # White space that is stripped, and the letters that are lower-cased.
 STRIPPED = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(STRIPPED)), UPPER, LOWER)
+    return F.btrim(line, F.lit(STRIPPED))
 
 
 def lower_ascii(text: Column) -> Column:
@@ -28,18 +30,21 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     is a row: repeated rows count one by one and get equal results, null ids are fine, an
     empty table gives no rows, and other columns of any name pass through in ``row``.
 
-    Keys are 64-bit hashes: each document sends one hash per distinct line, counts are
-    pre-aggregated, and only positions of dropped lines travel back. Texts are
+    Keys are 64-bit hashes, written once: each document sends one hash per distinct line,
+    counts are pre-aggregated, and only positions of dropped lines travel back. Texts are
     shuffled once, by document. Against 10^11 other lines and 10^7 frequent ones, the
     expected number of lines that share a frequent line's hash by chance is below 0.1.
     """
-    lines = F.split(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")), "\n", -1)
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    ident = base.select(F.col(f"row.`{id_col}`").alias("id"), F.xxhash64(f"row.`{text_col}`").alias("text_hash"), lines.alias("lines"))
-    keyed = ident.select(
-        "id",
-        "text_hash",
-        F.transform("lines", lambda x: F.when(F.char_length(line_key(x)) >= min_chars, F.xxhash64(line_key(x)))).alias("keys"),
+    trimmed = F.transform(F.split(lower_ascii(text), "\n", -1), line_key)
+    keyed = written(
+        base.select(
+            F.col(f"row.`{id_col}`").alias("id"),
+            F.xxhash64(f"row.`{text_col}`").alias("text_hash"),
+            F.transform(trimmed, lambda x: F.when(F.char_length(x) >= min_chars, F.xxhash64(x))).alias("keys"),
+        ),
+        "line-keys",
     )
     frequent = (
         keyed.select(F.explode(F.array_distinct(F.array_compact("keys"))).alias("key"))
@@ -56,7 +61,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     )
     left = base.withColumns({"l_id": F.col(f"row.`{id_col}`"), "l_hash": F.xxhash64(f"row.`{text_col}`")})
     joined = left.join(dropped, left["l_id"].eqNullSafe(dropped["id"]) & (left["l_hash"] == dropped["text_hash"]), "left")
-    every = joined.select("row", lines.alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    every = joined.select("row", F.split(text, "\n", -1).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.transform(stay, lambda i: F.get("lines", i))
     return every.select(
