@@ -17,7 +17,7 @@ class Grid:
     pixel: float
     height: int
     width: int
-    crs: str = "EPSG:32651"
+    crs: str | None = None
 
     def contains(self, r: Column, c: Column) -> Column:
         return (r >= 0) & (r < self.height) & (c >= 0) & (c < self.width)

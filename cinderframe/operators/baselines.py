@@ -42,40 +42,30 @@ def circle_scores(cells: DataFrame, r0: int, c0: int, radii_m: Sequence[float],
     )
 
 
-def equal_area_circle(cells: DataFrame, sizes: DataFrame, key: str, r0: int, c0: int) -> DataFrame:
-    """Squared radius of the circle that holds as many cells as each prediction.
+SIZE_BLOCK = 4096
 
-    ``sizes`` has ``key`` and ``n_cells``. Cells are counted per squared
-    distance, so only running sums over distances are ordered. ``from_rim`` is
-    how many cells of the last distance, in ``(r, c)`` order, the circle takes.
-    """
-    counts = cells.groupBy(squared_distance(r0, c0).alias("dist2")).agg(F.count(F.lit(1)).alias("n"))
-    levels = integer_levels("dist2")
-    ranked = running_sums(counts.withColumns(levels), [], [*levels, "dist2"], ["n"]).drop(*levels)
-    # Bounded: one array entry per run whose circle is asked for.
-    wanted = sizes.agg(F.collect_list(F.struct(F.col(key), F.col("n_cells")))).scalar()
-    asked = ranked.withColumn("ask", F.explode(wanted))
-    size = F.col("ask.n_cells")
-    hit = (F.col("n_before") < size) & (F.col("n_before") + F.col("n") >= size)
-    return asked.filter(hit).select(
-        F.col(f"ask.{key}").alias(key),
-        size.alias("n_cells"),
-        "dist2",
-        (size - F.col("n_before")).alias("from_rim"),
-    )
 
+def equal_area_scores(cells: DataFrame, truth: Column, sizes: DataFrame, key: str, r0: int, c0: int) -> DataFrame:
+    """``key, n_cells, dist2, tp, fp`` of the circle that holds as many cells as each prediction.
 
-def equal_area_members(cells: DataFrame, circles: DataFrame, key: str, r0: int, c0: int) -> DataFrame:
-    """Cells of each equal-area circle; only the rim is ranked."""
-    placed = cells.withColumn("__d", squared_distance(r0, c0))
-    wanted = circles.agg(F.collect_list(F.struct(F.col(key), F.col("dist2"), F.col("from_rim")))).scalar()
-    near = placed.withColumn("ask", F.explode(wanted)).filter(F.col("__d") <= F.col("ask.dist2"))
-    near = near.withColumn(key, F.col(f"ask.{key}"))
-    window = Window.partitionBy(key).orderBy("r", "c")
-    inner = near.filter(F.col("__d") < F.col("ask.dist2"))
-    rim = near.filter(F.col("__d") == F.col("ask.dist2")).withColumn("__n", F.row_number().over(window))
-    rim = rim.filter(F.col("__n") <= F.col("ask.from_rim")).drop("__n")
-    return inner.unionByName(rim).drop("__d", "ask")
+    ``sizes`` has ``key`` and ``n_cells``. Cells are counted per squared distance, with
+    running sums over distances. A distance covers a span of circle sizes; spans and
+    wanted sizes meet by equal blocks of sizes, so no run is paired with every distance.
+    Of the last distance the circle takes the first cells in ``(r, c)`` order, and only
+    that rim is ranked.
+    """
+    placed = cells.select("r", "c", truth.alias("__y"), squared_distance(r0, c0).alias("dist2"))
+    counts = placed.groupBy("dist2").agg(F.count(F.lit(1)).alias("n"), F.count_if("__y").alias("pos"))
+    levels = integer_levels("dist2")
+    ranked = running_sums(counts.withColumns(levels), [], [*levels, "dist2"], ["n", "pos"])
+    block = lambda size: F.floor(size / F.lit(SIZE_BLOCK))
+    spans = ranked.select("dist2", "n", "n_before", "pos_before", F.explode(F.sequence(block(F.col("n_before") + 1), block(F.col("n_before") + F.col("n")))).alias("__block"))
+    wanted = sizes.select(key, "n_cells", block(F.col("n_cells")).alias("__block"))
+    hit = (F.col("n_before") < F.col("n_cells")) & (F.col("n_before") + F.col("n") >= F.col("n_cells"))
+    circles = wanted.join(spans, "__block").filter(hit).select(key, "n_cells", "dist2", "n_before", "pos_before")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("r", "c"))
+    rim = placed.join(circles, "dist2").withColumn("__place", place).filter(F.col("__place") <= F.col("n_cells") - F.col("n_before"))
+    return rim.groupBy(key, "n_cells", "dist2").agg((F.first("pos_before") + F.count_if("__y")).alias("tp")).withColumn("fp", F.col("n_cells") - F.col("tp"))
 
 
 def bearing(r0: int, c0: int, r: Column, c: Column) -> Column:

@@ -12,11 +12,14 @@ from cinderframe.functions.grid import Grid
 from cinderframe.functions.joins import join_metadata
 from cinderframe.operators.cells import base_probability
 
+# Strength of the wind's pull, the speed (km/h) it is measured in, and the least weight of a neighbour.
+WIND_WEIGHT, SPEED_UNIT, LEAST_WEIGHT = 0.20, 10.0, 0.05
+
 TILE = 32
 NEIGHBOURS = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)]
 
 
-def kernel_array(speed_kmh: Column, direction_deg: Column, wind_weight: float = 0.20) -> Column:
+def kernel_array(speed_kmh: Column, direction_deg: Column, wind_weight: float = WIND_WEIGHT) -> Column:
     """Eight ``(dr, dc, weight)`` structs for a wind that blows FROM ``direction_deg``.
 
     ``weight`` belongs to the neighbour at ``(r + dr, c + dc)``: fire travels
@@ -24,13 +27,13 @@ def kernel_array(speed_kmh: Column, direction_deg: Column, wind_weight: float =
     """
     blow = F.radians(F.pmod(direction_deg + F.lit(180.0), F.lit(360.0)))
     blow_r, blow_c = -F.cos(blow), F.sin(blow)
-    pull = F.lit(wind_weight) * (speed_kmh / F.lit(10.0))
+    pull = F.lit(wind_weight) * (speed_kmh / F.lit(SPEED_UNIT))
 
     def weigh(offset: Column) -> Column:
         dr, dc = offset["dr"], offset["dc"]
         length = F.sqrt((dr * dr + dc * dc).cast("double"))
         alignment = (-dr / length) * blow_r + (-dc / length) * blow_c
-        weight = F.greatest(F.lit(1.0) + pull * alignment, F.lit(0.05))
+        weight = F.greatest(F.lit(1.0) + pull * alignment, F.lit(LEAST_WEIGHT))
         return F.struct(dr.alias("dr"), dc.alias("dc"), weight.alias("weight"))
 
     return F.transform(struct_array(["dr", "dc"], NEIGHBOURS), weigh)

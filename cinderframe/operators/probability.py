@@ -9,21 +9,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderframe.functions.columns import ratio
-from cinderframe.functions.ranking import running_sums, unit_levels
+from cinderframe.functions.joins import join_metadata
+from cinderframe.functions.ranking import running_sums
+from cinderframe.session import written
 
 # The 16 cutoffs 0.10 to 0.85, as the doubles a stepped range yields.
 CUTOFFS = tuple(0.1 + i * 0.05 for i in range(16))
 EPSILON = 2.220446049250313e-16
 
 
+BUCKETS = 256
+
+
+def _leveled(counts: DataFrame, value: str, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Distinct values with a bucket by quantiles of the distinct values, whatever their distribution.
+
+    No bucket holds much more than one part in 256 of a key's values. Counts and
+    quantiles are written once, so that every later step sees the same buckets.
+    """
+    counts = written(counts, "value-counts")
+    shares = [k / BUCKETS for k in range(1, BUCKETS)]
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, shares, 10_000).alias("__cuts"))
+    cuts = written(cuts, "quantiles")
+    placed = join_metadata(counts, cuts, list(keys)) if keys else counts.crossJoin(F.broadcast(cuts))  # one row of 255 numbers
+    return placed.withColumn("__bucket", F.size(F.filter("__cuts", lambda x: x <= F.col(value)))).drop("__cuts"), ["__bucket", value]
+
+
 def _score_counts(df: DataFrame, label: str, score: str, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Positives and negatives per distinct score, with the level columns of the score."""
     y = F.col(label).cast("bigint")
     counts = df.groupBy(*keys, F.col(score).alias("__score")).agg(
         F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")
     )
-    levels = unit_levels("__score")
-    return counts.withColumns(levels), [*levels, "__score"]
+    return _leveled(counts, "__score", keys)
 
 
 def roc_auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -40,22 +58,13 @@ def roc_auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) ->
 
 
 def feature_auc(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Exact ROC AUC of each feature on its own, whatever its range.
-
-    The buckets come from the value's place between the feature's minimum and
-    maximum; the order inside a bucket is by the value itself.
-    """
+    """Exact ROC AUC of each feature on its own, whatever its range."""
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
     y = F.col(label).cast("bigint")
     long = df.select(y.alias("y"), F.explode(pairs).alias("p")).select("y", "p.*")
     counts = long.groupBy("feature", "value").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    # One row per feature of the schema.
-    ranges = F.broadcast(counts.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
-    span = F.col("hi") - F.col("lo")
-    unit = F.when(span > 0, (F.col("value") - F.col("lo")) / F.when(span > 0, span)).otherwise(0.0)
-    placed = counts.join(ranges, "feature").withColumn("__unit", unit)
-    levels = unit_levels("__unit")
-    ranked = running_sums(placed.withColumns(levels), ["feature"], [*levels, "value"], ["neg"])
+    placed, levels = _leveled(counts, "value", ["feature"])
+    ranked = running_sums(placed, ["feature"], levels, ["neg"])
     wins = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2))
     pairs_total = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return ranked.groupBy("feature").agg((wins / F.when(pairs_total > 0, pairs_total)).alias("roc_auc"))

@@ -12,18 +12,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderframe.functions.columns import hash_key, hash_unit
+from cinderframe.functions.joins import join_metadata
 from cinderframe.functions.ranking import hash_ordinal
 
 
+PREFIX = 4
+
+
+def hash_cuts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: Column) -> DataFrame:
+    """Per ``keys``, the ``wanted``-th row in the order ``order``, as a struct ``cut``.
+
+    ``order`` starts with a hex hash. Rows are counted by hash prefix (65,536 totals per
+    key), the prefix in which the cut falls is found, and only its rows are ranked; no
+    row is shuffled otherwise. ``wanted`` may use ``total``, the rows of the key. A key
+    with fewer rows gets its last row; one that wants none is absent.
+    """
+    keys, order = list(keys), list(order)
+    prefix = F.substring(order[0], 1, PREFIX)
+    counts = rows.groupBy(*keys, prefix.alias("__prefix")).agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("__n").over(whole.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.withColumns({"__before": before, "total": F.sum("__n").over(whole)})
+    need = F.least(wanted, F.col("total")).cast("bigint")
+    hit = sums.withColumn("__need", need).filter("__before < __need and __need <= __before + __n")
+    hit = hit.select(*keys, "__prefix", (F.col("__need") - F.col("__before")).alias("__need"))
+    inside = join_metadata(rows.withColumn("__prefix", prefix), hit, [*keys, "__prefix"])
+    place = F.row_number().over((Window.partitionBy(*keys) if keys else Window.partitionBy("__prefix")).orderBy(*order))
+    return inside.withColumn("__place", place).filter("__place = __need").select(*keys, F.struct(*order).alias("cut"))
+
+
 def sample_cells(eligible: DataFrame, group: str, k: int) -> DataFrame:
     """``k`` cells per group without replacement, fewer where there are fewer.
 
-    ``eligible`` has a row per group and eligible cell. The rank is compared
-    with a constant, so each task keeps only its best ``k`` before the shuffle.
+    ``eligible`` has a row per group and eligible cell. Rows up to the group's cut are
+    kept before anything is shuffled, so only the sample itself is sorted, for any ``k``.
     """
     draw = eligible.select(group, "r", "c", hash_key(F.col(group), "r", "c").alias("__h"))
+    cuts = hash_cuts(draw, [group], ["__h", "r", "c"], F.lit(k))
+    kept = join_metadata(draw, cuts, [group]).filter(F.struct("__h", "r", "c") <= F.col("cut"))
     window = Window.partitionBy(group).orderBy("__h", "r", "c")
-    return draw.withColumn("pick", F.row_number().over(window)).filter(F.col("pick") <= k).drop("__h")
+    return kept.withColumn("pick", F.row_number().over(window)).drop("__h", "cut")
 
 
 def require_sample(groups: DataFrame, sample: DataFrame, group: str, k: int) -> DataFrame:
@@ -48,10 +76,16 @@ def _ranked(df: DataFrame, label: str, seed: int, ids: Sequence[str]) -> DataFra
 
 
 def stratified_split(df: DataFrame, label: str, ids: Sequence[str], *, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``part`` (train or test) with the same share of each class."""
-    in_test = F.col("__rank") <= F.round(F.col("__size") * F.lit(test))
-    part = F.when(in_test, "test").otherwise("train")
-    return _ranked(df, label, seed, ids).withColumn("part", part).drop("__rank", "__size")
+    """Add ``part`` (train or test) with the same share of each class.
+
+    A row compares itself with the cut of its class, so no row is shuffled. ``df`` is
+    read three times and should be a written table.
+    """
+    hashed = df.withColumn("__hash", hash_key(seed, *ids))
+    cuts = hash_cuts(hashed.select(label, "__hash", *ids), [label], ["__hash", *ids], F.round(F.col("total") * F.lit(test)))
+    in_test = F.coalesce(F.struct("__hash", *ids) <= F.col("cut"), F.lit(False))
+    placed = join_metadata(hashed, cuts, [label], "left")
+    return placed.withColumn("part", F.when(in_test, "test").otherwise("train")).drop("__hash", "cut").select(*df.columns, "part")
 
 
 def stratified_folds(df: DataFrame, label: str, ids: Sequence[str], *, k: int = 5, seed: int = 42) -> DataFrame:
@@ -60,18 +94,15 @@ def stratified_folds(df: DataFrame, label: str, ids: Sequence[str], *, k: int =
     return _ranked(df, label, seed, ids).withColumn("fold", fold).drop("__rank", "__size")
 
 
-def group_split(df: DataFrame, group: str, *, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``part`` by a draw per group, so no group is on both sides."""
-    return df.withColumn("part", F.when(hash_unit(seed, group) < test, "test").otherwise("train"))
-
-
 def under_sample(df: DataFrame, label: str, ids: Sequence[str], *, ratio: int = 10, seed: int = 42) -> DataFrame:
-    """All positives and at most ``ratio`` negatives for each."""
-    positives = df.filter(F.col(label) == 1)
-    wanted = positives.agg(F.count(F.lit(1)) * ratio).scalar()
-    negatives = df.filter(F.col(label) == 0).withColumn("__hash", hash_key(seed, *ids))
-    kept = hash_ordinal(negatives, [], "__hash", ids, name="__rank").filter(F.col("__rank") <= wanted)
-    return positives.unionByName(kept.drop("__hash", "__rank"))
+    """All positives and at most ``ratio`` negatives for each: the smallest hashes, by one cut."""
+    hashed = df.withColumn("__hash", hash_key(seed, *ids))
+    wanted = df.filter(F.col(label) == 1).agg(F.count(F.lit(1)) * ratio).scalar()
+    negatives = hashed.filter(F.col(label) == 0).select("__hash", *ids)
+    cuts = hash_cuts(negatives.withColumn("__wanted", wanted), ["__wanted"], ["__hash", *ids], F.col("__wanted"))
+    cut = cuts.agg(F.max("cut")).scalar()
+    keep = (F.col(label) == 1) | F.coalesce((F.col(label) == 0) & (F.struct("__hash", *ids) <= cut), F.lit(False))
+    return hashed.filter(keep).drop("__hash")
 
 
 def random_mask(cells: DataFrame, truth: Column, *, seed: int = 42) -> DataFrame:
@@ -91,8 +122,3 @@ def class_weights(df: DataFrame, label: str, strategy: str = "balanced", positiv
     else:
         weight = F.lit(1.0)
     return counts.withColumn("weight", weight.cast("double"))
-
-
-def with_class_weights(df: DataFrame, label: str, strategy: str = "balanced", positive_weight: float = 1.0) -> DataFrame:
-    weights = class_weights(df, label, strategy, positive_weight).select(label, "weight")
-    return df.join(F.broadcast(weights), label)

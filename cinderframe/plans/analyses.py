@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from cinderframe.functions.columns import is_reached, is_truth, squared_distance
 from cinderframe.operators import baselines, probability, profile, sampling, scoring, transitions
 from cinderframe.plans.aggregates import F1_SQL, HORIZON_COUNTS, METRIC_SQL, METRICS, horizon_scores
-from cinderframe.plans.fixtures import IGNITION, PIXEL, Tables, with_fixtures
+from cinderframe.plans.fixtures import IGNITION, PIXEL, SEEDS, Tables, with_fixtures
 from cinderframe.plans.ranking import FEATURES, IDS, IDS_HASH
 from cinderframe.plans.registry import query, rounded
+from cinderframe.session import written
 
 R0, C0 = IGNITION
 DIST2 = f"((cast(r as bigint) - {R0}) * (r - {R0}) + (cast(c as bigint) - {C0}) * (c - {C0}))"
@@ -86,11 +87,8 @@ def equal_area_circle(t: Tables):
     buildings = t.cells.filter("buildings_raw > 0").select("r", "c", "truth")
     burned = t.final.filter(is_reached()).join(buildings.select("r", "c"), ["r", "c"])
     sizes = burned.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_cells"))
-    circles = baselines.equal_area_circle(buildings, sizes, "run_id", R0, C0)
-    members = baselines.equal_area_members(buildings, circles, "run_id", R0, C0)
-    hits = members.groupBy("run_id").agg(F.count_if(F.col("truth") == 1).alias("tp"), F.count_if(F.col("truth") == 0).alias("fp"))
-    radius = F.round(F.lit(PIXEL) * F.sqrt("dist2"), 6)
-    return circles.join(hits, "run_id").select("run_id", "n_cells", "dist2", radius.alias("radius_m"), "tp", "fp")
+    scores = baselines.equal_area_scores(written(buildings, "buildings"), F.col("truth") == 1, sizes, "run_id", R0, C0)
+    return scores.withColumn("radius_m", F.round(F.lit(PIXEL) * F.sqrt("dist2"), 6))
 
 
 @query("d9_scar_distance", with_fixtures("truths", f"""
@@ -123,8 +121,8 @@ def burn_growth(t: Tables):
 def run_identity(t: Tables):
     """Burned cells that neighbouring runs share or not, by truth class."""
     reached = t.final.filter(is_reached())
-    a = reached.filter("run_id < 46").select(F.col("run_id").alias("pair"), "r", "c")
-    b = reached.filter("run_id > 42").select((F.col("run_id") - 1).alias("pair"), "r", "c")
+    a = reached.filter(F.col("run_id") < SEEDS[-1]).select(F.col("run_id").alias("pair"), "r", "c")
+    b = reached.filter(F.col("run_id") > SEEDS[0]).select((F.col("run_id") - 1).alias("pair"), "r", "c")
     truth = t.cells.select("r", "c", is_truth("truth", "one").alias("truth"))
     return scoring.changed_cells(a, b, truth, ["pair"])
 

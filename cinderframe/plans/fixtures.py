@@ -22,8 +22,8 @@ from cinderframe.session import written
 WIDTH = 120
 PIXEL = 3.0
 LAST_STEP = 12
-SEEDS = (42, 43, 44, 45, 46)
-WINDS = [(42, 17.7, 49.0), (43, 10.6, 61.0), (44, 10.0, 315.0), (45, 25.0, 0.0), (46, 5.0, 180.0)]
+SEEDS = (42, 43, 44, 45, 46, 47, 48)
+WINDS = [(42, 17.7, 49.0), (43, 10.6, 61.0), (44, 10.0, 315.0), (45, 25.0, 0.0), (46, 5.0, 180.0), (47, 14.0, 250.0), (48, 32.0, 110.0)]
 CROPS = {"alpha": (10, 20, 64), "beta": (30, 40, 64)}
 IGNITION = (60, 60)
 
@@ -68,18 +68,17 @@ class Tables:
 
     @property
     def ignition_steps(self) -> DataFrame:
-        """Per order, the ignition step of each of the five runs."""
+        """Per order, the ignition step of each run: one run per line number."""
         day = F.dayofmonth("l_shipdate")
         return (
             self.table("lineitem")
-            .filter(F.col("l_linenumber") <= 5)
             .groupBy("l_orderkey")
-            .agg(*[(F.min(F.when(F.col("l_linenumber") == i, day)) % 12).alias(f"t{41 + i}") for i in range(1, 6)])
+            .agg(*[(F.min(F.when(F.col("l_linenumber") == s - 41, day)) % 12).alias(f"t{s}") for s in SEEDS])
         )
 
     @property
     def snapshots(self) -> DataFrame:
-        """``run_id, step, r, c, state`` for 5 runs and steps 0 to 12."""
+        """``run_id, step, r, c, state`` for every run and steps 0 to 12."""
         timed = self.cells_keyed.join(self.ignition_steps, "l_orderkey", "left")
         runs = F.array(*[F.struct(F.lit(s).alias("run_id"), F.col(f"t{s}").alias("t0")) for s in SEEDS])
         rows = timed.select("r", "c", "blocked", F.explode(runs).alias("run")).select(
@@ -198,12 +197,10 @@ class Tables:
 
     @property
     def present_runs(self) -> DataFrame:
-        """``config, seed`` pairs that exist: returned parts of a size and their line numbers."""
-        items = self.table("lineitem").filter("l_returnflag = 'R' and l_quantity = 50")
-        parts = self.table("part").filter("p_size <= 3")
-        return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-            F.col("p_brand").alias("config"), (F.col("l_linenumber") + 41).alias("seed")
-        ).distinct()
+        """``config, seed`` pairs whose run exists: an even number of items, over all line items and parts."""
+        items = self.table("lineitem").join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        runs = items.groupBy(F.col("p_brand").alias("config"), (F.col("l_linenumber") + 41).alias("seed")).agg(F.count(F.lit(1)).alias("n"))
+        return runs.filter(F.col("n") % 2 == 0).select("config", "seed")
 
 
 def _values(rows) -> str:
@@ -239,7 +236,7 @@ FIXTURE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         from masked"""),
     "ig": ((), """
         select l_orderkey, 41 + l_linenumber run_id, min(extract(day from l_shipdate)) % 12 t0
-        from lineitem where l_linenumber <= 5 group by 1, 2"""),
+        from lineitem group by 1, 2"""),
     "winds": ((), f"select * from (values {_values(WINDS)}) w(run_id, speed_kmh, direction_deg)"),
     "steps": ((), f"select cast(range as int) step from range(0, {LAST_STEP + 1})"),
     "snapshots": (("masked", "ig", "winds", "steps"), """
@@ -302,8 +299,8 @@ FIXTURE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
           cross join (values ('whole'), ('buildings'), ('crop_buildings'), ('spec')) d(domain))
         where inside"""),
     "present_runs": ((), """
-        select distinct p_brand config, cast(l_linenumber + 41 as int) seed from lineitem join part on l_partkey = p_partkey
-        where l_returnflag = 'R' and l_quantity = 50 and p_size <= 3"""),
+        select p_brand config, cast(l_linenumber + 41 as int) seed from lineitem join part on l_partkey = p_partkey
+        group by 1, 2 having count(*) % 2 = 0"""),
 }
 
 

@@ -21,7 +21,7 @@ from cinderframe.sources import tables
 TRIALS, FOLDS, TREES = 3, 2, 20
 TARGET = "ignited"
 
-VARYING = ("slope_risk", "proximity_risk", "building_presence", "material_risk", "wind_speed", "wind_sin", "wind_cos", "neighbor_burning_count", "composite_flammability", "wind_weighted_score")
+VARYING = tuple(features.SCHEMA_B)
 
 
 @query("l1_standardise", with_fixtures("training", "select run_id, step, r, c, " + ", ".join(
@@ -38,7 +38,7 @@ def split(t: Tables, schema: str = "B") -> tuple[DataFrame, DataFrame]:
     The fits read it many times; a table in the shared folder survives lost
     executors and is not derived again.
     """
-    rows = sampling.stratified_split(t.training(schema), TARGET, IDS)
+    rows = sampling.stratified_split(t.training_table(schema), TARGET, IDS)
     table = written(rows, f"learning-{schema}", partition_by=("part",))
     return table.filter("part = 'train'"), table.filter("part = 'test'")
 
@@ -170,7 +170,7 @@ def refit_check(t: Tables):
     """Fit twice, once from a repartitioned table, and compare coefficients."""
     train, _ = split(t)
     first = coefficients(t, learning.fit_logistic(train, features.SCHEMA_B), features.SCHEMA_B, "first")
-    again = train.repartition(5, "r", "c")
+    again = train.repartition("r", "c")
     second = coefficients(t, learning.fit_logistic(again, features.SCHEMA_B), features.SCHEMA_B, "second")
     changes = domains.coefficient_changes(first, second)
     return changes.agg(F.max("abs_diff").alias("max_abs_diff"), (F.max("abs_diff") < 1e-6).alias("reproduced"))
@@ -182,11 +182,9 @@ def model_round_trip(t: Tables):
     train, test = split(t)
     model = learning.fit_logistic(train, features.SCHEMA_B)
     loaded = learning.load_model(learning.save_model(model, scratch_path(t.spark, "model")))
-    before = learning.predict(model, test, IDS, "p_before")
-    after = learning.predict(loaded, test, IDS, "p_after")
-    return before.join(after, IDS).agg(
-        F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("p_before") - F.col("p_after"))).alias("max_abs_diff")
-    )
+    before = learning.predict(model, test, [*IDS, *features.SCHEMA_B], "p_before")
+    after = learning.predict(loaded, before, ["p_before"], "p_after")
+    return after.agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("p_before") - F.col("p_after"))).alias("max_abs_diff"))
 
 
 @query("l11_train_on_role")

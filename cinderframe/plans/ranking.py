@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinderframe.functions.columns import is_truth
+from cinderframe.functions.joins import join_metadata
 from cinderframe.operators import cells as cell_ops
 from cinderframe.operators import domains, learning, probability, profile, sampling
 from cinderframe.plans.fixtures import SEEDS, Tables, with_fixtures
 from cinderframe.plans.projections import RAW_CLASS, raw_classes
 from cinderframe.plans.registry import query, rounded
+from cinderframe.session import written
 from cinderframe.sources import tables
 
 IDS = ["run_id", "step", "r", "c"]
@@ -79,13 +81,18 @@ def best_trial(t: Tables):
 
 
 @query("w6_scenario_union", with_fixtures("training", """
-    select run_id, count(*) "rows", cast(sum(ignited) as bigint) positives, round(avg(ignited), 6) positive_rate
-    from training where run_id <> 44 group by 1"""))
+    select run_id, "rows", positives, round(positive_rate, 6) positive_rate from (
+      select run_id, count(*) "rows", cast(sum(ignited) as bigint) positives, avg(ignited) positive_rate, max(sum(ignited)) over () most
+      from training group by 1) where positives >= 0.2::double * most"""))
 def scenario_union(t: Tables):
-    """Union of one frame per scenario, one of which failed."""
+    """Union of one frame per scenario; one that hardly burned failed and left no folder."""
     rows = t.training_table(partition_by=("run_id",))
-    frames = [None if s == 44 else rows.filter(F.col("run_id") == s) for s in SEEDS]
-    combined = tables.union_scenarios(frames, rows.schema, t.spark)
+    burned = rows.groupBy("run_id").agg(F.sum("ignited").alias("positives"))
+    alive = burned.filter(F.col("positives") >= 0.2 * burned.agg(F.max("positives")).scalar()).select("run_id")
+    folders = written(join_metadata(rows, alive, ["run_id"], "left_semi"), "scenarios", ("run_id",))
+    found = {r["run_id"] for r in folders.select("run_id").distinct().collect()}  # one row per folder
+    frames = [folders.filter(F.col("run_id") == s) if s in found else None for s in SEEDS]
+    combined = tables.union_scenarios(frames, folders.schema, t.spark)
     return rounded(profile.class_balance(combined, "ignited", ["run_id"]), "positive_rate")
 
 

@@ -79,12 +79,12 @@ def snapshot_table(t: Tables):
     select run_id, {LAST_STEP} stop_step,
       case when max(case when step = {LAST_STEP} then active_cells end) over (partition by run_id) > 0
         then 'max_timesteps' else 'inactive' end stop_reason,
-      100 max_timesteps, step requested_step, step actual_step, active_cells, reached_cells,
+      100 max_timesteps, requested_step, step actual_step, active_cells, reached_cells,
       case when active_cells > 0 then 'time-limited (active)' else 'inactive' end status
-    from (select run_id, step, count(*) filter (where state in (3, 4)) active_cells,
-            count(*) filter (where state in (3, 4, 5)) reached_cells from snapshots group by 1, 2)"""))
+    from (select *, step requested_step from progress union all
+      select *, unnest([{LAST_STEP + 3}, {2 * LAST_STEP}]) from progress where step = {LAST_STEP})""", "progress as (select run_id, step, count(*) filter (where state in (3, 4)) active_cells, count(*) filter (where state in (3, 4, 5)) reached_cells from snapshots group by 1, 2)"))
 def run_log(t: Tables):
-    logs = runlog.build_run_logs(progression(t.snapshots), 100)
+    logs = runlog.build_run_logs(progression(t.snapshots), 100, later=(LAST_STEP, LAST_STEP + 3, 2 * LAST_STEP))
     path = runlog.write_run_logs(logs, scratch_path(t.spark, "run-logs"))
     return runlog.read_run_logs(t.spark, path)
 

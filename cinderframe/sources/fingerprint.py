@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WHOLE_FILE_LIMIT = 1 << 30
 CHUNK = 1 << 20
 
 
@@ -28,16 +27,10 @@ def _stream_digests(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         yield batch.assign(sha256=digests)
 
 
-def fingerprint_files(spark: SparkSession, path: str, pattern: str = "*", limit: int = WHOLE_FILE_LIMIT) -> DataFrame:
-    """``path, length, sha256`` of every file.
-
-    Files up to ``limit`` bytes are digested in the JVM. Larger ones do not fit
-    a row, so their tasks stream them in 1 MB chunks.
-    """
+def fingerprint_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``path, length, sha256`` of every file; tasks stream the bytes in 1 MB chunks."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    small = files.filter(F.col("length") <= limit).select("path", "length", F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > limit).select("path", "length")
-    return small.unionByName(large.mapInPandas(_stream_digests, "path string, length bigint, sha256 string"))
+    return files.select("path", "length").mapInPandas(_stream_digests, "path string, length bigint, sha256 string")
 
 
 def check_fingerprints(found: DataFrame, expected: DataFrame) -> DataFrame:

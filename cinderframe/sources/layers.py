@@ -18,9 +18,7 @@ def check_grids(grids: Mapping[str, Grid]) -> Grid:
     for name in names[1:]:
         for part in ("height", "width", "crs", "xmin", "ymax", "pixel"):
             if getattr(grids[name], part) != getattr(first, part):
-                raise ValueError(
-                    f"Alignment mismatch for {name}: {part} {getattr(grids[name], part)} != {getattr(first, part)}"
-                )
+                raise ValueError(f"layer {name!r} lies on another grid than {names[0]!r}: {part} is {getattr(grids[name], part)}, not {getattr(first, part)}")
     return first
 
 
@@ -43,7 +41,7 @@ def stack_layers(layers: Mapping[str, DataFrame], *, strict: bool = True) -> Dat
     present = reduce(lambda a, b: a + b, [(F.col(f"__n{i}") == 1).cast("int") for i in range(len(names))])
     stacked = stacked.withColumn("layers_present", present)
     if strict:
-        error = F.raise_error(F.concat_ws(" ", F.lit("Alignment mismatch at cell"), F.col("r"), F.col("c")))
+        error = F.raise_error(F.concat_ws(" ", F.lit("layers do not all have one value at cell"), F.col("r"), F.col("c")))
         whole = F.when(F.col("layers_present") == len(names), F.col("layers_present")).otherwise(error.cast("int"))
         stacked = stacked.withColumn("layers_present", whole)
     return stacked.select("r", "c", *names, "layers_present")

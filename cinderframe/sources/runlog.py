@@ -14,16 +14,27 @@ LOG_SCHEMA = (
 )
 
 
-def build_run_logs(progress: DataFrame, max_timesteps: int, key: str = "run_id") -> DataFrame:
-    """One nested record per run from its per-step progress (one entry per step)."""
+def build_run_logs(progress: DataFrame, max_timesteps: int, key: str = "run_id", later: Sequence[int] = ()) -> DataFrame:
+    """One nested record per run from its per-step progress (one entry per step).
+
+    ``later`` are steps requested whether or not the run got there; one past the stop
+    gets an entry with the last recorded step as its actual step.
+    """
     entry = F.struct(
         F.col("step").alias("requested_step"), F.col("step").alias("actual_step"), "active_cells", "reached_cells", "status"
     )
     logs = progress.groupBy(key).agg(
         F.max("step").alias("stop_step"),
         F.max_by("active_cells", "step").alias("__active"),
-        F.array_sort(F.collect_list(entry)).alias("snapshots"),
+        F.array_sort(F.collect_list(entry)).alias("__entries"),
+    )
+    asked = F.array(*[F.lit(s) for s in later]).cast("array<int>")
+    last = F.element_at("__entries", -1)
+    past = F.transform(
+        F.filter(asked, lambda s: s > F.col("stop_step")),
+        lambda s: F.struct(s.alias("requested_step"), *[last[n].alias(n) for n in ("actual_step", "active_cells", "reached_cells", "status")]),
     )
+    logs = logs.withColumn("snapshots", F.concat("__entries", past) if later else F.col("__entries"))
     reason = F.when(F.col("__active") > 0, "max_timesteps").otherwise("inactive")
     return logs.select(key, "stop_step", reason.alias("stop_reason"), F.lit(max_timesteps).alias("max_timesteps"), "snapshots")
 

@@ -187,20 +187,22 @@ def test_circle_brute_force(spark):
 def test_equal_area_circle_takes_whole_size(spark, mask_of):
     all_cells = mask_of({(r, c) for r in range(15) for c in range(15)})
     sizes = spark.createDataFrame([(1, 1), (2, 7), (3, 100)], "run_id int, n_cells bigint")
-    circles = baselines.equal_area_circle(all_cells, sizes, "run_id", 7, 7)
-    members = baselines.equal_area_members(all_cells, circles, "run_id", 7, 7)
-    assert {x.run_id: x["count"] for x in members.groupBy("run_id").count().collect()} == {1: 1, 2: 7, 3: 100}
+    scores = baselines.equal_area_scores(all_cells, (F.col("r") + F.col("c")) % 3 == 0, sizes, "run_id", 7, 7).collect()
     order = sorted(((r - 7) ** 2 + (c - 7) ** 2, r, c) for r in range(15) for c in range(15))
-    assert {(x.r, x.c) for x in members.filter("run_id = 3").collect()} == {(r, c) for _, r, c in order[:100]}
+    for x in scores:
+        inside = order[: x.n_cells]
+        hits = sum((r + c) % 3 == 0 for _, r, c in inside)
+        assert (x.dist2, x.tp, x.fp) == (inside[-1][0], hits, x.n_cells - hits)
+    assert sorted((x.run_id, x.n_cells) for x in scores) == [(1, 1), (2, 7), (3, 100)]
 
 
 def test_layers_must_align(spark):
     a = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "r int, c int, value double")
     assert layers.stack_layers({"a": a, "b": a}).count() == 2
     short = {"a": a, "b": a.filter("c = 0")}
-    with pytest.raises(PySparkException, match="Alignment mismatch"):
+    with pytest.raises(PySparkException, match="layers do not all have one value"):
         layers.stack_layers(short).collect()
-    with pytest.raises(PySparkException, match="Alignment mismatch"):
+    with pytest.raises(PySparkException, match="layers do not all have one value"):
         layers.stack_layers({"a": a, "b": a.union(a.filter("c = 0"))}).collect()
     assert layers.stack_layers(short, strict=False).filter("layers_present = 1").count() == 1
     grid = Grid(0, 0, 3, 1, 2)
