@@ -64,15 +64,15 @@ def excluded(cells: DataFrame, domain: DataFrame) -> DataFrame:
     return cells.join(domain.select("r", "c"), ["r", "c"], "left_anti")
 
 
-def disagreement(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFrame:
-    """Cells compared and cells where two masks differ; a missing cell differs."""
-    joined = a.select("r", "c", F.col(name_a).alias("__a")).join(
-        b.select("r", "c", F.col(name_b).alias("__b")), ["r", "c"], "full_outer"
-    )
-    return joined.agg(
-        F.count(F.lit(1)).alias("cells"),
-        F.count_if(~F.col("__a").eqNullSafe(F.col("__b"))).alias("different"),
-    )
+def disagreement(a: DataFrame, b: DataFrame, names: dict[str, str], mask: str) -> DataFrame:
+    """Cells compared and, per mask of ``a``, cells where it differs from ``mask`` of ``b``; a missing cell differs.
+
+    ``names`` maps masks of ``a`` to result columns; all are compared in one join.
+    """
+    left = a.select("r", "c", *[F.col(n).alias(f"__{n}") for n in names])
+    joined = left.join(b.select("r", "c", F.col(mask).alias("__mask")), ["r", "c"], "full_outer")
+    differ = [F.count_if(~F.col(f"__{n}").eqNullSafe(F.col("__mask"))).alias(out) for n, out in names.items()]
+    return joined.agg(F.count(F.lit(1)).alias("cells"), *differ)
 
 
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:

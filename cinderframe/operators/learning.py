@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.ml import PipelineModel
@@ -16,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from cinderframe.operators.probability import best_cutoff, cutoff_counts, f1_of_counts, roc_auc
+from cinderframe.operators import trials
+from cinderframe.operators.probability import best_cutoff, cutoff_counts, roc_auc
 
 TARGET = "ignited"
 WEIGHT = "sample_weight"
@@ -225,7 +225,7 @@ def evaluate(
 def random_trials(n: int, seed: int = 42) -> list[Recipe]:
     """Seeded draws from the search space."""
     rng = random.Random(seed)
-    trials = []
+    drawn = []
     for _ in range(n):
         penalty = rng.choice(["l1", "l2", "elasticnet"])
         low, high = (math.log(v) for v in C_RANGE)
@@ -233,45 +233,14 @@ def random_trials(n: int, seed: int = 42) -> list[Recipe]:
         l1_ratio = rng.random() if penalty == "elasticnet" else 0.0
         strategy = rng.choice(["balanced", "custom"])
         weight = rng.uniform(*POSITIVE_WEIGHT_RANGE) if strategy == "custom" else 1.0
-        trials.append(Recipe(penalty, strength, l1_ratio, strategy, weight))
-    return trials
-
-
-def search(
-    folded: DataFrame,
-    features: Sequence[str],
-    trials: Sequence[Recipe],
-    *,
-    folds: int = 5,
-    label: str = TARGET,
-    workers: int = 4,
-) -> list[dict]:
-    """Mean best-F1 over folds for each trial.
-
-    ``folded`` has a ``fold`` column. The table is cached once and the fits are
-    submitted from a few driver threads; rows stay on the executors. A lost
-    block is recomputed from the input.
-    """
-    cached = folded.select(*features, label, "fold").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        parts = []
-        for k in range(folds):
-            train = cached.filter(F.col("fold") != k)
-            parts.append((train, cached.filter(F.col("fold") == k), training_stats(train, features, label)))
-
-        def run(trial: Recipe) -> float:
-            scores = []
-            for train, held_out, stats in parts:
-                model = fit_logistic(train, features, trial, label=label, stats=stats)
-                sweep = cutoff_counts(predict(model, held_out, [label]), label, "p")
-                scores.append(sweep.agg(F.max(f1_of_counts())).first()[0] or 0.0)
-            return sum(scores) / len(scores)
-
-        with ThreadPoolExecutor(max_workers=workers) as pool:
-            values = list(pool.map(run, trials))
-    finally:
-        cached.unpersist()
-    return [{"trial": i, "cv_f1": v, **asdict(t)} for i, (t, v) in enumerate(zip(trials, values))]
+        drawn.append(Recipe(penalty, strength, l1_ratio, strategy, weight))
+    return drawn
+
+
+def search(folded: DataFrame, features: Sequence[str], recipes: Sequence[Recipe], *, folds: int = 5, label: str = TARGET) -> list[dict]:
+    """Mean best-F1 over folds for each trial; ``folded`` has a ``fold`` column."""
+    values = trials.search(folded, features, recipes, folds=folds, label=label)
+    return [{"trial": i, "cv_f1": v, **asdict(t)} for i, (t, v) in enumerate(zip(recipes, values))]
 
 
 def best_trial(results: Sequence[dict]) -> dict:

@@ -25,13 +25,12 @@ def value_counts(df: DataFrame, columns: Sequence[str], name: str = "feature") -
     return _long(df, columns, name=name).groupBy(name, "value").agg(F.count(F.lit(1)).alias("cells"))
 
 
-def layer_summary(cells: DataFrame, layers: Sequence[str], sentinel: float = -9999.0) -> DataFrame:
-    """Distinct values, nodata and non-finite counts, usable range per layer.
+def layer_summary(counts: DataFrame, sentinel: float = -9999.0) -> DataFrame:
+    """Distinct values, nodata and non-finite counts, usable range per layer, from its value counts.
 
-    Two steps: value counts first (partial counts merge map-side), then one row
-    per layer, so no distinct set is built in one task.
+    Value counts come first (partial counts merge map-side), then one row per
+    layer, so no distinct set is built in one task.
     """
-    counts = value_counts(cells, layers, name="layer")
     value, n = F.col("value"), F.col("cells")
     missing = value == F.lit(sentinel)
     non_finite = F.isnan(value) | value.isin(float("inf"), float("-inf"))

@@ -111,14 +111,13 @@ def random_mask(cells: DataFrame, truth: Column, *, seed: int = 42) -> DataFrame
     return cells.withColumn("pred", hash_unit(seed, "r", "c") < rate)
 
 
-def class_weights(df: DataFrame, label: str, strategy: str = "balanced", positive_weight: float = 1.0) -> DataFrame:
-    """Weight per class: ``balanced`` is n / (2 n_k), ``custom`` weighs positives, ``none`` is 1."""
-    counts = class_counts(df, label)
-    if strategy == "balanced":
-        total = df.agg(F.count(F.lit(1))).scalar()
-        weight = total / (2 * F.col("class_rows"))
-    elif strategy == "custom":
-        weight = F.when(F.col(label) == 1, F.lit(float(positive_weight))).otherwise(F.lit(1.0))
-    else:
-        weight = F.lit(1.0)
-    return counts.withColumn("weight", weight.cast("double"))
+def class_weights(df: DataFrame, label: str, positive_weight: float = 1.0) -> DataFrame:
+    """Weight per strategy and class, from one count: ``balanced`` is n / (2 n_k), ``custom`` weighs positives, ``none`` is 1."""
+    counts = class_counts(df, label).withColumn("__n", F.sum("class_rows").over(Window.partitionBy(F.lit(0))))  # two rows
+    weights = {
+        "balanced": F.col("__n") / (2 * F.col("class_rows")),
+        "custom": F.when(F.col(label) == 1, F.lit(float(positive_weight))).otherwise(1.0),
+        "none": F.lit(1.0),
+    }
+    rows = F.array(*[F.struct(F.lit(n).alias("strategy"), w.cast("double").alias("weight")) for n, w in weights.items()])
+    return counts.select(label, "class_rows", F.explode(rows).alias("w")).select(label, "class_rows", "w.*")

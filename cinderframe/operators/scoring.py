@@ -89,11 +89,22 @@ def _per_case(df: DataFrame, keys: Sequence[str], cases: Sequence[Case], counter
     return wide.select(*keys, F.explode(rows).alias("case")).select(*keys, "case.*")
 
 
-def domain_inventory(cells: DataFrame, cases: Sequence[Case], keys: Sequence[str] = ()) -> DataFrame:
+SIZES = {"cells": lambda case: F.count_if(case.mask), "positives": lambda case: F.count_if(case.mask & case.truth)}
+
+
+def domain_totals(cells: DataFrame, cases: Sequence[Case], keys: Sequence[str] = ()) -> DataFrame:
     """Cells and positives of each truth and domain."""
+    return _per_case(cells, keys, cases, SIZES)
+
+
+def domain_inventory(cells: DataFrame, cases: Sequence[Case], building: Column, valid: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Cells, positives, buildings and invalid cells of each truth and domain, from one aggregation."""
     counters = {
-        "cells": lambda case: F.count_if(case.mask),
-        "positives": lambda case: F.count_if(case.mask & case.truth),
+        **SIZES,
+        "building_cells": lambda case: F.count_if(case.mask & building),
+        "invalid_cells": lambda case: F.count_if(case.mask & ~valid),
+        "invalid_building_cells": lambda case: F.count_if(case.mask & building & ~valid),
+        "positives_off_buildings": lambda case: F.count_if(case.mask & case.truth & ~building),
     }
     return _per_case(cells, keys, cases, counters)
 
@@ -124,7 +135,7 @@ def score_runs(reached: DataFrame, cells: DataFrame, runs: DataFrame, cases: Seq
     joined = reached.select(*keys, "r", "c").join(cells, ["r", "c"])
     hits = _per_case(joined, keys, cases, counters)
     # One row per case: the number of cases is fixed by the caller.
-    totals = F.broadcast(domain_inventory(cells, cases))
+    totals = F.broadcast(domain_totals(cells, cases))
     names = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in case.labels.items()]) for case in cases])
     expected = runs.select(*keys).distinct().select(*keys, F.explode(names).alias("case")).select(*keys, "case.*")
     out = expected.join(hits, [*keys, *labels], "left").join(totals, labels).na.fill(0, ["tp", "predicted"])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cinderframe.functions.columns import is_reached, is_truth
+from cinderframe.functions.joins import join_metadata
 from cinderframe.operators import (
     digest,
     domains,
@@ -22,6 +24,7 @@ from cinderframe.operators.scoring import Case
 from cinderframe.plans.fixtures import CROPS, PIXEL, Tables, with_fixtures
 from cinderframe.plans.registry import query, r6, rounded
 from cinderframe.plans.scans import LAYER_COLUMNS
+from cinderframe.session import written
 from cinderframe.sources import wind
 
 HORIZONS = (3, 6, 9, 20)
@@ -169,10 +172,10 @@ def proper_losses(t: Tables):
       round(first_value(case when {SWEEP_F1} > 0 then cutoff else 0.5 end) over (order by {SWEEP_F1} desc, cutoff_no), 6) best_cutoff
     from sweep""", CUTOFF_SQL))
 def threshold_sweep(t: Tables):
-    sweep = probability.cutoff_counts(t.scored, "label", "p")
-    # 16 rows: the best cutoff is one number.
-    best = probability.best_cutoff(sweep).agg(F.max("best_cutoff")).scalar()
-    rows = sweep.withColumns({"f1": probability.f1_of_counts(), "best_cutoff": best})
+    rows = probability.cutoff_counts(t.scored, "label", "p").withColumn("f1", probability.f1_of_counts())
+    # A window over 16 rows: the first cutoff with the highest F1, else 0.5.
+    first = F.first(F.when(F.col("f1") > 0, F.col("cutoff")).otherwise(0.5)).over(Window.partitionBy(F.lit(0)).orderBy(F.desc("f1"), "cutoff_no"))
+    rows = rows.withColumn("best_cutoff", first)
     return rounded(rows, "cutoff", "f1", "best_cutoff")
 
 
@@ -201,21 +204,32 @@ def across_seeds(t: Tables):
     return rounded(summary, "mean", "sd", "min", "max").withColumn("per_seed", per_seed_text("per_seed"))
 
 
-@query("a15_layer_values", with_fixtures("cells", """
-    select layer, count(distinct value) distinct_values, count(*) filter (where value = -9999) nodata_cells, 0::bigint nonfinite_cells,
-      min(value) filter (where value <> -9999) usable_min, max(value) filter (where value <> -9999) usable_max from (
-      select unnest(['slope_raw', 'proximity_raw', 'buildings_raw', 'materials_raw']) layer,
-        unnest([slope_raw, proximity_raw, buildings_raw, materials_raw]) as value from cells) group by 1"""))
+# A fifth layer with cells that are no numbers.
+RATIO = {True: "case when (r * 120 + c) % 101 = 0 then double('nan') when (r * 120 + c) % 103 = 0 then double('infinity') else proximity_raw end"}
+RATIO[False] = RATIO[True].replace("double('nan')", "'nan'::double").replace("double('infinity')", "'inf'::double")
+
+
+@query("a15_layer_values", with_fixtures("cells", f"""
+    select layer, v as value, n cells, count(*) over (partition by layer) distinct_values,
+      cast(sum(case when v = -9999 then n else 0 end) over (partition by layer) as bigint) nodata_cells,
+      cast(sum(case when isnan(v) or isinf(v) then n else 0 end) over (partition by layer) as bigint) nonfinite_cells,
+      min(case when v <> -9999 and isfinite(v) then v end) over (partition by layer) usable_min,
+      max(case when v <> -9999 and isfinite(v) then v end) over (partition by layer) usable_max from (
+      select unnest(['slope_raw', 'proximity_raw', 'buildings_raw', 'materials_raw', 'ratio_raw']) layer,
+        unnest([slope_raw, proximity_raw, buildings_raw, materials_raw, {RATIO[False]}]) v, count(*) n from cells group by 1, 2)"""))
 def layer_values(t: Tables):
-    return profile.layer_summary(t.cells, LAYER_COLUMNS)
+    """Every layer's values with their counts, beside the layer's summary."""
+    cells = t.cells.withColumn("ratio_raw", F.expr(RATIO[True]))
+    counts = written(profile.value_counts(cells, [*LAYER_COLUMNS, "ratio_raw"], name="layer"), "layer-values")
+    return join_metadata(counts, profile.layer_summary(counts), ["layer"])
 
 
 @query("a16_dataset_summary", with_fixtures("training", """
     select wind_speed, count(*) "rows", cast(sum(ignited) as bigint) positives, round(avg(ignited), 6) positive_rate,
       round(count(*) / sum(count(*)) over (), 6) share_of_rows from training group by 1"""))
 def dataset_summary(t: Tables):
-    per_wind = profile.class_balance(t.training_table(), "ignited", ["wind_speed"])
-    total = per_wind.agg(F.sum("rows")).scalar()
+    per_wind = profile.class_balance(t.training(), "ignited", ["wind_speed"])
+    total = F.sum("rows").over(Window.partitionBy(F.lit(0)))  # one row per wind speed of a run
     return rounded(per_wind.withColumn("share_of_rows", F.col("rows") / total), "positive_rate", "share_of_rows")
 
 
@@ -342,13 +356,19 @@ def sensitivity_band(t: Tables):
       when 'custom' then case when ignited = 1 then 7.5 else 1 end else 1 end, 6) weight
     from (select ignited, count(*) n from training group by 1) cross join (values ('balanced'), ('custom'), ('none')) s(strategy)"""))
 def class_weights(t: Tables):
-    rows = t.training_table()
-    parts = [sampling.class_weights(rows, "ignited", s, 7.5).withColumn("strategy", F.lit(s)) for s in ("balanced", "custom", "none")]
-    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "weight")
-
-
-@query("a26_domain_inventory", with_fixtures("domains", f"""
-    select f.fire, d.domain, count(m.r) cells, cast(coalesce(sum(burned), 0) as bigint) positives
-    from {CASE_GRID} left join domains m on m.fire = f.fire and m.domain = d.domain group by 1, 2"""))
+    return rounded(sampling.class_weights(t.training(), "ignited", 7.5), "weight")
+
+
+@query("a26_domain_inventory", with_fixtures("domains masked", f"""
+    select *, reference_total - positives positives_outside from (
+      select fire, domain, cells, positives, building_cells, invalid_cells, invalid_building_cells, positives_off_buildings,
+        max(case when domain = 'whole' then positives end) over (partition by fire) reference_total from (
+        select f.fire, d.domain, count(m.r) cells, cast(coalesce(sum(burned), 0) as bigint) positives,
+          count(*) filter (where buildings_raw > 0) building_cells, count(*) filter (where not burnable) invalid_cells,
+          count(*) filter (where buildings_raw > 0 and not burnable) invalid_building_cells,
+          count(*) filter (where burned = 1 and not buildings_raw > 0) positives_off_buildings
+        from {CASE_GRID} left join domains m on m.fire = f.fire and m.domain = d.domain left join masked k on k.r = m.r and k.c = m.c group by 1, 2))"""))
 def domain_inventory(t: Tables):
-    return scoring.domain_inventory(t.env, cases())
+    rows = scoring.domain_inventory(t.env, cases(), F.col("buildings_raw") > 0, F.col("burnable"))
+    whole = F.max(F.when(F.col("domain") == "whole", F.col("positives"))).over(Window.partitionBy("fire"))  # four domains per fire
+    return rows.withColumn("reference_total", whole).withColumn("positives_outside", F.col("reference_total") - F.col("positives"))

@@ -158,9 +158,6 @@ def model_comparison(t: Tables):
     select count(*) cells, count(*) filter (where (buildings_raw = 10) <> (materials_raw > 0)) as different,
       count(*) filter (where (buildings_raw > 0) <> (materials_raw > 0)) different_loose from cells"""))
 def layer_equality(t: Tables):
-    exact = t.cells.select("r", "c", (F.col("buildings_raw") == 10).alias("b"))
-    loose = t.cells.select("r", "c", (F.col("buildings_raw") > 0).alias("b"))
+    buildings = t.cells.select("r", "c", (F.col("buildings_raw") == 10).alias("exact"), (F.col("buildings_raw") > 0).alias("loose"))
     materials = t.cells.select("r", "c", (F.col("materials_raw") > 0).alias("m"))
-    first = domains.disagreement(exact, materials, "b", "m")
-    second = domains.disagreement(loose, materials, "b", "m").agg(F.max("different")).scalar()
-    return first.withColumn("different_loose", second)
+    return domains.disagreement(buildings, materials, {"exact": "different", "loose": "different_loose"}, "m")

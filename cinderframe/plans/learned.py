@@ -17,8 +17,8 @@ from cinderframe.plans.registry import query, rounded
 from cinderframe.session import scratch_path, written
 from cinderframe.sources import tables
 
-# Sizes for a quick run. The full study takes 100 trials, 5 folds and 200 trees.
-TRIALS, FOLDS, TREES = 3, 2, 20
+# Sizes of the full study.
+TRIALS, FOLDS, TREES = 100, 5, 200
 TARGET = "ignited"
 
 VARYING = tuple(features.SCHEMA_B)
@@ -167,9 +167,10 @@ def variant_matrix(t: Tables):
 
 @query("l9_refit_check")
 def refit_check(t: Tables):
-    """Fit twice, once from a repartitioned table, and compare coefficients."""
+    """Fit again from a repartitioned table and compare with the coefficients of the saved model."""
     train, _ = split(t)
-    first = coefficients(t, learning.fit_logistic(train, features.SCHEMA_B), features.SCHEMA_B, "first")
+    path = learning.save_model(learning.fit_logistic(train, features.SCHEMA_B), scratch_path(t.spark, "model"))
+    first = coefficients(t, learning.load_model(path), features.SCHEMA_B, "first")
     again = train.repartition("r", "c")
     second = coefficients(t, learning.fit_logistic(again, features.SCHEMA_B), features.SCHEMA_B, "second")
     changes = domains.coefficient_changes(first, second)

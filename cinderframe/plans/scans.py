@@ -11,7 +11,7 @@ from cinderframe.operators.transitions import progression
 from cinderframe.functions.columns import is_reached, is_truth
 from cinderframe.plans.fixtures import LAST_STEP, Tables, with_fixtures
 from cinderframe.plans.registry import query, r6, rounded
-from cinderframe.session import scratch_path
+from cinderframe.session import scratch_path, written
 from cinderframe.sources import fingerprint, layers, runlog, tables, wind
 
 LAYER_COLUMNS = ("slope_raw", "proximity_raw", "buildings_raw", "materials_raw")
@@ -116,14 +116,33 @@ def result_sinks(t: Tables):
     )
 
 
-@query("s9_file_fingerprints")
+@query("s9_file_fingerprints", """
+    with listed as (
+      select 'part-' || p_partkey % 4 as file, p_partkey k, p_name as name from part
+      union all select 'customer-' || c_custkey % 4, c_custkey, c_name from customer
+      union all select 'supplier-' || s_suppkey % 4, s_suppkey, s_name from supplier),
+    digests as (
+      select file, sha256(string_agg(k || '|' || name || chr(10), '' order by k)) expected_sha256,
+        sha256(string_agg(k || '|' || case when file = 'customer-1' then lower(name) else name end || chr(10), '' order by k)) later
+      from listed group by 1)
+    select file, expected_sha256, case when file = 'supplier-2' then null else later end as sha256,
+      case when file = 'supplier-2' then 'missing' when later = expected_sha256 then 'match' else 'differs' end status from digests""")
 def file_fingerprints(t: Tables):
-    """Digest every input file and compare with the recorded digests."""
-    found = fingerprint.fingerprint_files(t.spark, t.sf_dir, "*.parquet")
-    recorded = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("sha256").alias("expected_sha256"))
-    path = scratch_path(t.spark, "digests")
-    recorded.write.parquet(path)
-    return fingerprint.check_fingerprints(found, t.spark.read.parquet(path))
+    """Record digests of written files, then check a later copy in which one changed and one is gone."""
+    parts = [("part", "p_partkey", "p_name"), ("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name")]
+    listed = [t.table(n).select(F.concat(F.lit(f"{n}-"), F.col(k) % 4).alias("file"), F.col(k).alias("k"), F.col(v).alias("name")) for n, k, v in parts]
+    rows = listed[0].unionByName(listed[1]).unionByName(listed[2])
+
+    def digests(lines, label):
+        folder = scratch_path(t.spark, label)
+        ordered = lines.repartition("file").sortWithinPartitions("file", "k")
+        ordered.select("file", F.concat_ws("|", "k", "name").alias("value")).write.partitionBy("file").text(folder)
+        return fingerprint.fingerprint_files(t.spark, folder, "*.txt")
+
+    name = F.regexp_extract("path", "/file=([^/]+)/", 1)
+    recorded = written(digests(rows, "files").select(name.alias("file"), F.col("sha256").alias("expected_sha256")), "digests")
+    changed = rows.filter("file <> 'supplier-2'").withColumn("name", F.when(F.col("file") == "customer-1", F.lower("name")).otherwise(F.col("name")))
+    return fingerprint.check_fingerprints(digests(changed, "files-later"), recorded, name).drop("length")
 
 
 @query("s10_run_inventory", with_fixtures("present_runs", """

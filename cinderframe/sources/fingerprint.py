@@ -6,9 +6,13 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderframe.functions.shipping import by_value
+
+by_value(__name__)
+
 CHUNK = 1 << 20
 
 
@@ -33,9 +37,13 @@ def fingerprint_files(spark: SparkSession, path: str, pattern: str = "*") -> Dat
     return files.select("path", "length").mapInPandas(_stream_digests, "path string, length bigint, sha256 string")
 
 
-def check_fingerprints(found: DataFrame, expected: DataFrame) -> DataFrame:
-    """Expected files with their digest on disk: ``match``, ``differs`` or ``missing``."""
-    named = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
+def check_fingerprints(found: DataFrame, expected: DataFrame, name: Column | None = None) -> DataFrame:
+    """Expected files with their digest on disk: ``match``, ``differs`` or ``missing``.
+
+    ``name`` makes a file's name of its path; without it, that is the last part.
+    """
+    name = F.element_at(F.split("path", "/"), -1) if name is None else name
+    named = found.select(name.alias("file"), "length", "sha256")
     status = (
         F.when(F.col("sha256").isNull(), "missing")
         .when(F.col("sha256") == F.col("expected_sha256"), "match")

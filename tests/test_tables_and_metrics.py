@@ -210,7 +210,7 @@ def test_constant_column_stays_zero(spark):
 def test_search_and_forest(spark, learnable, tmp_path):
     df, _, _ = learnable
     trials = learning.random_trials(2, seed=1)
-    results = learning.search(df, ["a", "b", "d"], trials, folds=3, workers=2)
+    results = learning.search(df, ["a", "b", "d"], trials, folds=3)
     assert [r["trial"] for r in results] == [0, 1] and all(0 <= r["cv_f1"] <= 1 for r in results)
     assert learning.random_trials(5, 9) == learning.random_trials(5, 9)
     tied = [{"trial": 0, "cv_f1": 0.5}, {"trial": 1, "cv_f1": 0.5}]
@@ -319,3 +319,17 @@ def test_requests_past_the_stop_repeat_the_last_state(spark):
     progress = spark.createDataFrame([(1, 0, 2, 2, "a"), (1, 1, 0, 3, "b")], "run_id int, step int, active_cells long, reached_cells long, status string")
     log = runlog.build_run_logs(progress, 50, later=(1, 4)).head()
     assert [(x.requested_step, x.actual_step, x.reached_cells) for x in log.snapshots] == [(0, 0, 2), (1, 1, 3), (4, 1, 3)]
+
+
+def test_batched_search_equals_separate_fits(spark, learnable):
+    names = ["a", "b", "d"]
+    df, _, _ = learnable
+    recipes = [Recipe(), Recipe("l1", C=0.01), Recipe("elasticnet", C=0.05, l1_ratio=0.4, class_weight="custom", positive_weight=6.0), Recipe(C=1e-4, class_weight="none")]
+    got = [r["cv_f1"] for r in learning.search(df, names, recipes, folds=3)]
+    for recipe, value in zip(recipes, got):
+        scores = []
+        for k in range(3):
+            model = learning.fit_logistic(df.filter(F.col("fold") != k), names, recipe)
+            sweep = probability.cutoff_counts(learning.predict(model, df.filter(F.col("fold") == k), ["ignited"]), "ignited", "p")
+            scores.append(sweep.agg(F.max(probability.f1_of_counts())).head()[0])
+        assert value == pytest.approx(np.mean(scores), abs=2e-3)
