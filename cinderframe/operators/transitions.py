@@ -50,8 +50,8 @@ def label_transitions(
 
     The neighbour scores, the unburnt cells and the newly ignited cells are
     partitioned alike, so each is shuffled once. Scores and ignitions follow the
-    fire front and are the hashed sides; the dense unburnt cells stream past
-    without being sorted. Steps whose successor was not recorded have no label;
+    fire front; where adaptive execution finds their partitions small enough it
+    hashes them, and the dense unburnt cells stream past without being sorted. Steps whose successor was not recorded have no label;
     ``run_log`` (one row per run and step) saves reading them off the snapshots.
     """
     keys = ["run_id", "step", "r", "c"]
@@ -62,8 +62,8 @@ def label_transitions(
     )
     recorded = snapshots if run_log is None else run_log
     labelled_steps = recorded.select("run_id", (F.col("step") - 1).alias("step")).distinct()
-    candidates = unburnt.join(scores.hint("shuffle_hash"), keys)
-    labelled = candidates.join(ignited.hint("shuffle_hash"), keys, "left").select(
+    candidates = unburnt.join(scores, keys)
+    labelled = candidates.join(ignited, keys, "left").select(
         *keys, "neighbor_burning_count", "wind_weighted_score", F.coalesce("ignited", F.lit(0)).alias("ignited")
     )
     return join_metadata(labelled, labelled_steps, ["run_id", "step"], "left_semi")

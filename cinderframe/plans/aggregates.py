@@ -298,16 +298,14 @@ def daily_wind(t: Tables):
         group by 1, 2, 3, 4, 5) group by 1, 2, 3, b2) group by 1, 2, 3"""))
 def mask_fingerprint(t: Tables):
     """Digest of every scoring domain and of its positives."""
-    out = None
+    masks = []
     for fire, truth in TRUTH_COLUMNS.items():
         r0, c0, size = CROPS[fire]
-        flags = domains.domain_flags(domains.in_window(r0, c0, size, size))
-        long = domains.domain_rows(t.env, flags)
-        positives = domains.domain_rows(t.env.filter(is_truth(truth, "one")), flags)
-        part = long.withColumn("kind", F.lit("domain")).unionByName(positives.withColumn("kind", F.lit("positives")))
-        part = part.withColumn("fire", F.lit(fire))
-        out = part if out is None else out.unionByName(part)
-    return digest.mask_digest(out, t.grid, ["fire", "domain", "kind"])
+        for domain, inside in domains.domain_flags(domains.in_window(r0, c0, size, size)).items():
+            for kind, kept in (("domain", inside), ("positives", inside & is_truth(truth, "one"))):
+                masks.append(F.when(kept, F.struct(F.lit(fire).alias("fire"), F.lit(domain).alias("domain"), F.lit(kind).alias("kind"))))
+    rows = t.env.select("r", "c", F.explode(F.array_compact(F.array(*masks))).alias("m")).select("r", "c", "m.*")
+    return digest.mask_digest(rows, t.grid, ["fire", "domain", "kind"])
 
 
 @query("a23_burn_progression", with_fixtures("snapshots", """

@@ -6,6 +6,7 @@ its ignition step; events give scored rows and hourly wind.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,13 +77,12 @@ class Tables:
             .agg(*[(F.min(F.when(F.col("l_linenumber") == s - 41, day)) % 12).alias(f"t{s}") for s in SEEDS])
         )
 
-    @property
-    def snapshots(self) -> DataFrame:
-        """``run_id, step, r, c, state`` for every run and steps 0 to 12."""
+    def states(self, steps: Sequence[int]) -> DataFrame:
+        """``run_id, step, r, c, state`` for every run and the given steps."""
         timed = self.cells_keyed.join(self.ignition_steps, "l_orderkey", "left")
         runs = F.array(*[F.struct(F.lit(s).alias("run_id"), F.col(f"t{s}").alias("t0")) for s in SEEDS])
         rows = timed.select("r", "c", "blocked", F.explode(runs).alias("run")).select(
-            "r", "c", "blocked", "run.*", F.explode(F.sequence(F.lit(0), F.lit(LAST_STEP))).alias("step")
+            "r", "c", "blocked", "run.*", F.explode(F.array(*[F.lit(s) for s in steps])).alias("step")
         )
         state = (
             F.when(F.col("blocked"), 1)
@@ -93,6 +93,11 @@ class Tables:
         )
         return rows.select("run_id", "step", "r", "c", state.alias("state"))
 
+    @property
+    def snapshots(self) -> DataFrame:
+        """States of every run at steps 0 to 12."""
+        return self.states(range(LAST_STEP + 1))
+
     @property
     def cells_keyed(self) -> DataFrame:
         masked = environment(self.cells)
@@ -101,7 +106,7 @@ class Tables:
 
     @property
     def final(self) -> DataFrame:
-        return self.snapshots.filter(F.col("step") == LAST_STEP).drop("step")
+        return self.states([LAST_STEP]).drop("step")
 
     @property
     def winds(self) -> DataFrame:
