@@ -32,11 +32,6 @@ def domain_rows(cells: DataFrame, flags: dict[str, Column]) -> DataFrame:
     return cells.select(F.explode(F.array_compact(named)).alias("domain"), "r", "c")
 
 
-def restrict(rows: DataFrame, domains: DataFrame, domain: str) -> DataFrame:
-    """Rows on cells of one domain."""
-    return rows.join(domains.filter(F.col("domain") == domain).select("r", "c"), ["r", "c"], "left_semi")
-
-
 def restrict_each(rows: DataFrame, domains: DataFrame) -> DataFrame:
     """Rows once per domain they lie in, from one pass; ``domain, r, c`` is unique."""
     return rows.join(domains.select("domain", "r", "c"), ["r", "c"])

@@ -3,9 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
+from cinderframe.plans.catalog import ORACLES, QUERIES
 from oracle import compare, duck
 
-ORACLES = entry.oracle_sql()
 SLOW = {"l4_random_forest", "l8_variant_matrix"}
 
 
@@ -16,17 +16,17 @@ def con(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, con, sf_dir, name):
-    assert compare(entry.queries()[name](spark, sf_dir), con, ORACLES[name]) == []
+    assert compare(QUERIES[name](spark, sf_dir), con, ORACLES[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
 def test_has_rows(spark, sf_dir, name):
-    assert entry.queries()[name](spark, sf_dir).count() > 0
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_names():
-    assert set(ORACLES) <= set(entry.queries())
-    assert len(entry.queries()) == 108
+    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 108
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
