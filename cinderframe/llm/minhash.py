@@ -9,17 +9,17 @@ a pair at 0.85 misses all of them with probability 1e-5.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderframe.llm.components import connected_components
-from cinderframe.llm.shared import batch_bytes, by_value, text_chunks, written
+from cinderframe.llm.shared import batch_bytes, by_value, fitting, text_chunks, written
 from cinderframe.llm.words import U, WordHasher, mix, numbers, shingles, space_separated
 
 by_value(__name__)
 
 PERMUTATIONS, BAND_ROWS, WORDS = 50, 5, 5
-ALL_PAIRS, PIVOTS = 32, 8
+BLOCK = 512
 
 
 def signature(sets: list[np.ndarray], permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -98,14 +98,13 @@ def near_duplicates(docs: DataFrame, similar: tuple[int, int] = (4, 5), id_col:
     Texts whose sets of ``words``-word shingles share at least ``similar`` (a fraction) of
     their union are linked; ``component_id`` is the smallest id reachable and ``kept`` marks it.
     A text without words, or null, has no shingles and links with nothing. Rows with a null
-    id are their own component with a null ``component_id`` and are kept. Repeated ids share
-    one component. Other columns are ignored; an empty table gives no rows.
+    id are their own component with a null ``component_id`` and are kept. Repeated rows get equal
+    results. Other columns are ignored; an empty table gives no rows.
 
     Documents with equal sets become one representative first, by a 128-bit digest, so
-    groups of copies cost one row. Within a bucket no pairs are listed all at once: rounds
-    compare members with a few pivots, skip pairs already in one component, and go on until
-    every pair of a bucket is in one component or compared. Buckets of up to 32
-    members are finished by all their open pairs.
+    groups of copies cost one row. Pairs of a bucket are not listed: members meet two
+    pivots first, which joins most groups; then every other pair is settled in blocks,
+    where only pairs of different components whose exact bounds allow a link leave the join.
     """
     spark = docs.sparkSession
     batch_bytes(spark)
@@ -123,48 +122,87 @@ def near_duplicates(docs: DataFrame, similar: tuple[int, int] = (4, 5), id_col:
 
 
 def _components(source: DataFrame, reps: DataFrame, similar: tuple[int, int], words: int) -> DataFrame:
-    """(node, component) of linked representatives."""
+    """(node, component) of linked representatives.
+
+    ``shared`` is the number of a set's shingles that open members of other components have. It
+    bounds every intersection with those, so a member whose other shingles are too many is finished at
+    once, and a pair is compared only if both bounds allow a link. All such tests are exact.
+    """
     part, whole = similar
-    keyed = reps.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = written(keyed.join(shared, "key").select("key", "rep", F.col("n_shingles").alias("size"), F.col("rep").alias("label")), "members")
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    sets = written(source.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, grams array<bigint>").dropDuplicates(["id"]), "sets")
+    keyed = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    size = F.col("n_shingles")
+    members = written(keyed.join(several, "key").select("key", "band", "rep", size.alias("size"), size.alias("shared"), F.col("rep").alias("label")), "members")
+    wanted = written(members.select(F.col("rep").alias("id")).distinct(), "bucketed")
+    sets = written(source.join(fitting(wanted), "id", "left_semi").mapInArrow(_sets(words), "id long, grams array<bigint>"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets are similar enough, as links between their labels."""
-        fit = (F.least("a_size", "b_size") * whole >= F.greatest("a_size", "b_size") * part) & (F.col("a_label") != F.col("b_label"))
-        pairs = pairs.filter(fit).select("a", "b", "a_label", "b_label").distinct()
-        with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("b_grams")), "b")
-        both = with_b.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("a_grams")), "a")
+        pairs = written(pairs.select("a", "b", "a_label", "b_label").distinct(), "pairs")
+        heads = written(pairs.select(F.col("a").alias("id")).distinct(), "heads")
+        with_b = sets.withColumnsRenamed({"id": "b", "grams": "b_grams"}).join(fitting(pairs), "b")
+        with_a = sets.join(fitting(heads), "id", "left_semi").withColumnsRenamed({"id": "a", "grams": "a_grams"})
+        both = with_b.join(with_a, "a")
         common = F.size(F.array_intersect("a_grams", "b_grams"))
         union = F.size("a_grams") + F.size("b_grams") - common
         return both.filter(common * whole >= union * part).select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
 
-    def paired(left: DataFrame, right: DataFrame) -> DataFrame:
-        a = left.select("key", F.col("rep").alias("a"), F.col("size").alias("a_size"), F.col("label").alias("a_label"))
-        b = right.select("key", F.col("rep").alias("b"), F.col("size").alias("b_size"), F.col("label").alias("b_label"))
-        return a.join(b, "key")
+    def paired(left: DataFrame, right: DataFrame, on: list[str], *more: str) -> DataFrame:
+        """Pairs with different labels whose bounds allow a link."""
+        a = left.select(*on, *[F.col(c).alias(f"a_{c}") for c in ("size", "shared", "label")], F.col("rep").alias("a"), *[f"a_{c}" for c in more])
+        b = right.select(*on, *[F.col(c).alias(f"b_{c}") for c in ("size", "shared", "label")], F.col("rep").alias("b"), *[f"b_{c}" for c in more])
+        most = F.least("a_shared", "b_shared")
+        return a.join(b, on).filter((F.col("a_label") != F.col("b_label")) & (most * whole >= (F.col("a_size") + F.col("b_size") - most) * part))
+
+    def bounded(open_members: DataFrame) -> DataFrame:
+        """Members with ``shared`` counted anew; those that no set of their bucket can match are left out."""
+        left = written(open_members.select(F.col("rep").alias("id"), "label").distinct(), "open")
+        grams = sets.join(fitting(left), "id").select("id", "label", F.explode("grams").alias("gram"))
+        owned = grams.groupBy("gram").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first = last").select("gram")
+        private = grams.join(owned, "gram").groupBy(F.col("id").alias("rep")).agg(F.count(F.lit(1)).alias("private"))
+        least = open_members.groupBy("key").agg(F.min("size").alias("least"))
+        known = open_members.join(private, "rep", "left").join(least, "key")
+        shared = F.col("size") - F.coalesce("private", F.lit(0))
+        known = known.withColumn("shared", shared)
+        possible = F.col("shared") * (whole + part) >= (F.col("size") + F.greatest(F.col("least"), F.ceil(F.col("size") * part / whole))) * part
+        return known.filter(possible).select("key", "band", "rep", "size", "shared", "label")
+
+    def pivoted(open_members: DataFrame, order: Column) -> DataFrame:
+        """The first member of every bucket by ``order`` against all others."""
+        pick = F.min_by(F.struct("rep", "size", "shared", "label"), order)
+        pivots = open_members.groupBy("key").agg(pick.alias("p")).select("key", "p.*")
+        return paired(pivots, open_members, ["key"])
+
+    def blocked(open_members: DataFrame) -> DataFrame:
+        """Every pair in the first bucket that it shares, in blocks of about ``BLOCK`` members on either side."""
+        open_members = open_members.join(reps.select("rep", "bands"), "rep")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        placed = open_members.withColumns({"block": F.pmod(F.xxhash64("rep"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+        sides = placed.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        a, b = (sides.filter(f"block = {side}").withColumnRenamed("bands", f"{name}_bands") for side, name in (("low", "a"), ("high", "b")))
+        met = F.array_position(F.zip_with("a_bands", "b_bands", lambda x, y: x == y), True) - 1
+        pairs = paired(a, b, ["key", "band", "low", "high"], "bands")
+        return pairs.filter("low < high or a < b").filter(met == F.col("band"))
+
+    def still_open(members: DataFrame) -> DataFrame:
+        """Members of buckets that are not one component yet, with the bucket's size."""
+        facts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("first"), F.max("label").alias("last"))
+        return written(members.join(facts.filter("first != last").select("key", "n"), "key"), "members")
 
     state = members.select("rep", "label").distinct()
-    first = True
-    while True:
-        facts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-        members = written(members.join(facts.select("key", "n"), "key"), "members")
+    # The smallest id first, then the member with the largest shared part: most groups become one component.
+    steps = (
+        lambda m: pivoted(m, F.struct("rep")),
+        lambda m: pivoted(m, F.struct((F.col("size") - F.col("shared")) / F.col("size"), F.col("rep"))),
+        blocked,
+    )
+    for turn, step in enumerate(steps):
+        members = still_open(bounded(members) if turn else members)
         if members.isEmpty():
             break
-        # In the first round the smallest member is the only pivot: nearly all groups fall into one component.
-        salt = F.lit(0) if first else F.pmod(F.xxhash64("rep", "key"), F.lit(PIVOTS))
-        small = members.filter(F.col("n") <= (2 if first else ALL_PAIRS))
-        large = members.filter(F.col("n") > (2 if first else ALL_PAIRS))
-        pick = F.min(F.struct("rep", "size", "label")) if first else F.min_by(F.struct("rep", "size", "label"), F.xxhash64("rep", "key"))
-        pivots = written(large.groupBy("key", salt.alias("salt")).agg(pick.alias("p")).select("key", "p.*"), "pivots")
-        pairs = paired(small, small).filter("a < b").union(paired(pivots, large).filter("a != b"))
-        merged = written(connected_components(confirmed(pairs)), "merged")
-        rest = large.join(pivots.select("key", "rep"), ["key", "rep"], "left_anti")
+        merged = written(connected_components(confirmed(step(members))), "merged")
         moved = merged.select(F.col("node").alias("label"), "component")
         relabel = lambda df: df.join(moved, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")  # noqa: B023, E731
-        members = written(relabel(rest).select("key", "rep", "size", "label"), "members")
+        members = relabel(members).select("key", "band", "rep", "size", "shared", "label")
         state = written(relabel(state).select("rep", "label"), "labels")
-        first = False
     return state.select(F.col("rep").alias("node"), F.col("label").alias("component"))

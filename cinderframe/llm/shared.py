@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from cinderframe.session import written
 
-__all__ = ["by_value", "batch_bytes", "gapless", "strings", "text_chunks", "written"]
-
 CHUNK_BYTES = 1 << 20
 
 
@@ -29,6 +27,14 @@ def batch_bytes(spark: SparkSession, size: int = 16 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def fitting(table: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A written table of a few numbers per row, marked for broadcast if it has at most ``most`` rows.
+
+    Beyond that a plain join remains.
+    """
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def gapless(df: DataFrame, keys: list[str], order: list[str], out: str, bucket: Column, rows_from: DataFrame | None = None) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... within ``keys``, without a window over a whole key.
 
