@@ -206,7 +206,7 @@ def test_layers_must_align(spark):
         layers.stack_layers({"a": a, "b": a.union(a.filter("c = 0"))}).collect()
     assert layers.stack_layers(short, strict=False).filter("layers_present = 1").count() == 1
     grid = Grid(0, 0, 3, 1, 2)
-    with pytest.raises(ValueError, match="for b: crs"):
+    with pytest.raises(ValueError, match="layer 'b' lies on another grid than 'a': crs"):
         layers.check_grids({"a": grid, "b": replace(grid, crs="EPSG:4326")})
 
 
