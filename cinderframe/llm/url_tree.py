@@ -1,6 +1,6 @@
 """URL filters: explicit rules, then a path-template tree per host with labelled purity.
 
-Level by level, a segment keeps its text where it is frequent below its parent and
+Level by level, a segment keeps its text where it is frequent and
 becomes a wildcard where it is variable. Branches whose labels do not differ
 statistically from those of their siblings are merged. The templates at the leaves
 are rejected by their smoothed share of bad pages.
@@ -8,6 +8,8 @@ are rejected by their smoothed share of bad pages.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,14 +50,17 @@ def generalised(segment: Column) -> Column:
 
 
 def templates(
-    pages: DataFrame, depth: int = 4, support: int = 8, share: float = 0.02, z: float = 1.96, id_col: str = "page_id", host_col: str = "host", path_col: str = "path", bad_col: str = "bad"
+    pages: DataFrame, depth: int | None = 4, support: int = 8, share: float = 0.02, z: float = 1.96, id_col: str = "page_id", host_col: str = "host", path_col: str = "path", bad_col: str = "bad"
 ) -> DataFrame:
     """(id, host, path, bad, template): each page's template in the tree of its host.
 
     ``bad`` is 0, 1 or null (no label). A segment is kept where at least ``support`` pages and
     a ``share`` of its parent's pages have it. A branch is merged into ``{~}`` unless its
     labelled rate differs from that of its siblings by ``z`` standard errors. Segments
-    below ``depth`` are one ``{**}``. Nulls in host or path read as empty; repeated rows count.
+    below ``depth`` are one ``{**}``. Without a ``depth`` a node is split until no branch below
+    it can differ: until its labelled pages that go on are all good, all bad, or no more than
+    z * z, since n labels differ by the root of n standard errors at most; what is left
+    is one ``{**}``. Nulls in host or path read as empty; repeated rows count.
     """
     state = pages.select(
         F.col(id_col).alias("id"),
@@ -64,20 +69,31 @@ def templates(
         F.col(bad_col).cast("int").alias("bad"),
         F.lit("").alias("template"),
     )
-    for level in range(1, depth + 1):
+    ended, level = [], 0
+    while depth is None or level < depth:
+        level += 1
         segment = F.get(F.split("path", "/"), F.lit(level))
         state = written(state.withColumn("segment", segment), "url-level")
+        ended.append(state.filter("segment is null").drop("segment"))
         inner = state.filter("segment is not null")
+        if depth is None:
+            known = inner.groupBy("host", "template").agg(F.count("bad").alias("n"), F.sum("bad").alias("b"))
+            split = known.filter((F.col("n") > z * z) & (F.col("b") > 0) & (F.col("b") < F.col("n")))
+            split = written(split.select("host", "template", F.lit(True).alias("splits")), "url-splits")
+            inner = join_metadata(inner, split, ["host", "template"], "left")
+            whole = inner.filter("splits is null").drop("segment", "splits")
+            ended.append(whole.withColumn("template", F.concat("template", F.lit("/{**}"))))
+            inner = inner.filter("splits").drop("splits")
         if inner.isEmpty():
-            state = state.drop("segment")
+            state = inner.drop("segment")
             break
         totals = inner.groupBy("host", "template").agg(F.count(F.lit(1)).alias("total"))
         common = inner.groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
         common = written(common.join(totals, ["host", "template"]).filter(F.col("n") >= share * F.col("total")).select("host", "template", "segment", F.lit(True).alias("frequent")), "url-frequent")
         variable = F.col("frequent").isNull() | F.col("segment").rlike(r"^[0-9]+(\.[a-z]+)?$")
-        token = F.when(F.col("segment").isNull(), None).when(variable, generalised(F.col("segment"))).otherwise(F.col("segment"))
-        tokens = written(join_metadata(state, common, ["host", "template", "segment"], "left").withColumn("token", token).drop("segment", "frequent"), "url-tokens")
-        seen = tokens.filter("token is not null and bad is not null").groupBy("host", "template", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b"))
+        token = F.when(variable, generalised(F.col("segment"))).otherwise(F.col("segment"))
+        tokens = written(join_metadata(inner, common, ["host", "template", "segment"], "left").withColumn("token", token).drop("segment", "frequent"), "url-tokens")
+        seen = tokens.filter("bad is not null").groupBy("host", "template", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b"))
         parents = seen.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
         rest_n, rest_b = F.col("all_n") - F.col("n"), F.col("all_b") - F.col("b")
         pooled = F.col("all_b") / F.col("all_n")
@@ -86,9 +102,11 @@ def templates(
         apart = written(seen.join(parents, ["host", "template"]).filter(unlike).select("host", "template", "token", F.lit(True).alias("apart")), "url-apart")
         merged = join_metadata(tokens, apart, ["host", "template", "token"], "left")
         kept = F.when(F.col("apart") | (F.col("token") == ""), F.col("token")).otherwise("{~}")
-        state = merged.select("id", "host", "path", "bad", F.when(F.col("token").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), kept)).alias("template"))
-    deeper = F.size(F.split("path", "/")) - 1 > depth
-    return state.select("id", "host", "path", "bad", F.when(deeper, F.concat("template", F.lit("/{**}"))).otherwise(F.col("template")).alias("template"))
+        state = merged.select("id", "host", "path", "bad", F.concat("template", F.lit("/"), kept).alias("template"))
+    if depth is not None:
+        deeper = F.size(F.split("path", "/")) - 1 > depth
+        state = state.withColumn("template", F.when(deeper, F.concat("template", F.lit("/{**}"))).otherwise(F.col("template")))
+    return reduce(DataFrame.unionByName, ended, state)
 
 
 def purity(placed: DataFrame, prior: float = 10.0) -> DataFrame:
@@ -103,13 +121,14 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], rej
     """(id, host, path, rule, verdict, template, labelled, purity) of every page.
 
     ``labels`` has (id, bad) for some pages. A rule decides where one fits; elsewhere a
-    page is blocked if its template's smoothed purity is at least ``reject``. A null url, or
+    page is blocked if its template's smoothed purity is at least ``reject``. The tree goes as
+    deep as labels can tell branches apart, and keeps segments by ``support`` alone. A null url, or
     one without ``://``, has an empty host, path and template. Repeated rows get equal
     results; an empty table gives no rows; other columns are ignored.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("l_id"), F.col(f"`{bad_col}`").cast("int").alias("bad")).filter("l_id is not null").groupBy("l_id").agg(F.max("bad").alias("bad"))
     parsed = pages.select(F.col(f"`{id_col}`").alias("id"), url_host(F.col(f"`{url_col}`")).alias("host"), url_path(F.col(f"`{url_col}`")).alias("path"))
-    placed = written(templates(parsed.join(known, F.col("id") == F.col("l_id"), "left").drop("l_id"), id_col="id"), "url-templates")
+    placed = written(templates(parsed.join(known, F.col("id") == F.col("l_id"), "left").drop("l_id"), depth=None, share=0.0, id_col="id"), "url-templates")
     judged = join_metadata(placed, written(purity(placed), "url-purity"), ["host", "template"], "left")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("purity") >= reject, "block").otherwise("allow")

@@ -178,6 +178,20 @@ def test_templates_against_a_plain_tree(spark):
         assert r["labelled"] == len(own) and r["purity"] == pytest.approx((sum(own) + 10 * base) / (len(own) + 10))
 
 
+def test_rare_and_deep_branches_are_judged_alike_on_hosts_of_any_size(spark):
+    """A bad section of 1.5% of a large host, and one below the fourth segment; the same on a small host."""
+    rows = [("large", "/news/x", 0)] * 3940 + [("large", "/spam/x", 1)] * 60
+    rows += [("large", f"/rare{k}/x", 0) for k in range(10) for _ in range(60)]
+    rows += [("small", "/news/x", 0)] * 100 + [("small", "/spam/x", 1)] * 60
+    rows += [("deep", "/a/b/c/d/e/good/x", 0)] * 60 + [("deep", "/a/b/c/d/e/bad/x", 1)] * 60
+    rows = [(i, f"http://{h}{p}{i}", bad) for i, (h, p, bad) in enumerate(rows)]
+    table = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = url_tree.judge(table.drop("bad"), table.drop("url"), []).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == {i for i, _, bad in rows if bad}
+    assert len(got) == len(rows)
+    assert {r["template"] for r in got if r["host"] == "deep"} == {"/{~}/{~}/{~}/{~}/{~}/good/{**}", "/{~}/{~}/{~}/{~}/{~}/bad/{**}"}
+
+
 def plain_license(text, least):
     def grams(x):
         w = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), x))
