@@ -22,9 +22,20 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near duplicates stays: the one with the smallest id.
+
+    Every row is compared for itself, also where an id is repeated: copies and near copies of one id
+    come down to one row, unlike texts of one id all stay. Rows without words link with nothing;
+    one of each id stays. Rows with a null id link with nothing and all stay.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "minhash-rows")
+    known = rows.filter("doc_id is not null")
+    groups = minhash.near_duplicates(known.select("__row", "text"), id_col="__row").select("__row", "n_shingles", "component_id")
+    group = [F.when(F.col("n_shingles") > 0, F.col("component_id")), F.when(F.col("n_shingles") == 0, F.col("doc_id"))]
+    first = F.min_by("__row", F.struct("doc_id", "__row")).alias("__row")
+    kept = known.select("__row", "doc_id").join(groups, "__row").groupBy(*group).agg(first).select("__row")
+    single = known.join(kept, "__row", "left_semi").unionByName(rows.filter("doc_id is null"))
+    return single.select(*docs.columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

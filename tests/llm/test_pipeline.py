@@ -52,5 +52,15 @@ def test_stages(spark, sf_dir):
     assert max(Counter({s: sum(r["length"] for r in packed if r["sequence_id"] == s) for s in {r["sequence_id"] for r in packed}}).values()) <= 2048
 
 
+def test_near_duplicates_without_or_with_repeated_ids(spark):
+    one, other, third = (" ".join(f"{k}{i}" for i in range(100)) for k in "abc")
+    rows = [(None, one), (None, one), (3, one), (3, one), (3, one + " x"), (9, one), (3, other), (7, third), (7, third), (8, ""), (8, ""), (8, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(pipeline.STAGES)["minhash_dedup"](spark, docs, "")
+    assert got.columns == DOCUMENTS
+    found = Counter((r["doc_id"], (r["text"] or "")[:2]) for r in got.collect())
+    assert found == Counter({(None, "a0"): 2, (3, "a0"): 1, (3, "b0"): 1, (7, "c0"): 1, (8, ""): 1, (6, ""): 1})
+
+
 def test_run(spark, sf_dir):
     assert pipeline.run(spark, sf_dir).count() > 0
