@@ -74,6 +74,35 @@ def test_empty_null_ids_and_repeated_rows(spark):
     assert got == [(False, 3, 3, True), (False, 3, 3, True), (False, 7, 3, False), (True, None, None, True)]
 
 
+def changed(base, spots, mark):
+    return " ".join(f"{mark}{i}" if i in spots else w for i, w in enumerate(base))
+
+
+def test_repeated_rows_of_near_texts(spark, monkeypatch):
+    """One pair links at 92/108; many unlinked texts of smaller ids share its buckets. The bounds count every set once."""
+    tables = {}
+    plain = minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: tables.setdefault(name, []).append(plain(df, name)) or tables[name][-1])
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(104)]
+    texts = {k: changed(base, rng.choice([10, 25, 40, 55, 70, 85], 2, replace=False).tolist(), f"x{k}-") for k in range(80)}
+    texts |= {100: changed(base, (2, 97), "a"), 101: changed(base, (2, 97), "b")}
+    sizes, component = brute(texts, 85, 100)
+    assert component[101] == 100
+    rows = list(texts.items()) + [(i, texts[i]) for i in (100, 101) for _ in range(2)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), (85, 100)).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, sizes[i], component[i]) for i in texts}
+    assert len(got) == len(rows)
+    assert tables["sets"][-1].groupBy("id").count().filter("count > 1").count() == 0
+
+
+def test_unlike_texts_of_one_id(spark):
+    one, other = ([f"{k}{i}" for i in range(104)] for k in "wv")
+    rows = [(2, changed(other, (50,), "z")), (5, " ".join(one)), (5, " ".join(other)), (9, changed(one, (50,), "z"))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), (85, 100)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(2, 2), (5, 2), (5, 5), (9, 5)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="aB \n\té漢", max_size=12), min_size=1, max_size=6))
 def test_words_of_chunks(texts):
