@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderframe.llm import cross_polytope, crf, licenses, lines, minimax, minhash, mixing, packing, pstable, url_tree
+from cinderframe.llm import cross_polytope, crf, licenses, lines, minimax, minhash, mixing, packing, pstable, suffix_runs, url_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +184,37 @@ def _license_oracle() -> str:
 def op10(spark, sf_dir):
     """Licence notices in documents, as a whole, by paragraph and by line."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; in the documents that the checksum of their id names, the words from one on repeat."""
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    start = F.col("g") % n
+    period = 1 + F.floor((n - F.col("start")) / (3 + F.col("g") % 8))
+    repeated = F.transform("words", lambda w, i: F.when(i < F.col("start"), w).otherwise(
+        F.get("words", (F.col("start") + (i - F.col("start")) % F.col("period")).cast("int"))))
+    chosen = docs.select("doc_id", "text", checksum.alias("h")).withColumn("planted", F.coalesce(F.col("h") % 10 == 0, F.lit(False)))
+    split = chosen.withColumn("words", F.when(F.col("planted") & F.col("text").isNotNull(), words)).withColumn("g", g)
+    placed = split.withColumn("start", F.when(n > 0, start)).withColumn("period", F.when(n > 0, period))
+    return placed.select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_suffix_tree_runs")
+def op11(spark, sf_dir):
+    """Periodic runs of words of every document, and digests of them and of the text without their repeats."""
+    found = suffix_runs.periodic_runs(planted_runs(table(spark, sf_dir, "documents")), least=6, repeats=4)
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    ranked = F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length")))
+    first = F.array_min(ranked)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        first.alias("top"),
+    ).select(
+        "doc_id", "n_runs", "top.start", "top.length", "top.period",
+        F.expr("(1000 * top.length) div top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
