@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderframe.llm import cross_polytope, crf, licenses, lines, minimax, minhash, mixing, packing, pstable, suffix_runs, url_tree
+from cinderframe.llm import countmin, cross_polytope, crf, licenses, lines, minimax, minhash, mixing, packing, pstable, suffix_runs, url_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,3 +218,10 @@ def op11(spark, sf_dir):
         "doc_id", "n_runs", "top.start", "top.length", "top.period",
         F.expr("(1000 * top.length) div top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
     )
+
+
+@query("op13_countmin_substrings")
+def op13(spark, sf_dir):
+    """Documents without the words of 20-word windows that start earlier elsewhere."""
+    out = countmin.remove_repeats(table(spark, sf_dir, "documents"), size=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
