@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderframe.llm import countmin, cross_polytope, crf, licenses, lines, minimax, minhash, mixing, packing, pstable, suffix_runs, url_tree
+from cinderframe.llm import countmin, cross_polytope, crf, licenses, lines, minimax, minhash, mixing, packing, pstable, spelling, suffix_runs, url_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -220,6 +220,13 @@ def op11(spark, sf_dir):
     )
 
 
+@query("op12_reduced_alphabet_variants")
+def op12(spark, sf_dir):
+    """Words of all documents with the frequent word that each is a spelling of."""
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), min_chars=5, min_count=3, one_in=97)
+    return spelling.variants(words, times=2)
+
+
 @query("op13_countmin_substrings")
 def op13(spark, sf_dir):
     """Documents without the words of 20-word windows that start earlier elsewhere."""
