@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderframe.llm.shared import batch_bytes, by_value, strings, text_chunks, written
+from cinderframe.llm.shared import batch_bytes, by_value, strings, text_chunks
 from cinderframe.llm.words import BASE, INVERSE, U, WordHasher, mix, numbers, powers, space_separated
 
 by_value(__name__)
@@ -22,6 +22,7 @@ ROWS = 2  # rows of the sketch
 BLOCK_BITS = 19
 MOST_BITS = 29  # of a row as tasks hold it: 64 MB; wider rows are folded to it
 HELD = 4 << 20  # bytes of whole texts in which a task settles windows by itself
+HOT_LEAST, HOT_SHARE = 8, 4096  # an anchor is hot if a task meets it as often, and in such a part of all
 
 
 def byte_values() -> np.ndarray:
@@ -75,7 +76,10 @@ def cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def _partition_sketch(size: int, bits: int):
-    """One sketch per task, whose counters stop at two: per row and block, cells met once and more often."""
+    """One sketch per task, whose counters stop at two: per row and block, cells met once and more often.
+
+    A further row of one block marks hot cells of the first row.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -90,6 +94,9 @@ def _partition_sketch(size: int, bits: int):
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)]):
                 inside = (found[a:b] & U((1 << BLOCK_BITS) - 1)).astype(np.uint32)
                 yield row, int(block[a]), inside.tobytes(), inside[n[a:b] > 1].tobytes()
+            if not row:
+                hot = found[n >= max(HOT_LEAST, n.sum() // HOT_SHARE)] >> U(bits - BLOCK_BITS)
+                yield ROWS, 0, b"", np.unique(hot).astype(np.uint32).tobytes()
 
         def batch_of(rows):
             row, block, once, more = map(list, zip(*rows))
@@ -141,7 +148,7 @@ def _merge(batches):
 
 
 def sketch(texts: DataFrame, size: int, bits: int) -> list[np.ndarray]:
-    """Packed bits of cells counted at least twice, one array per row, at most 2^MOST_BITS bits each.
+    """Packed bits of cells counted at least twice, one array per row, at most 2^MOST_BITS bits each; last the hot cells.
 
     Partition sketches are sparse and meet by block, so nothing grows with the table but their shuffle. The driver
     gets the merged bits alone. A row wider than 2^MOST_BITS is folded to it after its cells are counted: such bits overestimate as well.
@@ -151,7 +158,7 @@ def sketch(texts: DataFrame, size: int, bits: int) -> list[np.ndarray]:
     keyed = parts.select("row", F.pmod("block", F.lit(1 << max(folded - BLOCK_BITS, 0))).alias("fold"), "block", "once", "more")
     dealt = keyed.repartition("row", "fold").sortWithinPartitions("row", "fold", "block")
     step = (1 << BLOCK_BITS) // 8
-    out = [np.zeros(max((1 << folded) // 8, step), np.uint8) for _ in range(ROWS)]
+    out = [*(np.zeros(max((1 << folded) // 8, step), np.uint8) for _ in range(ROWS)), np.zeros(step, np.uint8)]
     for found in dealt.mapInArrow(_merge, "row int, fold long, repeated binary").toLocalIterator():
         out[found["row"]][found["fold"] * step : (found["fold"] + 1) * step] = np.frombuffer(found["repeated"], np.uint8)
     return out
@@ -168,13 +175,20 @@ def estimated_repeated(anchors: np.ndarray, bits: int, repeated: list[np.ndarray
     return out
 
 
-SENT = "id long, text_hash long, anchor long, start int, mask int, windows array<bigint>"
+def is_hot(anchors: np.ndarray, bits: int, repeated: list[np.ndarray]) -> np.ndarray:
+    cell = cells(anchors, 0, bits) >> U(bits - BLOCK_BITS)
+    return (repeated[ROWS][cell >> U(3)] >> (cell & U(7)).astype(np.uint8)) & 1 == 1
+
+
+FIELDS = ["key", "id", "text_hash", "start", "asked", "gone", "windows"]
+SENT = "key long, id long, text_hash long, start int, asked int, gone int, windows array<bigint>"
 
 
 def _second_pass(size: int, bits: int, shared):
-    """Windows that the sketch lets through, by anchor; those met before among the task's own texts are settled at once.
+    """Windows that the sketch lets through, a row per anchor; those met before among the task's own texts are settled at once.
 
-    Rows with ``windows`` ask: bit k of ``mask`` stands for the window at ``start`` + k. Rows without are answers.
+    Bit k of ``asked`` and ``gone`` stands for the window at ``start`` + k; ``windows`` are the hashes of the asked ones.
+    Equal windows have equal keys: the anchor's hash, or for hot anchors one of anchor and window. Rows that ask nothing go by text.
     """
 
     def run(batches):
@@ -188,8 +202,8 @@ def _second_pass(size: int, bits: int, shared):
                 _, _, hashes, first = windows.words(data, bounds)
                 starts, text, whole, place, grams = windows.of(hashes, first)
                 # Repeated rows are one document: the first of them speaks.
-                key = np.stack([no_id[a:b].astype(np.int64), ids[a:b], text_hash[a:b]], 1)
-                _, speaks, rank = np.unique(key, axis=0, return_index=True, return_inverse=True)
+                document = np.stack([no_id[a:b].astype(np.int64), ids[a:b], text_hash[a:b]], 1)
+                _, speaks, rank = np.unique(document, axis=0, return_index=True, return_inverse=True)
                 rank = rank.ravel()
                 spoken = np.zeros(b - a, bool)
                 spoken[speaks] = True
@@ -202,33 +216,78 @@ def _second_pass(size: int, bits: int, shared):
                 w, g = whole[order], grams[place[order]]
                 later = np.zeros(len(order), bool)
                 later[order[1:]] = (w[1:] == w[:-1]) & (g[1:] == g[:-1])
-                cuts = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
-                base = np.repeat(at[cuts], np.diff([*cuts, len(at)]))
+                hot = is_hot(grams[place], bits, repeated)
+                # Rows are stretches of windows with one anchor; for asked windows of hot anchors, single windows.
+                alone = hot & ~later
+                new = (np.diff(text, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0)
+                stretch = np.cumsum(new) - 1
+                base = at[new][stretch]
                 bit = np.left_shift(1, at - base)
-                gone = np.add.reduceat(np.where(later, bit, 0), cuts)
-                asked = np.add.reduceat(np.where(later, 0, bit), cuts)
-                sent = np.add.reduceat((~later).astype(np.int64), cuts)
-                flat, ends = whole[~later].view(np.int64), np.concatenate([[0], np.cumsum(sent)])
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-                row = a + text[cuts]
-                for mask, some, value in ((asked, sent > 0, lists), (gone, gone > 0, None)):
-                    chosen = np.flatnonzero(some)
-                    take = row[chosen]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids[take], mask=no_id[take]),
-                            pa.array(text_hash[take]),
-                            pa.array(grams[place[cuts[chosen]]].view(np.int64)),
-                            pa.array(at[cuts[chosen]].astype(np.int32)),
-                            pa.array(mask[chosen].astype(np.int32)),
-                            value.take(pa.array(chosen)) if value is not None else pa.nulls(len(chosen), pa.list_(pa.int64())),
-                        ],
-                        ["id", "text_hash", "anchor", "start", "mask", "windows"],
-                    )
+                mine = np.flatnonzero(new)
+                asked = np.add.reduceat(np.where(later | alone, 0, bit), mine)
+                gone = np.add.reduceat(np.where(later, bit, 0), mine)
+                row, anchor = a + text[mine], grams[place[mine]]
+                by_text = mix(text_hash[row].view(U) + np.arange(len(row)).astype(U))
+                some = (asked | gone) != 0
+                n = np.add.reduceat((~later & ~alone).astype(np.int64), mine)
+                single = np.flatnonzero(alone)
+                row = np.concatenate([row[some], a + text[single]])
+                key = np.concatenate([np.where(asked != 0, anchor, by_text)[some], mix(grams[place[single]] ^ mix(whole[single]))])
+                ends = np.cumsum(np.concatenate([[0], n[some], np.ones(len(single), np.int64)]))
+                flat = np.concatenate([whole[~later & ~alone], whole[single]])
+                start = np.concatenate([at[mine][some], at[single]])
+                asked = np.concatenate([asked[some], np.ones(len(single), np.int64)])
+                gone = np.concatenate([gone[some], np.zeros(len(single), np.int64)])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(ids[row], mask=no_id[row]), pa.array(text_hash[row]), *(pa.array(x.astype(np.int32)) for x in (start, asked, gone)), lists], FIELDS
+                )
 
     return run
 
 
+def _settle(batches):
+    """Rows sorted by key: windows that are not the first of their group, as bits per row, with those settled before."""
+    import pyarrow as pa
+
+    def settled(rows):
+        key, text_hash, start, asked, gone = (rows.column(k).to_numpy() for k in (0, 2, 3, 4, 5))
+        ids, no_id = rows.column(1).fill_null(0).to_numpy(), rows.column(1).is_null().to_numpy(zero_copy_only=False)
+        row, offset = np.nonzero((asked[:, None] >> np.arange(31)) & 1)
+        window = rows.column(6).flatten().to_numpy()
+        at = start[row] + offset
+        fields = (at, text_hash[row], ids[row], no_id[row])
+        order = np.lexsort((*fields, window, key[row]))
+        new = np.ones(len(order), bool)
+        for x in (window, key[row]):
+            new[1:] &= x[order][1:] == x[order][:-1]
+        new[1:] = ~new[1:]
+        first = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
+        late = np.zeros(len(order), bool)
+        for x in fields:
+            late |= x[order] != x[first]
+        mask = gone.astype(np.int64)
+        np.bitwise_or.at(mask, row[order][late], np.left_shift(1, offset[order][late]))
+        keep = mask != 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids[keep], mask=no_id[keep]), pa.array(text_hash[keep]), pa.array(start[keep]), pa.array(mask[keep].astype(np.int32))], ["id", "text_hash", "start", "mask"]
+        )
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None and held.num_rows:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1], "left"))
+        if cut:
+            yield settled(batch.slice(0, cut))
+        held = batch.slice(cut)
+    if held is not None and held.num_rows:
+        yield settled(held)
+
+
 def _remove(size: int):
     """Join the words that no removed window covers."""
 
@@ -285,7 +344,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text
     The first pass counts anchors in one sketch per partition; the merged bits are broadcast (128 MB at most). The second
     pass takes the windows whose anchor it lets through; a task settles those it met before
     by itself, so a window costs one row per task however often it occurs, and the rest are
-    grouped exactly by anchor and a second 64-bit hash of all words. None is lost: the sketch only overestimates.
+    grouped exactly by anchor and a second 64-bit hash of all words. Anchors of many unlike windows are dealt by window. None is lost: the sketch only overestimates.
     """
     if not GRAM <= size < GRAM + 31:
         raise ValueError("size must be 8 to 38")
@@ -295,16 +354,8 @@ def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     bits = sketch_bits(source)
     shared = spark.sparkContext.broadcast(sketch(source.select("text"), size, bits))
-    sent = written(source.mapInArrow(_second_pass(size, bits, shared), SENT), "windows")
-    asked = sent.filter("windows is not null").repartition("anchor")
-    offset = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.when(F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0, k)), lambda k: k.isNotNull())
-    single = asked.select("anchor", "id", "text_hash", "start", F.posexplode("windows").alias("nth", "window"), offset.alias("offsets"))
-    single = single.select("anchor", "window", "id", "text_hash", "start", F.get("offsets", F.col("nth")).alias("offset"))
-    order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("text_hash").alias("c"), (F.col("start") + F.col("offset")).alias("d"))
-    first = single.groupBy("anchor", "window").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first != last").drop("last")
-    late = single.join(first, ["anchor", "window"]).filter(order != F.col("first"))
-    answers = late.groupBy("anchor", "id", "text_hash", "start").agg(F.bit_or(F.expr("shiftleft(1, offset)")).alias("mask"))
-    marks = answers.select("id", "text_hash", "start", "mask").unionByName(sent.filter("windows is null").select("id", "text_hash", "start", "mask"))
+    sent = source.mapInArrow(_second_pass(size, bits, shared), SENT)
+    marks = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, "id long, text_hash long, start int, mask int")
     by_text = marks.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
     by_text = by_text.select(F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash"), "marks")
     joined = source.join(by_text, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left")

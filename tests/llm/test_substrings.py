@@ -74,6 +74,8 @@ def test_narrow_sketch_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(countmin, "sketch_bits", lambda texts: 21)
     monkeypatch.setattr(countmin, "MOST_BITS", 19)
     assert sorted(map(tuple, countmin.remove_repeats(docs, 20).select("doc_id", "kept").collect())) == want
+    monkeypatch.setattr(countmin, "is_hot", lambda anchors, bits, repeated: anchors % np.uint64(2) == 0)
+    assert sorted(map(tuple, countmin.remove_repeats(docs, 20).select("doc_id", "kept").collect())) == want
     monkeypatch.setattr(countmin, "estimated_repeated", lambda anchors, bits, repeated: np.ones(len(anchors), bool))
     assert sorted(map(tuple, countmin.remove_repeats(docs, 20).select("doc_id", "kept").collect())) == want
 
