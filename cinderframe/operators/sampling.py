@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cinderframe.functions.columns import hash_key, hash_unit
 from cinderframe.functions.joins import join_metadata
 from cinderframe.functions.ranking import hash_ordinal
+from cinderframe.session import written
 
 
 PREFIX = 4
@@ -24,7 +25,8 @@ def hash_cuts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], wanted
 
     ``order`` starts with a hex hash. Rows are counted by hash prefix (65,536 totals per
     key), the prefix in which the cut falls is found, and only its rows are ranked; no
-    row is shuffled otherwise. ``wanted`` may use ``total``, the rows of the key. A key
+    row is shuffled otherwise. The prefix and the cut, a row per key each, are written, so the rows are read
+    twice here and once by the caller. ``wanted`` may use ``total``, the rows of the key. A key
     with fewer rows gets its last row; one that wants none is absent.
     """
     keys, order = list(keys), list(order)
@@ -35,10 +37,10 @@ def hash_cuts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], wanted
     sums = counts.withColumns({"__before": before, "total": F.sum("__n").over(whole)})
     need = F.least(wanted, F.col("total")).cast("bigint")
     hit = sums.withColumn("__need", need).filter("__before < __need and __need <= __before + __n")
-    hit = hit.select(*keys, "__prefix", (F.col("__need") - F.col("__before")).alias("__need"))
+    hit = written(hit.select(*keys, "__prefix", (F.col("__need") - F.col("__before")).alias("__need")), "hash-prefixes")
     inside = join_metadata(rows.withColumn("__prefix", prefix), hit, [*keys, "__prefix"])
     place = F.row_number().over((Window.partitionBy(*keys) if keys else Window.partitionBy("__prefix")).orderBy(*order))
-    return inside.withColumn("__place", place).filter("__place = __need").select(*keys, F.struct(*order).alias("cut"))
+    return written(inside.withColumn("__place", place).filter("__place = __need").select(*keys, F.struct(*order).alias("cut")), "hash-cuts")
 
 
 def sample_cells(eligible: DataFrame, group: str, k: int) -> DataFrame:

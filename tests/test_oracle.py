@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from cinderframe.plans.catalog import ORACLES, QUERIES
 from oracle import compare, duck
 
-SLOW = {"l4_random_forest", "l8_variant_matrix"}
+SLOW = {"l8_variant_matrix"}
 
 
 @pytest.fixture(scope="module")
