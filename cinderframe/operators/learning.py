@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from cinderframe.operators import trials
 from cinderframe.operators.probability import best_cutoff, cutoff_counts, roc_auc
+from cinderframe.session import written
 
 TARGET = "ignited"
 WEIGHT = "sample_weight"
@@ -159,6 +160,72 @@ def fit_forest(
     return PipelineModel([vectors, forest.fit(rows)])
 
 
+@dataclass(frozen=True)
+class LinearModel:
+    """A fitted logistic regression, with what proves it optimal.
+
+    ``coefficients`` belong to raw features, ``scaled`` to standardised ones. ``pulls`` are the penalty's part of the
+    gradient of the mean weighted loss; together with the loss's own part they vanish, up to ``residual``.
+    """
+
+    features: tuple[str, ...]
+    intercept: float
+    coefficients: tuple[float, ...]
+    scaled: tuple[float, ...]
+    means: tuple[float, ...]
+    scales: tuple[float, ...]
+    weights: tuple[float, float]
+    pulls: tuple[float, ...]
+    residual: float
+
+    def probability(self) -> Column:
+        z = F.lit(self.intercept)
+        for feature, value in zip(self.features, self.coefficients):
+            z = z + F.col(feature).cast("double") * F.lit(value)
+        return 1 / (1 + F.exp(-z))
+
+    def predict(self, df: DataFrame, keep: Sequence[str], p: str = "p") -> DataFrame:
+        return df.select(*keep, self.probability().alias(p))
+
+    def table(self, spark) -> DataFrame:
+        """Signed standardised coefficients, one row per feature."""
+        rows = [(f, "coefficient", c, abs(c)) for f, c in zip(self.features, self.scaled)]
+        return spark.createDataFrame(rows, "feature string, kind string, coef double, abs_coef double")
+
+
+def fit_linear(df: DataFrame, features: Sequence[str], recipes: Mapping[str, Recipe], label: str = TARGET) -> dict[str, LinearModel]:
+    """Fit all recipes in the same passes; results do not depend on the partitioning of ``df``."""
+    found = trials.fit(df, features, list(recipes.values()), label=label)
+    residual, out = found.residual(), {}
+    for i, name in enumerate(recipes):
+        slope, beta = found.slope[i, 1:], found.beta[i, 1:]
+        sign = np.where(beta != 0, np.sign(beta), np.clip(-slope / max(found.l1[i], 1e-300), -1, 1) if found.l1[i] > 0 else 0.0)
+        out[name] = LinearModel(
+            tuple(features), float(found.raw.beta[i, 0]), tuple(found.raw.beta[i, 1:].tolist()), tuple(beta.tolist()),
+            tuple(found.mean[i].tolist()), tuple(found.sd[i].tolist()), tuple(found.raw.weight[i].tolist()),
+            tuple((found.l2[i] * beta + found.l1[i] * sign).tolist()), float(residual[i].max()),
+        )
+    return out
+
+
+def fitted_moments(df: DataFrame, models: Mapping[str, LinearModel], label: str = TARGET) -> DataFrame:
+    """``model, feature, moment``: weighted means of standardised features under the fitted probabilities, plus the penalty's pull.
+
+    At the optimum, and only there, they equal the same means under the labels themselves. ``intercept`` is the mean of 1.
+    One pass scores the rows of all models.
+    """
+    sums = []
+    for name, model in models.items():
+        w = F.when(F.col(label) == 1, F.lit(model.weights[1])).otherwise(F.lit(model.weights[0]))
+        p = w * model.probability()
+        parts = [("intercept", F.sum(p) / F.sum(w))]
+        for feature, mean, scale, pull in zip(model.features, model.means, model.scales, model.pulls):
+            z = (F.col(feature).cast("double") - F.lit(mean)) / F.lit(scale)
+            parts.append((feature, F.sum(p * z) / F.sum(w) + F.lit(pull)))
+        sums += [F.struct(F.lit(name).alias("model"), F.lit(f).alias("feature"), m.alias("moment")) for f, m in parts]
+    return df.agg(F.array(*sums).alias("m")).select(F.explode("m").alias("m")).select("m.*")
+
+
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str], p: str = "p") -> DataFrame:
     """Ignition probability per row, computed in the JVM."""
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias(p))
@@ -193,18 +260,15 @@ def evaluate(
     """Cutoff (best of 16 unless given), precision, recall, F1, Jaccard and AUC.
 
     ``also`` adds F1, recall and precision at a second cutoff. Everything
-    collected is a few counts. The scores are cached while the aggregations
-    read them, so the model runs once.
+    collected is a few counts. The scores are written while the aggregations
+    read them, so the model runs once, also where executors are lost.
     """
-    cached = scored.select(label, p).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if cutoff is None:
-            cutoff = best_cutoff(cutoff_counts(cached, label, p)).first()["best_cutoff"]
-        wanted = [cutoff] if also is None else [cutoff, also]
-        counts = {row["cutoff_no"]: row for row in cutoff_counts(cached, label, p, cutoffs=wanted).collect()}
-        auc = roc_auc(cached, label, p).first()["roc_auc"]
-    finally:
-        cached.unpersist()
+    held = written(scored.select(label, p), "scores")
+    if cutoff is None:
+        cutoff = best_cutoff(cutoff_counts(held, label, p)).first()["best_cutoff"]
+    wanted = [cutoff] if also is None else [cutoff, also]
+    counts = {row["cutoff_no"]: row for row in cutoff_counts(held, label, p, cutoffs=wanted).collect()}
+    auc = roc_auc(held, label, p).first()["roc_auc"]
 
     def part(a: float, b: float) -> float:
         return a / b if b else 0.0

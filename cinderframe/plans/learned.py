@@ -43,10 +43,6 @@ def split(t: Tables, schema: str = "B") -> tuple[DataFrame, DataFrame]:
     return table.filter("part = 'train'"), table.filter("part = 'test'")
 
 
-def coefficients(t: Tables, model, names: Sequence[str], label: str) -> DataFrame:
-    return learning.coefficient_table(model, names, t.spark).withColumn("model", F.lit(label))
-
-
 def union(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:
@@ -54,24 +50,60 @@ def union(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+WEIGHTINGS = {"balanced": Recipe(), "custom": Recipe(class_weight="custom", positive_weight=7.5), "none": Recipe(class_weight="none")}
+PENALTIES = {"l1": Recipe("l1", C=0.01), "elasticnet": Recipe("elasticnet", C=0.01, l1_ratio=0.5)}
+
+
+def coefficients(t: Tables, models: dict[str, learning.LinearModel]) -> DataFrame:
+    return union([m.table(t.spark).withColumn("model", F.lit(name)) for name, m in models.items()])
+
+
 @query("l2_weighted_logistic")
 def weighted_logistic(t: Tables):
     """Balanced, custom-weighted and unweighted fits: coefficients."""
     train, _ = split(t)
-    recipes = {"balanced": Recipe(), "custom": Recipe(class_weight="custom", positive_weight=7.5), "none": Recipe(class_weight="none")}
-    stats = learning.training_stats(train, features.SCHEMA_B)
-    fits = {n: learning.fit_logistic(train, features.SCHEMA_B, r, stats=stats) for n, r in recipes.items()}
-    return union([coefficients(t, m, features.SCHEMA_B, n) for n, m in fits.items()])
+    return coefficients(t, learning.fit_linear(train, features.SCHEMA_B, WEIGHTINGS))
 
 
 @query("l3_sparse_penalties")
 def sparse_penalties(t: Tables):
     """L1 and elastic-net fits: coefficients."""
     train, _ = split(t)
-    recipes = {"l1": Recipe("l1", C=0.01), "elasticnet": Recipe("elasticnet", C=0.01, l1_ratio=0.5)}
-    stats = learning.training_stats(train, features.SCHEMA_B)
-    fits = {n: learning.fit_logistic(train, features.SCHEMA_B, r, stats=stats) for n, r in recipes.items()}
-    return union([coefficients(t, m, features.SCHEMA_B, n) for n, m in fits.items()])
+    return coefficients(t, learning.fit_linear(train, features.SCHEMA_B, PENALTIES))
+
+
+TRAIN = """train as (select * from (select *, count(*) over (partition by ignited) n_k,
+      row_number() over (partition by ignited order by md5('42|' || run_id || '|' || step || '|' || r || '|' || c), run_id, step, r, c) rk from training)
+    where rk > round(0.2::double * n_k)),
+  stats as (select count(*) n, count(*) filter (where ignited = 1) n1, """ + ", ".join(f"avg({f}) m_{f}, stddev_pop({f}) s_{f}" for f in VARYING) + " from train)"
+
+
+def label_moments(models: dict[str, str]) -> str:
+    """Weighted means of 1 and of every standardised feature over positives, from the labels alone."""
+    fields = ["1"] + [f"case when s_{f} > 0 then ({f} - m_{f}) / s_{f} else 0 end" for f in VARYING]
+    parts = []
+    for model, weight in models.items():
+        means = ", ".join(f"round(sum(w * ignited * {z}) / sum(w), 6)" for z in fields)
+        names = ", ".join(f"'{f}'" for f in ("intercept", *VARYING))
+        parts.append(f"select '{model}' model, unnest([{names}]) feature, unnest([{means}]) moment from (select *, {weight} w from train cross join stats)")
+    return with_fixtures("training", " union all ".join(parts), TRAIN)
+
+
+BALANCED = "case when ignited = 1 then n / (2.0::double * n1) else n / (2.0::double * (n - n1)) end"
+
+
+@query("l2_fit_moments", label_moments({"balanced": BALANCED, "custom": "case when ignited = 1 then 7.5::double else 1 end", "none": "1.0::double"}))
+def weighted_moments(t: Tables):
+    """The fits of L2 proved optimal: fitted moments and penalties balance the labels' moments."""
+    train, _ = split(t)
+    return rounded(learning.fitted_moments(train, learning.fit_linear(train, features.SCHEMA_B, WEIGHTINGS)), "moment")
+
+
+@query("l3_fit_moments", label_moments({"l1": BALANCED, "elasticnet": BALANCED}))
+def sparse_moments(t: Tables):
+    """The fits of L3 proved optimal, with the subgradient of the L1 penalty."""
+    train, _ = split(t)
+    return rounded(learning.fitted_moments(train, learning.fit_linear(train, features.SCHEMA_B, PENALTIES)), "moment")
 
 
 @query("l4_random_forest")
@@ -108,8 +140,8 @@ def final_refit(t: Tables):
     """Best trial, refit on all training rows, held-out metrics and the gap to the search's score."""
     train, test = split(t)
     best = learning.best_trial(search(train, features.SCHEMA_B))
-    model = learning.fit_logistic(train, features.SCHEMA_B, recipe_of(best))
-    metrics = learning.evaluate(learning.predict(model, test, [TARGET]))
+    model = learning.fit_linear(train, features.SCHEMA_B, {"best": recipe_of(best)})["best"]
+    metrics = learning.evaluate(model.predict(test, [TARGET]))
     row = (best["trial"], best["converged_early"], best["cv_f1"], metrics["f1"], metrics["cutoff"], metrics["auc_roc"], learning.gap_class(best["cv_f1"], metrics["f1"]))
     return t.spark.createDataFrame([row], "trial int, converged_early boolean, cv_f1 double, test_f1 double, cutoff double, auc_roc double, gap string")
 
@@ -118,8 +150,8 @@ def final_refit(t: Tables):
 def coefficient_report(t: Tables):
     """Features ranked by the size of their coefficient."""
     train, _ = split(t)
-    model = learning.fit_logistic(train, features.SCHEMA_B)
-    return learning.rank_features(learning.coefficient_table(model, features.SCHEMA_B, t.spark))
+    model = learning.fit_linear(train, features.SCHEMA_B, {"balanced": Recipe()})["balanced"]
+    return learning.rank_features(model.table(t.spark))
 
 
 @dataclass(frozen=True)
@@ -154,8 +186,8 @@ def variant_matrix(t: Tables):
         if v.tuned:
             best = learning.best_trial(search(train, v.features))
             recipe, cv = recipe_of(best), best["cv_f1"]
-        model = learning.fit_logistic(train, v.features, recipe)
-        m = learning.evaluate(learning.predict(model, test, [TARGET]), also=0.5)
+        model = learning.fit_linear(train, v.features, {v.name: recipe})[v.name]
+        m = learning.evaluate(model.predict(test, [TARGET]), also=0.5)
         return v.name, len(v.features), m["cutoff"], m["f1"], m["auc_roc"], m["f1_also"], m["recall_also"], cv
 
     # Driver threads only submit jobs; the fits share the cluster.
@@ -164,19 +196,21 @@ def variant_matrix(t: Tables):
     return t.spark.createDataFrame(rows, "variant string, n_features int, cutoff double, f1 double, auc_roc double, f1_at_half double, recall_at_half double, cv_f1 double")
 
 
-@query("l9_refit_check")
+@query("l9_refit_check", "select unnest([" + ", ".join(f"'{f}'" for f in features.SCHEMA_B) + "]) feature, 0.0::double abs_diff, true reproduced")
 def refit_check(t: Tables):
-    """Fit again from a repartitioned table and compare with the coefficients of the saved model."""
+    """Fit again from another partitioning and compare every coefficient with the saved ones: the bits are equal."""
     train, _ = split(t)
-    path = learning.save_model(learning.fit_logistic(train, features.SCHEMA_B), scratch_path(t.spark, "model"))
-    first = coefficients(t, learning.load_model(path), features.SCHEMA_B, "first")
-    again = train.repartition("r", "c")
-    second = coefficients(t, learning.fit_logistic(again, features.SCHEMA_B), features.SCHEMA_B, "second")
-    changes = domains.coefficient_changes(first, second)
-    return changes.agg(F.max("abs_diff").alias("max_abs_diff"), (F.max("abs_diff") < 1e-6).alias("reproduced"))
+    recipe = {"balanced": Recipe()}
+    first = learning.fit_linear(train, features.SCHEMA_B, recipe)["balanced"].table(t.spark).withColumn("model", F.lit("first"))
+    path = scratch_path(t.spark, "coefficients")
+    first.write.parquet(path)
+    again = learning.fit_linear(train.repartition("r", "c"), features.SCHEMA_B, recipe)["balanced"].table(t.spark).withColumn("model", F.lit("second"))
+    changes = domains.coefficient_changes(t.spark.read.schema(first.schema).parquet(path), again)
+    return changes.select("feature", "abs_diff", (F.col("abs_diff") == 0).alias("reproduced"))
 
 
-@query("l10_model_round_trip")
+@query("l10_model_round_trip", with_fixtures("training", """
+    select cast(sum(n) as bigint) "rows", 0.0::double max_abs_diff from (select round(0.2::double * count(*)) n from training group by ignited)"""))
 def model_round_trip(t: Tables):
     """Save, load, check that the model yields probabilities and that they are unchanged."""
     train, test = split(t)
@@ -194,12 +228,8 @@ def train_on_role(t: Tables):
     role = F.when(slot < 6, "train").when(slot < 8, "validation").otherwise("calibration")
     path = tables.write_training(t.training("C").withColumn("role", role), scratch_path(t.spark, "roles"), partition_by=["role"])
     train, held_out = tables.read_role(t.spark, path, "train"), tables.read_role(t.spark, path, "validation")
-    parts = []
-    for name in ("balanced", "none"):
-        model = learning.fit_logistic(train, features.SCHEMA_C, Recipe(class_weight=name))
-        scored = learning.predict(model, held_out, [TARGET]).withColumn("variant", F.lit(name))
-        parts.append(scored)
-    scored = union(parts)
+    models = learning.fit_linear(train, features.SCHEMA_C, {n: Recipe(class_weight=n) for n in ("balanced", "none")})
+    scored = union([m.predict(held_out, [TARGET]).withColumn("variant", F.lit(name)) for name, m in models.items()])
     keys = ["variant"]
     return (
         probability.roc_auc(scored, TARGET, "p", keys)
