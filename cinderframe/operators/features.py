@@ -72,6 +72,22 @@ def assemble(
     return joined.select(*keep, *[F.col(f).cast("double").alias(f) for f in SCHEMAS[schema]], *extra)
 
 
+def feature_vectors(rows: DataFrame, schema: str, keep: Sequence[str] = ("run_id", "step", "r", "c")) -> DataFrame:
+    """``keep`` and ``feature_values``, the features of a schema as one array in its order.
+
+    The contract is checked twice: the columns besides ``keep`` must be the schema's, in order, before
+    anything runs; and a row with an absent or non-finite value fails the job with its key.
+    """
+    names = [c for c in rows.columns if c not in keep]
+    if names != list(SCHEMAS[schema]):
+        raise ValueError(f"schema {schema} wants {list(SCHEMAS[schema])}, got {names}")
+    values = F.array(*[F.col(f).cast("double") for f in names])
+    good = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    key = F.concat_ws(", ", *[F.col(k).cast("string") for k in keep])
+    message = F.concat(F.lit(f"schema {schema}: absent or non-finite feature at "), key)
+    return rows.select(*keep, F.when(good, values).otherwise(F.raise_error(message).cast("array<double>")).alias("feature_values"))
+
+
 def add_interactions(rows: DataFrame) -> DataFrame:
     return rows.withColumns({name: F.col(a) * F.col(b) for name, (a, b) in INTERACTIONS.items()})
 

@@ -319,7 +319,7 @@ def with_fixtures(names: str, body: str, extra: str = "") -> str:
         needs, sql = FIXTURE_SQL[name]
         for need in needs:
             add(need)
-        done[name] = f"{name} as ({sql})"
+        done[name] = f"{name} as materialized ({sql})"
 
     for name in names.split():
         add(name)

@@ -137,33 +137,33 @@ def susceptible(t: Tables):
     return rows.select("run_id", "step", "r", "c", "neighbor_burning_count")
 
 
-@query("p13_feature_rows", with_fixtures("training_c", """
-    select s.schema_name, count(*) "rows", s.n_features, round(avg(slope_risk), 6) slope_risk, round(avg(proximity_risk), 6) proximity_risk,
-      round(avg(building_presence), 6) building_presence, round(avg(material_risk), 6) material_risk,
-      case when s.n_features > 9 and s.schema_name in ('A', 'C') then round(avg(material_class), 6) end material_class,
-      round(avg(wind_speed), 6) wind_speed, round(avg(wind_sin), 6) wind_sin, round(avg(wind_cos), 6) wind_cos,
-      round(avg(neighbor_burning_count), 6) neighbor_burning_count, round(avg(composite_flammability), 6) composite_flammability,
-      case when s.schema_name in ('B', 'C') then round(avg(wind_weighted_score), 6) end wind_weighted_score
-    from training_c cross join (values ('A', 10), ('B', 10), ('C', 11), ('9', 9)) s(schema_name, n_features)
-    group by s.schema_name, s.n_features"""))
+P13_VALUES = {f: f"round(t.{f}, 6)" for f in features.SCHEMA_C} | {
+    "wind_weighted_score": "case when (t.r + t.c) % 3 = 0 then 0.0::double else round(t.wind_weighted_score, 6) end"
+}
+P13_SCHEMAS = " union all ".join(
+    f"select '{name}' schema_name, t.run_id, t.step, t.r, t.c, [" + ", ".join(P13_VALUES[f] for f in schema) + f"] feature_values, {len(schema)} n_features from training_c t where t.run_id = {42 + i}"
+    for i, (name, schema) in enumerate(features.SCHEMAS.items())
+)
+
+
+@query("p13_feature_rows", with_fixtures("training_c", P13_SCHEMAS))
 def feature_rows(t: Tables):
-    """Mean of every feature in each of the four schemas, from one pass over the widest."""
-    widest = features.SCHEMA_C
-    means = features.assemble(t.transitions, t.env, t.winds, "C").agg(
-        F.count(F.lit(1)).alias("rows"), *[r6(F.avg(f), f) for f in widest]
-    )
-    schemas = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("schema_name"),
-                F.lit(len(schema)).alias("n_features"),
-                F.col("rows").alias("rows"),
-                *[(F.col(f) if f in schema else F.lit(None).cast("double")).alias(f) for f in widest],
-            )
-            for name, schema in features.SCHEMAS.items()
-        ]
-    )
-    return means.select(F.explode(schemas).alias("s")).select("s.*")
+    """Assembled rows of the four schemas, one run each; a third of the rows come without a wind score, which then counts as 0.
+
+    Every row passes the contract of its schema: the names in order, and as many finite values.
+    """
+    absent = (F.col("r") + F.col("c")) % 3 == 0
+    rows = t.transitions.withColumn("wind_weighted_score", F.when(~absent, F.col("wind_weighted_score")))
+    parts = []
+    for i, (name, schema) in enumerate(features.SCHEMAS.items()):
+        assembled = features.assemble(rows.filter(F.col("run_id") == 42 + i), t.env, t.winds, name)
+        vectors = features.feature_vectors(assembled.drop("ignited"), name)
+        values = F.transform("feature_values", lambda x: F.round(x, 6))
+        parts.append(vectors.select(F.lit(name).alias("schema_name"), "run_id", "step", "r", "c", values.alias("feature_values"), F.lit(len(schema)).alias("n_features")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("p14_burnable_rows", with_fixtures("env", """

@@ -145,6 +145,24 @@ def file_fingerprints(t: Tables):
     return fingerprint.check_fingerprints(digests(changed, "files-later"), recorded, name).drop("length")
 
 
+@query("s9_input_digests")
+def input_digests(t: Tables):
+    """Every input file digested block by block and checked against a record in which one file has changed and one is gone.
+
+    The record holds the digests of the region table under the nation table's name, and a file that is not there.
+    """
+    folder = fingerprint.block_manifest(t.spark, t.sf_dir, "*.parquet")
+    manifest = written(folder, "manifest")
+    found = written(fingerprint.file_roots(manifest), "roots")
+    root = F.regexp_extract("path", "/([^/]+[.]parquet(/.*)?)$", 1)
+    recorded = found.select(root.alias("file"), F.col("sha256").alias("expected_sha256"))
+    region = recorded.filter("file = 'region.parquet'").select("expected_sha256")
+    stale = recorded.filter("file <> 'nation.parquet'")
+    for name in ("nation.parquet", "removed.parquet"):
+        stale = stale.unionByName(region.withColumn("file", F.lit(name)))
+    return fingerprint.check_fingerprints(found, stale, root)
+
+
 @query("s10_run_inventory", with_fixtures("present_runs", """
     select e.config, e.seed, case when e.seed = 42 then e.config else e.config || '_s' || e.seed end run_name
     from (select distinct p_brand config, s.seed from part cross join (values (42), (43), (44), (45), (46), (47), (48)) s(seed)) e

@@ -333,3 +333,56 @@ def test_batched_search_equals_separate_fits(spark, learnable):
             sweep = probability.cutoff_counts(learning.predict(model, df.filter(F.col("fold") == k), ["ignited"]), "ignited", "p")
             scores.append(sweep.agg(F.max(probability.f1_of_counts())).head()[0])
         assert value == pytest.approx(np.mean(scores), abs=2e-3)
+
+
+def test_block_manifest_tree_and_changes(spark, tmp_path):
+    import hashlib
+
+    folder = tmp_path / "files"
+    folder.mkdir()
+    contents = {"a.bin": bytes(range(256)) * 41, "b.bin": b"z", "c.bin": b"x" * 100, "d.bin": b"y" * 1000}
+    for name, data in contents.items():
+        (folder / name).write_bytes(data)
+    block, fan = 100, 3
+
+    def root(data):
+        level = [hashlib.sha256(data[i : i + block]).hexdigest() for i in range(0, max(len(data), 1), block)]
+        while len(level) > 1:
+            groups = [level[i : i + fan] for i in range(0, len(level), fan)]
+            level = [g[0] if len(g) == 1 else hashlib.sha256("".join(g).encode()).hexdigest() for g in groups]
+        return level[0]
+
+    manifest = fingerprint.block_manifest(spark, str(folder), "*.bin", block)
+    got = {r["path"].rsplit("/", 1)[1]: r for r in fingerprint.file_roots(manifest, fan).collect()}
+    assert {n: r["sha256"] for n, r in got.items()} == {n: root(d) for n, d in contents.items()}
+    assert got["c.bin"]["sha256"] == hashlib.sha256(contents["c.bin"]).hexdigest() and got["a.bin"]["blocks"] == 105
+    name = F.element_at(F.split("path", "/"), -1)
+    recorded = spark.createDataFrame(manifest.select(name.alias("file"), "block", "sha256").toPandas())
+    (folder / "a.bin").write_bytes(contents["a.bin"][:550] + b"!" + contents["a.bin"][551:] + b"more" * 20)
+    (folder / "c.bin").unlink()
+    (folder / "e.bin").write_bytes(b"new")
+    changed = fingerprint.changed_blocks(fingerprint.block_manifest(spark, str(folder), "*.bin", block), recorded)
+    assert sorted(map(tuple, changed.collect())) == [("a.bin", 5, "changed"), ("a.bin", 104, "changed"), ("a.bin", 105, "added"), ("c.bin", 0, "missing"), ("e.bin", 0, "added")]
+
+
+def test_input_digests_equal_read_blob(spark, sf_dir):
+    import duckdb
+
+    from cinderframe.plans.catalog import QUERIES
+
+    blobs = dict(duckdb.connect().execute(f"select parse_filename(filename), sha256(content) from read_blob('{sf_dir}/*.parquet')").fetchall())
+    rows = {r["file"]: r for r in QUERIES["s9_input_digests"](spark, sf_dir).collect()}
+    assert set(rows) == {*blobs, "removed.parquet"}
+    assert {n: r["status"] for n, r in rows.items() if r["status"] != "match"} == {"nation.parquet": "differs", "removed.parquet": "missing"}
+    assert all(rows[n]["sha256"] == digest for n, digest in blobs.items())
+
+
+def test_feature_contract(spark):
+    from cinderframe.operators import features
+
+    good = spark.createDataFrame([(1, 1, 1, 1, *map(float, range(9)))], "run_id int, step int, r int, c int, " + ", ".join(f"{f} double" for f in features.SCHEMA_9))
+    assert features.feature_vectors(good, "9").first()["feature_values"] == list(map(float, range(9)))
+    with pytest.raises(ValueError):
+        features.feature_vectors(good.select(*reversed(good.columns)), "9")
+    with pytest.raises(Exception, match="absent or non-finite feature at 1, 1, 1, 1"):
+        features.feature_vectors(good.withColumn("wind_sin", F.lit(float("nan"))), "9").collect()
