@@ -54,6 +54,7 @@ def _buckets(largest: float, query: bool, tables: int, probed: float):
                 rows = np.flatnonzero(np.diff(at) == n)
                 x = values[at[rows][:, None] + np.arange(n)]
                 if query:
+                    x = x / np.abs(x).max(axis=1, keepdims=True)
                     unit = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))])
                 else:
                     inside = x / largest
@@ -71,6 +72,26 @@ def _buckets(largest: float, query: bool, tables: int, probed: float):
     return run
 
 
+def best_of(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
+    """(query, row, score) of each query's best ``k`` rows by inner product, ties to the smaller id; ``own`` pairs are left out.
+
+    The product of both blocks, on scaled vectors, picks rows up to its rounding error; their exact products decide.
+    """
+    scale = max(np.abs(queries).max(), 1e-300), max(np.abs(rows).max(), 1e-300)
+    a, b = queries / scale[0], rows / scale[1]
+    close = a @ b.T
+    close[own] = -np.inf
+    error = 1e-12 * np.linalg.norm(a, axis=1, keepdims=True) * np.linalg.norm(b, axis=1).max()
+    least = np.partition(close, -k, axis=1)[:, -k][:, None] if k < close.shape[1] else np.full((len(close), 1), -np.inf)
+    q, v = np.nonzero((close >= least - error) & (close > -np.inf))
+    score = np.einsum("ij,ij->i", queries[q], rows[v])
+    order = np.lexsort((ids[v], -score, q))
+    q, v, score = q[order], v[order], score[order]
+    first = np.searchsorted(q, np.arange(len(queries)))
+    keep = np.arange(len(q)) - first[q] < k
+    return q[keep], v[keep], score[keep]
+
+
 def _nearest(k: int):
     def run(batches):
         import pyarrow as pa
@@ -78,19 +99,13 @@ def _nearest(k: int):
         for part in grouped(batches, 3):
             asks, ids = part.column(3).to_numpy(zero_copy_only=False), part.column(4).to_numpy()
             values, at = floats(part.column(5))
+            names = part.column(6).to_numpy()
             vectors = values[at[0] : at[-1]].reshape(len(ids), -1)
-            rows = np.flatnonzero(~asks)
-            rows = rows[np.argsort(ids[rows], kind="stable")]
-            who = np.flatnonzero(asks)
+            rows, who = np.flatnonzero(~asks), np.flatnonzero(asks)
             if not len(rows) or not len(who):
                 continue
-            close = np.round(vectors[who] @ vectors[rows].T, 12)
-            close[ids[who][:, None] == ids[rows][None]] = -np.inf
-            best = np.argsort(-close, axis=1, kind="stable")[:, :k]
-            keep = np.take_along_axis(close, best, 1) > -np.inf
-            q, v = np.repeat(who, best.shape[1])[keep.ravel()], rows[best].ravel()[keep.ravel()]
-            score = np.einsum("ij,ij->i", vectors[q], vectors[v])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(ids[v]), pa.array(score)], ["query_id", "vec_id", "score"])
+            q, v, score = best_of(vectors[who], vectors[rows], names[rows], ids[who][:, None] == ids[rows][None], k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who[q]]), pa.array(ids[rows[v]]), pa.array(names[rows[v]]), pa.array(score)], ["asker", "id", "vec_id", "score"])
 
     return run
 
@@ -109,9 +124,9 @@ def _compare(asked: DataFrame, indexed: DataFrame, vectors: DataFrame, k: int) -
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = asked.join(both, "bucket").select("bucket", mine("ask_blocks").alias("i"), every("row_blocks").alias("j"), F.lit(True).alias("asks"), "id")
     rows = indexed.join(both, "bucket").select("bucket", every("ask_blocks").alias("i"), mine("row_blocks").alias("j"), F.lit(False).alias("asks"), "id")
-    wide = asks.union(rows).join(vectors, "id").select("bucket", "i", "j", "asks", "id", "vector")
+    wide = asks.union(rows).join(vectors, "id").select("bucket", "i", "j", "asks", "id", "vector", "name")
     dealt = wide.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(_nearest(k), "query_id long, vec_id long, score double")
+    return dealt.mapInArrow(_nearest(k), "asker long, id long, vec_id long, score double")
 
 
 def search(
@@ -119,32 +134,35 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row that satisfies ``is_query``.
 
-    ``is_query`` is a condition on the input's columns. All rows but the query's own id are
+    ``is_query`` is a condition on the input's columns. All rows but the query's own are
     candidates; fewer than ``k`` are all returned. Scores are exact inner products; ties
     go to the smaller id. Vectors that are null, zero, or hold null or non-finite
     components, and null ids, take no part; vectors of another length are no candidates.
-    Repeated ids are one candidate. An empty table gives no rows.
+    Every row with a repeated id is a candidate, for the others of its id too, and asks for itself. An empty table gives no rows.
 
     Every row is indexed in every table. A query reads the nearest ``probed`` share of axes of
     each table. Queries that found fewer than ``k`` are compared with all rows, in blocks.
     """
     spark = vectors.sparkSession
     batch_bytes(spark)
-    kept = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = written(kept.filter(usable("vector", "id")).dropDuplicates(["id"]), "search-rows")
-    norm = F.sqrt(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))
-    largest = rows.agg(F.max(norm).alias("m")).head()["m"] or 1.0
+    kept = vectors.select(F.col(f"`{id_col}`").cast("long").alias("name"), F.col(f"`{vector_col}`").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = written(kept.filter(usable("vector", "name")).withColumn("id", F.monotonically_increasing_id()), "search-rows")
     doubled = rows.select("id", F.col("vector").cast("array<double>").alias("vector"), "asks")
+    most = F.array_max(F.transform("vector", F.abs))
+    norm = most * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / most) * (x / most)))
+    largest = doubled.agg(F.max(norm).alias("m")).head()["m"] or 1.0
     indexed = written(doubled.select("id", "vector").mapInArrow(_buckets(largest, False, tables, probed), "bucket long, id long"), "index")
     asked = doubled.filter("asks").select("id", "vector").mapInArrow(_buckets(largest, True, tables, probed), "bucket long, id long")
     asked = written(asked, "probes")
-    plain = rows.select("id", "vector")
+    plain = rows.select("id", "vector", "name")
     found = written(_compare(asked, indexed, plain, k), "found")
-    counts = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("id"))
+    counts = found.groupBy("asker").agg(F.countDistinct("id").alias("n")).filter(F.col("n") >= k).select(F.col("asker").alias("id"))
     length = F.size("vector").cast("long").alias("bucket")
     short = written(rows.filter("asks").join(counts, "id", "left_anti").select(length, "id"), "short")
     if not short.isEmpty():
         found = found.union(_compare(short, rows.select(length, "id"), plain, k))
-    once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", place.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = found.repartition("asker").groupBy("asker", "id").agg(F.max("vec_id").alias("vec_id"), F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", "id"))
+    best = once.withColumn("rank", place.cast("int")).filter(F.col("rank") <= k)
+    names = rows.filter("asks").select(F.col("id").alias("asker"), F.col("name").alias("query_id"))
+    return best.join(names, "asker").select("query_id", "rank", "vec_id", "score")

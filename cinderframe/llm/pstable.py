@@ -17,7 +17,8 @@ from cinderframe.llm.words import U, mix, numbers
 
 by_value(__name__)
 
-TABLES, PROJECTIONS, WIDTH, BLOCK = 96, 16, 2.0, 128
+TABLES, PROJECTIONS, WIDTH, BLOCK = 96, 16, 2.0, 1024
+PAIRS = 1 << 15  # pairs whose tables are compared at once
 
 
 def table_keys(vectors: np.ndarray, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> np.ndarray:
@@ -60,7 +61,8 @@ def _links(threshold: float):
         norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         close = (vectors @ vectors.T) / np.outer(norms, norms) >= threshold
         a, b = np.nonzero(np.triu(close, 1) if left == right else close & (block == left)[:, None] & (block == right)[None])
-        first = (keys[a] == keys[b]).argmax(axis=1) == table
+        cuts = range(0, len(a), PAIRS)
+        first = np.concatenate([(keys[a[k : k + PAIRS]] == keys[b[k : k + PAIRS]]).argmax(axis=1) == table for k in cuts] or [np.zeros(0, bool)])
         first &= (label[a] == label[b]) & (rep[a] != rep[b])
         a, b = a[first], b[first]
         count = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
@@ -96,10 +98,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a
     null label, link with nothing. Vectors of different lengths never link. Rows with a null
-    id are their own component with a null ``component_id`` and are kept. Repeated rows count as other vectors.
+    id are their own component with a null ``component_id`` and are kept. Repeated rows count as other vectors,
+    also where they share an id; unlike vectors of one id link each for itself.
 
     Equal vectors of a label become one representative with a count. Vectors travel only
-    to buckets that hold several representatives, in blocks of about 128, and a pair of
+    to buckets that hold several representatives, in blocks of about 1,024, and a pair of
     blocks is one bounded matrix product. A pair counts in the first table in which it
     meets, so no list of pairs exists; each product returns counts and a spanning forest.
     """
@@ -107,8 +110,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     batch_bytes(spark)
     source = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("vector"), F.col(f"`{label_col}`").cast("long").alias("label"))
     marked = source.withColumns({"ok": usable("vector", "label", "id"), "h1": F.xxhash64("vector"), "h2": F.hash("vector")})
-    copies = marked.filter("ok").groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
-    reps = written(copies, "vectors")
+    copies = marked.filter("ok").groupBy("label", "h1", "h2").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+    # A node is a vector, not an id, which unlike vectors may share.
+    reps = written(copies.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     doubles = reps.select("rep", "label", "copies", F.col("vector").cast("array<double>").alias("vector"))
     hashed = written(doubles.mapInArrow(_hashed, "rep long, label long, copies long, vector array<double>, keys array<bigint>").withColumn("vector", F.col("vector").cast("array<float>") if dict(vectors.dtypes)[vector_col] == "array<float>" else F.col("vector")), "hashed")
     entries = hashed.select("rep", F.posexplode("keys").alias("table", "key"))
@@ -120,10 +124,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     dealt = wide.repartition("key", "table", "left", "right").sortWithinPartitions("key", "table", "left", "right")
     links = written(dealt.mapInArrow(_links(threshold), "rep long, links long, lowest long"), "vector-links")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = connected_components(links, "rep", "lowest")
-    found = reps.select("label", "h1", "h2", "rep", "copies").join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    groups = connected_components(links, "rep", "lowest").select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    named = groups.join(reps.select("rep", "smallest"), "rep")
+    component = named.groupBy("group").agg(F.min("smallest").alias("component"))
+    groups = named.join(component, "group").select("rep", "component")
+    found = reps.select("label", "h1", "h2", "rep", "smallest", "copies").join(counts, "rep", "left").join(groups, "rep", "left")
     found = found.select(
-        F.col("label").alias("f_label"), F.col("h1").alias("f1"), F.col("h2").alias("f2"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")
+        F.col("label").alias("f_label"), F.col("h1").alias("f1"), F.col("h2").alias("f2"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "smallest").alias("component")
     )
     joined = marked.join(found, marked["ok"] & (marked["label"] == found["f_label"]) & (marked["h1"] == found["f1"]) & (marked["h2"] == found["f2"]), "left")
     component = F.coalesce("component", "id")

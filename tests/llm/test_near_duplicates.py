@@ -168,3 +168,13 @@ def test_vectors_against_brute_force(spark):
 
 def test_no_vectors(spark):
     assert pstable.near_vectors(vectors(spark, [])).collect() == []
+
+
+def test_repeated_ids_of_vectors_count_once(spark):
+    schema = "vec_id long, embedding array<float>, label int"
+    alike = [(5, [1.0, 0.0], 1), (5, [1.0, 0.01], 1), (7, [1.0, 0.02], 1)]
+    got = sorted(map(tuple, pstable.near_vectors(spark.createDataFrame(alike, schema)).select("vec_id", "n_links", "component_id", "kept").collect()))
+    assert got == [(5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False)]
+    unlike = [(5, [1.0, 0.0], 1), (6, [1.0, 0.01], 1), (7, [1.0, 0.02], 1), (5, [0.0, 1.0], 1), (3, [0.01, 1.0], 1)]
+    got = sorted(map(tuple, pstable.near_vectors(spark.createDataFrame(unlike, schema)).select("vec_id", "n_links", "component_id", "kept").collect()))
+    assert got == [(3, 1, 3, True), (5, 1, 3, False), (5, 2, 5, True), (6, 2, 5, False), (7, 2, 5, False)]

@@ -32,22 +32,34 @@ def test_recall_on_the_whole_table(spark, sf_dir):
     assert hits / (20 * len(got)) >= 0.95
 
 
-def test_different_norms_ties_and_unusable_rows(spark):
+@pytest.mark.parametrize("scale", [1.0, 1e-7, 1e-150, 1e150])
+def test_norms_ties_and_unusable_rows(spark, scale):
     rng = np.random.default_rng(2)
-    x = (rng.standard_normal((300, 12)) * rng.uniform(0.1, 3, (300, 1))).astype(np.float32)
+    x = rng.standard_normal((700, 12)) * rng.uniform(0.1, 3, (700, 1)) * scale
     x[50:80] = x[10]
     rows = [(i, v.tolist(), 1, "s") for i, v in enumerate(x)]
-    rows += [(300, None, 1, "s"), (320, [0.0] * 12, 1, "s"), (340, [float("nan")] * 12, 1, "s"), (360, [None] * 12, 1, "s"), (None, x[0].tolist(), 1, "s"), (0, x[0].tolist(), 1, "s")]
+    rows += [(700, None, 1, "s"), (720, [0.0] * 12, 1, "s"), (740, [float("nan")] * 12, 1, "s"), (760, [None] * 12, 1, "s"), (None, x[0].tolist(), 1, "s")]
     found = {}
-    for r in cross_polytope.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, k=20, probed=0.5).collect():
-        found.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
-    assert set(found) == set(range(0, 300, 20))
-    wide, ids, hits = x.astype(np.float64), np.arange(300), 0
+    for r in cross_polytope.search(spark.createDataFrame(rows, SCHEMA.replace("float", "double")), F.col("vec_id") % 20 == 0, k=20).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert set(found) == set(range(0, 700, 20))
+    ids, hits = np.arange(700), 0
     for q, ranks in found.items():
-        want = exact(ids, wide, q, 20)
+        score = (x / scale) @ (x[q] / scale)
+        want = [i for i in np.lexsort((ids, -np.round(score, 12))) if i != q][:20]
         assert sorted(ranks) == list(range(1, 21))
-        hits += len(set(ranks.values()) & set(want))
-    assert hits / (20 * len(found)) >= 0.95
+        assert all(s == pytest.approx(float(x[v] @ x[q]), rel=1e-9, abs=1e-12 * scale * scale) for v, s in ranks.values())
+        assert list(ranks.values()) and [ranks[k][0] for k in sorted(ranks)] == [v for v, _ in sorted(ranks.values(), key=lambda t: (-t[1], t[0]))]
+        hits += len({v for v, _ in ranks.values()} & set(want))
+    assert hits / (20 * len(found)) >= 0.9
+
+
+def test_every_row_of_a_repeated_id_is_a_candidate(spark):
+    rows = [(0, [1.0, 0.0], 1, "s"), (0, [2.0, 0.0], 1, "s"), (1, [3.0, 1.0], 1, "s"), (1, [4.0, 0.0], 1, "s"), (2, [0.0, 1.0], 1, "s")]
+    got = cross_polytope.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0, k=20).collect()
+    first = [(1, 1, 4.0), (2, 1, 3.0), (3, 0, 2.0), (4, 2, 0.0)]
+    second = [(1, 1, 8.0), (2, 1, 6.0), (3, 0, 2.0), (4, 2, 0.0)]
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(first + second)
 
 
 def test_few_rows_are_all_found(spark):
