@@ -118,6 +118,22 @@ def test_large_radius_is_composed(mask_of, cells_of):
     assert cells_of(morphology.erode(mask_of(big), 6, grid)) == brute_erode(big, 6)
 
 
+def test_morphology_over_many_tiles_and_keys(spark, cells_of, monkeypatch):
+    monkeypatch.setattr(morphology, "TILE", 8)
+    grid = Grid(0.0, 3.0 * 90, 3.0, 90, 75)
+    rng = random.Random(3)
+    masks = {k: {(rng.randrange(90), rng.randrange(75)) for _ in range(size)} for k, size in (("a", 6), ("b", 6300))}
+    df = spark.createDataFrame([(k, r, c) for k, cells in masks.items() for r, c in sorted(cells)], "fire string, r int, c int")
+    for n in (1, 3, 30):
+        grown, shrunk = morphology.dilate(df, n, grid, ["fire"]), morphology.erode(df, n, grid, ["fire"])
+        for k, cells in masks.items():
+            assert cells_of(grown.filter(f"fire = '{k}'")) == brute_dilate(cells, n, 90, 75)
+            assert cells_of(shrunk.filter(f"fire = '{k}'")) == brute_erode(cells, n)
+    full = {(r, c) for r in range(90) for c in range(75)}
+    whole = spark.createDataFrame([(r, c) for r, c in full], "r int, c int")
+    assert cells_of(morphology.erode(whole, 30, grid)) == {(r, c) for r in range(30, 60) for c in range(30, 45)}
+
+
 def test_digest_ignores_partitioning_and_sees_changes(spark, mask_of):
     grid = Grid(0, 3, 3, 50, 50)
     rng = random.Random(1)
