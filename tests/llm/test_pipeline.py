@@ -17,7 +17,7 @@ def test_oracle(spark, sf_dir, name):
 
 
 def test_names():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
     assert [name for name, _ in pipeline.STAGES] == ["quality", "line_dedup", "minhash_dedup", "mixing", "packing"]
 
 
