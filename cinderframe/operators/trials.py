@@ -67,7 +67,15 @@ def _packed(width: int):
     return run
 
 
-def pack(folded: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+@dataclass(frozen=True)
+class Packed:
+    """A written table with a row per bucket, and how many buckets there may be."""
+
+    table: DataFrame
+    buckets: int
+
+
+def pack(folded: DataFrame, features: Sequence[str], label: str) -> Packed:
     """The counted rows of ``folded`` (features, label, ``fold``) as a written table of buckets.
 
     The number of buckets follows from the number of distinct rows alone, at most ``MOST_BUCKETS``.
@@ -79,7 +87,7 @@ def pack(folded: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     buckets = min(max(-(-counted.count() // ROWS), 1), MOST_BUCKETS)
     dealt = counted.withColumn("__bucket", F.pmod(F.xxhash64(*columns), F.lit(buckets))).repartition("__bucket")
     ordered = dealt.sortWithinPartitions("__bucket", *columns).select("__bucket", *columns)
-    return written(ordered.mapInArrow(_packed(len(columns)), "bucket long, rows binary"), "buckets")
+    return Packed(written(ordered.mapInArrow(_packed(len(columns)), "bucket long, rows binary"), "buckets"), buckets)
 
 
 def _arrays(rows: bytes, width: int):
@@ -111,7 +119,7 @@ def _added(batches):
         yield done()
 
 
-def _summed(packed: DataFrame, task, shape: int, width: int) -> np.ndarray:
+def _summed(packed: Packed, task, shape: int, width: int) -> np.ndarray:
     """Sum over buckets of the one array that ``task`` makes of a bucket's rows, by a tree of ``FAN`` branches a node."""
 
     def run(batches):
@@ -122,7 +130,7 @@ def _summed(packed: DataFrame, task, shape: int, width: int) -> np.ndarray:
                 sums = np.ascontiguousarray(task(_arrays(rows.as_py(), width)), np.float64).ravel().tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([sums], pa.binary())], ["bucket", "sums"])
 
-    sums, buckets = packed.mapInArrow(run, "bucket long, sums binary"), MOST_BUCKETS
+    sums, buckets = packed.table.mapInArrow(run, "bucket long, sums binary"), packed.buckets
     while buckets > FAN:
         group = F.floor(F.col("bucket") / FAN).alias("group")
         sums = sums.select(group, "bucket", "sums").repartition("group").sortWithinPartitions("group", "bucket").mapInArrow(_added, "bucket long, sums binary")
@@ -193,14 +201,27 @@ def _held_out_counts(problems: Problems):
 def _proximal_step(beta, slope, curve, l1, l2, sweeps: int = 200):
     """The minimum of the quadratic model plus penalties, for all problems at once; the intercept is free.
 
-    Without an L1 part it is one linear system each; else coordinate descent, from the system's solution.
+    Without an L1 part it is one linear system each. Else coordinate descent, from the system's solution, finds the
+    coefficients that stay and their signs, and their own system the values, where it keeps the signs: descent alone creeps along near
+    collinear features.
     """
     ridge = np.broadcast_to(l2[:, None] * (np.arange(beta.shape[1]) > 0), beta.shape)
     system = curve + (ridge + 1e-12)[:, :, None] * np.eye(beta.shape[1])
     step = np.linalg.solve(system, -(slope + ridge * beta)[:, :, None])[:, :, 0]
     bent = np.flatnonzero(l1 > 0)
     if len(bent):
-        step[bent] = _descended(step[bent], beta[bent], slope[bent], curve[bent], l1[bent], l2[bent], sweeps)
+        near = _descended(step[bent], beta[bent], slope[bent], curve[bent], l1[bent], l2[bent], sweeps)
+        sign = np.sign(beta[bent] + near)
+        sign[:, 0] = 0
+        stays = sign != 0
+        stays[:, 0] = True
+        eye = np.eye(beta.shape[1])
+        own = np.where(stays[:, :, None], system[bent], eye)
+        wanted = np.where(stays, -(slope + ridge * beta)[bent] - l1[bent, None] * sign, -beta[bent])
+        solved = np.linalg.solve(own, wanted[:, :, None])[:, :, 0]
+        solved = np.where(stays, solved, -beta[bent])
+        same = (np.sign(beta[bent] + solved) == sign)[:, 1:].all(1)
+        step[bent] = np.where(same[:, None], solved, near)
     return step
 
 
@@ -245,7 +266,7 @@ class Solution:
         return np.concatenate([np.abs(self.slope[:, :1]), inner], 1)
 
 
-def solve(packed: DataFrame, width: int, folds: int, fold_of: np.ndarray, recipes: Sequence, rounds: int, tolerance: float) -> Solution:
+def solve(packed: Packed, width: int, folds: int, fold_of: np.ndarray, recipes: Sequence, rounds: int, tolerance: float) -> Solution:
     """Proximal Newton fits of all problems; a problem trains on the folds other than its own (-1: on all)."""
     full_width = width + 1
     sums = _summed(packed, _class_moments(full_width, folds), folds * 2 * (1 + 2 * full_width), width).reshape(folds, 2, -1)
