@@ -18,6 +18,8 @@ from cinderframe.session import written
 
 
 PREFIX = 4
+#: Up to this many rows per key, Spark limits a window before its shuffle; groups in which tasks merge.
+MERGED_ROWS, MERGES = 1000, 64
 
 
 def hash_cuts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: Column) -> DataFrame:
@@ -43,13 +45,29 @@ def hash_cuts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], wanted
     return written(inside.withColumn("__place", place).filter("__place = __need").select(*keys, F.struct(*order).alias("cut")), "hash-cuts")
 
 
+def smallest(rows: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, name: str) -> DataFrame:
+    """The first ``k`` rows per ``keys`` in the order ``order``, numbered from 1 in ``name``: one scan for a bounded ``k``.
+
+    Every task keeps its own first ``k`` rows of a key before the shuffle (Spark pushes the
+    limit below a window's exchange), tasks merge in ``MERGES`` groups, and the groups merge again, so
+    no task gets more than ``k`` rows from each task of one group, however hot a key is.
+    """
+    salted = rows.withColumn("__merge", F.spark_partition_id() % MERGES)
+    first = F.row_number().over(Window.partitionBy(*keys, "__merge").orderBy(*order))
+    merged = salted.withColumn(name, first).filter(F.col(name) <= k).drop("__merge")
+    return merged.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
+
+
 def sample_cells(eligible: DataFrame, group: str, k: int) -> DataFrame:
     """``k`` cells per group without replacement, fewer where there are fewer.
 
-    ``eligible`` has a row per group and eligible cell. Rows up to the group's cut are
+    ``eligible`` has a row per group and eligible cell. Small samples are merged from every
+    task's own (one scan); for larger ones rows up to the group's cut are
     kept before anything is shuffled, so only the sample itself is sorted, for any ``k``.
     """
     draw = eligible.select(group, "r", "c", hash_key(F.col(group), "r", "c").alias("__h"))
+    if k <= MERGED_ROWS:
+        return smallest(draw, [group], ["__h", "r", "c"], k, "pick").drop("__h")
     cuts = hash_cuts(draw, [group], ["__h", "r", "c"], F.lit(k))
     kept = join_metadata(draw, cuts, [group]).filter(F.struct("__h", "r", "c") <= F.col("cut"))
     window = Window.partitionBy(group).orderBy("__h", "r", "c")
@@ -57,7 +75,7 @@ def sample_cells(eligible: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def require_sample(groups: DataFrame, sample: DataFrame, group: str, k: int) -> DataFrame:
-    """Fail the job if any group got fewer than ``k`` cells."""
+    """Fail the job if any group got fewer than ``k`` cells. ``sample`` is read twice and should be a written table."""
     got = sample.groupBy(group).agg(F.count(F.lit(1)).alias("__got"))
     message = F.concat(F.lit(f"not enough eligible cells: requested {k}, group "), F.col(group).cast("string"))
     checked = groups.select(group).join(got, group, "left").select(

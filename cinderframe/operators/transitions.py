@@ -84,7 +84,11 @@ def as_of_steps(run_log: DataFrame, requested: Sequence[int]) -> DataFrame:
 
 
 def as_of_snapshots(snapshots: DataFrame, run_log: DataFrame, requested: Sequence[int]) -> DataFrame:
-    """Cell states at each requested horizon; a run that ended early keeps its last state."""
+    """Cell states at each requested horizon; a run that ended early keeps its last state.
+
+    Where ``snapshots`` is a table partitioned by run and step, the broadcast steps prune
+    its folders when the query runs, so folders of other steps are never opened.
+    """
     steps = as_of_steps(run_log, requested).withColumn("step", F.col("actual_step"))
     return join_metadata(snapshots, steps, ["run_id", "step"]).drop("step")
 

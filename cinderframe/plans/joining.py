@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from cinderframe.functions.columns import is_reached, is_truth
 from cinderframe.operators import domains, focal, geometry, profile, scenarios, transitions
-from cinderframe.plans.fixtures import CROPS, PIXEL, Tables, with_fixtures
+from cinderframe.plans.fixtures import CROPS, PIXEL, WIDTH, Tables, with_fixtures
 from cinderframe.plans.registry import query, rounded
-from cinderframe.sources import wind
+from cinderframe.session import scratch_path, written
+from cinderframe.sources import tables, wind
 
 REQUESTED = (3, 6, 9, 20)
 
@@ -64,6 +65,20 @@ def as_of_snapshot(t: Tables):
     return states.select("run_id", "requested_step", "actual_step", "r", "c", "state")
 
 
+@query("j5_stored_as_of", with_fixtures("snapshots", """
+    select q.requested_step, s.step actual_step, s.run_id, s.state, count(*) cells, cast(sum(s.r * 120 + s.c) as bigint) cell_sum
+    from (values (3), (6), (9), (20)) q(requested_step)
+    join snapshots s on s.step = (select max(step) from (select distinct step from snapshots) where step <= q.requested_step)
+    group by 1, 2, 3, 4"""))
+def stored_as_of(t: Tables):
+    """States at the requested horizons, from the stored snapshot table: only the folders of four of the thirteen steps are read."""
+    path = tables.write_snapshots(t.snapshots, scratch_path(t.spark, "snapshots"))
+    log = written(t.run_log, "recorded-steps")
+    states = transitions.as_of_snapshots(tables.read_snapshots(t.spark, path), log, REQUESTED)
+    key = F.col("r").cast("bigint") * WIDTH + F.col("c")
+    return states.groupBy("requested_step", "actual_step", "run_id", "state").agg(F.count(F.lit(1)).alias("cells"), F.sum(key).alias("cell_sum"))
+
+
 @query("j6_circle_cells", with_fixtures("dims", """
     select s_suppkey centre_id, radius_m, g.r, h.c,
       (cast(g.r as bigint) - r0) * (g.r - r0) + (cast(h.c as bigint) - c0) * (h.c - c0) dist2

@@ -26,7 +26,7 @@ IDS_HASH = "md5('42|' || run_id || '|' || step || '|' || r || '|' || c)"
 def ignition_sample(t: Tables):
     seeds = F.explode(F.array(*[F.lit(s) for s in SEEDS])).alias("run_id")
     eligible = t.env.filter(F.col("burnable") & (F.col("building_presence") == 1)).select("r", "c", "slope_raw", seeds)
-    strict = sampling.sample_cells(eligible, "run_id", 10)
+    strict = written(sampling.sample_cells(eligible, "run_id", 10), "picks")
     strict = sampling.require_sample(t.winds.select("run_id"), strict, "run_id", 10).withColumn("mode", F.lit("strict"))
     lenient = sampling.sample_cells(eligible.filter("slope_raw = 12"), "run_id", 200).withColumn("mode", F.lit("lenient"))
     return strict.unionByName(lenient).select("mode", "run_id", "r", "c", "pick")

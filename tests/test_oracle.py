@@ -25,7 +25,7 @@ def test_has_rows(spark, sf_dir, name):
 
 
 def test_names():
-    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 111
+    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 112
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cinderframe.functions.ranking import hash_ordinal, ordinal, running_sums, unit_levels
-from cinderframe.operators import learning, probability, profile, sampling, scoring
+from cinderframe.operators import learning, probability, profile, sampling, scoring, transitions
 from cinderframe.operators.learning import Recipe
-from cinderframe.session import scratch_root
+from cinderframe.session import scratch_root, written
 from cinderframe.sources import fingerprint, runlog, tables, wind
 
 
@@ -240,6 +240,32 @@ def test_role_and_snapshot_reads_prune_folders(spark, tmp_path):
     assert files and all("role=train" in x.f for x in files)
 
 
+def test_as_of_join_opens_only_the_folders_of_its_steps(spark, tmp_path):
+    rows = spark.range(260).selectExpr("cast(id % 2 as int) run_id", "cast(id % 13 as int) step", "cast(id as int) r", "0 c", "2 state")
+    path = tables.write_snapshots(rows, str(tmp_path / "snaps"))
+    log = written(rows.select("run_id", "step").distinct(), "log")
+    unread = [f for f in (tmp_path / "snaps").glob("run_id=*/step=*/*.parquet") if f.parent.name not in ("step=3", "step=6", "step=12")]
+    for f in unread:
+        f.write_bytes(b"no parquet")
+        (f.parent / f".{f.name}.crc").unlink()
+    states = transitions.as_of_snapshots(spark.read.schema(rows.schema).parquet(path), log, [3, 6, 40])
+    got = {(x.requested_step, x.actual_step): x.n for x in states.groupBy("requested_step", "actual_step").agg(F.count("*").alias("n")).collect()}
+    assert unread and got == {(3, 3): 20, (6, 6): 20, (40, 12): 20}
+    assert "dynamicpruning" in states._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_samples_merge_from_all_tasks(spark):
+    """One hot group of repeated cells, a small one, and fewer tasks than merge groups or more."""
+    rows = spark.range(4000).selectExpr("cast(id % 10 < 9 as int) g", "cast(id % 700 as int) r", "cast(id % 3 as int) c")
+    groups = {}
+    for x in rows.collect():
+        groups.setdefault(x.g, []).append((hashlib.md5(f"{x.g}|{x.r}|{x.c}".encode()).hexdigest(), x.r, x.c))
+    want = sorted((g, i, r, c) for g, v in groups.items() for i, (_, r, c) in enumerate(sorted(v)[:300], 1))
+    for parts in (1, 5, 150):
+        few = sampling.sample_cells(rows.repartition(parts), "g", 300).collect()
+        assert sorted((x.g, x.pick, x.r, x.c) for x in few) == want
+
+
 def test_training_csv_needs_its_target(spark, tmp_path):
     rows = spark.createDataFrame([(0.5, 1)], "slope_risk double, ignited int")
     tables.write_training(rows, str(tmp_path / "csv"), fmt="csv")
