@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderframe.llm.shared import batch_bytes, by_value, text_chunks
+from cinderframe.llm.shared import batch_bytes, by_value, text_chunks, written
 from cinderframe.llm.words import WordHasher, mix, space_separated
 
 by_value(__name__)
@@ -216,17 +216,36 @@ def score_column(model: Crf, text: Column) -> Column:
     return F.arrow_udf(run, "double")(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_bytes: int = 65_536, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
-    """Train on at most ``sample`` labelled documents of up to ``most_bytes`` bytes each.
+def training_sample(docs: DataFrame, labels: DataFrame, sample: int, most_bytes: int, most_lines: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``label, text`` of at most ``sample`` ids and ``most_lines`` lines in all, a written table.
 
-    These two bounds limit the training rows only, and so the driver's memory. The sample
-    is the smallest hashes of the ids, the same on every run. Null labels or ids are left out.
+    Ids come in the order of their hashes, each with one label (the larger of several) and one text
+    (that of the smallest hash), until the next would pass ``most_lines``.
     """
-    batch_bytes(docs.sparkSession)
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).filter(F.octet_length("text") <= most_bytes)
-    near = texts.select("id").join(known.groupBy("id").agg(F.max("label").alias("label")), "id").orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = texts.join(F.broadcast(near), "id").select("label", "text").mapInArrow(_features, "label int, lines binary").collect()
+    once = known.groupBy("id").agg(F.max("label").alias("label"))
+    near = once.join(texts.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    rows = written(texts.join(F.broadcast(near), "id").groupBy("id", "label").agg(first).select("id", "label", "first.text"), "line-sample")
+    lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    upto = F.sum("lines").over(Window.orderBy(F.xxhash64("id"), "id"))  # at most ``sample`` rows of two numbers
+    fits = rows.select("id", lines.alias("lines")).withColumn("upto", upto).filter(F.col("upto") <= most_lines).select("id")
+    return rows.join(F.broadcast(fits), "id").select("label", "text")
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, sample: int = 4000, most_bytes: int = 65_536, most_lines: int = 400_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+) -> Crf:
+    """Train on at most ``sample`` labelled ids, of texts up to ``most_bytes`` bytes, with ``most_lines`` lines in all.
+
+    These bounds limit the training rows only, and so the driver's memory: a line is a fixed number
+    of features, so 400,000 lines are at most about 100 MB. The sample is the same on every run; an id
+    counts once, however many rows repeat it. Null labels or ids are left out.
+    """
+    batch_bytes(docs.sparkSession)
+    picked = training_sample(docs, labels, sample, most_bytes, most_lines, id_col, text_col, label_col)
+    rows = picked.mapInArrow(_features, "label int, lines binary").collect()
     width = 3 * N_FEATURES + 1
     return train(sorted(((np.frombuffer(r["lines"], np.float32).reshape(-1, width), r["label"]) for r in rows), key=lambda x: (x[1], x[0].shape, x[0].tobytes())))
 
