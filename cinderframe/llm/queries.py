@@ -54,8 +54,8 @@ def op2(spark, sf_dir):
 
 
 def held_out():
-    """True for documents whose labels no model may learn from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    """True for documents whose labels no model may learn from; false for a null id, which no label names."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> crf.Crf:
@@ -136,19 +136,19 @@ def op8(spark, sf_dir):
     "op9_line_dedup",
     r"""
     WITH l AS (
-      SELECT doc_id, p, lines[p] AS line,
+      SELECT rid, doc_id, p, lines[p] AS line,
              lower_ascii AS key
       FROM (
-        SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS p
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+        SELECT rid, doc_id, lines, unnest(range(1, len(lines) + 1)) AS p
+        FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
       ), LATERAL (SELECT translate(trim(lines[p], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii)
     ),
-    f AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+    f AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10)
     SELECT doc_id, count(*) AS n_lines,
            count(*) FILTER (WHERE f.key IS NOT NULL) AS n_dropped,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
-    FROM l LEFT JOIN f USING (key) GROUP BY doc_id
+    FROM l LEFT JOIN f USING (key) GROUP BY rid, doc_id
     """,
 )
 def op9(spark, sf_dir):
@@ -164,25 +164,45 @@ def _license_oracle() -> str:
     )
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return f"""
-    WITH t AS (SELECT name, {grams} AS g FROM (SELECT name, {words.format(x="body")} AS w FROM (VALUES {quoted}) v(name, body))),
+    WITH t AS (SELECT name, w, {grams} AS g FROM (SELECT name, {words.format(x="body")} AS w FROM (VALUES {quoted}) v(name, body))),
+    docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
     units AS (
-      SELECT doc_id, 0 AS rank, text AS body FROM documents
-      UNION ALL SELECT doc_id, 1, unnest(string_split_regex(text, '\\n[ \\t\\r\\x0b\\x0c]*\\n')) FROM documents
-      UNION ALL SELECT doc_id, 2, unnest(string_split(text, chr(10))) FROM documents
+      SELECT rid, 0 AS rank, [text] AS bodies FROM docs
+      UNION ALL SELECT rid, 1, string_split_regex(text, '\\n[ \\t\\r\\x0b\\x0c]*\\n') FROM docs
+      UNION ALL SELECT rid, 2, string_split(text, chr(10)) FROM docs
+    ),
+    parts AS (
+      SELECT rid, rank, p, {words.format(x="bodies[p]")} AS w
+      FROM (SELECT *, unnest(range(1, len(bodies) + 1)) AS p FROM units WHERE bodies[1] IS NOT NULL)
+    ),
+    u AS MATERIALIZED (
+      SELECT *, {grams} AS g, coalesce(sum(len(w)) OVER (PARTITION BY rid, rank ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM parts
+    ),
+    near AS MATERIALIZED (
+      SELECT rid, name, u.w, t.g AS tg, len(t.w) AS width FROM u JOIN t ON rank = 0 AND len(u.w) >= len(t.w)
+      WHERE len(list_intersect(u.g, t.g)) >= len(t.g) * 0.6
+    ),
+    windows AS (
+      SELECT rid, name, tg, s - 1 AS start, width, list_slice(w, s, s + width - 1) AS w
+      FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS s FROM near)
     ),
-    u AS (SELECT doc_id, rank, {grams} AS g FROM (SELECT doc_id, rank, {words.format(x="body")} AS w FROM units WHERE body IS NOT NULL)),
     m AS (
-      SELECT doc_id, rank, name, 2.0::DOUBLE * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)) AS dice
-      FROM u JOIN t ON len(u.g) * 0.8 <= 1.2 * len(t.g) AND len(t.g) * 0.8 <= 1.2 * len(u.g) WHERE len(u.g) > 0
+      SELECT rid, rank, name, start, len(w) AS n_words, g, tg FROM (
+        SELECT rid, rank, name, start, u.w, u.g, t.g AS tg
+        FROM u JOIN t ON len(u.g) * 0.8 <= 1.2 * len(t.g) AND len(t.g) * 0.8 <= 1.2 * len(u.g) WHERE len(u.g) > 0)
+      UNION ALL SELECT rid, 3, name, start, width, {grams}, tg FROM windows
     ),
-    b AS (SELECT * FROM m WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name, rank) = 1)
-    SELECT d.doc_id, name AS license, dice, ['text', 'paragraph', 'line'][rank + 1] AS unit FROM documents d LEFT JOIN b USING (doc_id)
+    d AS (SELECT rid, rank, name, start, n_words, 2.0::DOUBLE * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM m),
+    b AS (SELECT * FROM d WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY rid, name ORDER BY dice DESC, rank, start) = 1)
+    SELECT doc_id, name AS license, dice, ['text', 'paragraph', 'line', 'window'][rank + 1] AS unit,
+           CAST(start AS BIGINT) AS start, CAST(n_words AS BIGINT) AS n_words
+    FROM docs LEFT JOIN b USING (rid)
     """
 
 
 @query("op10_license_scan", _license_oracle())
 def op10(spark, sf_dir):
-    """Licence notices in documents, as a whole, by paragraph and by line."""
+    """Every licence notice in documents, as a whole, by paragraph, by line and by window, with its place."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from cinderframe.llm import crf, licenses, url_tree, words
-from cinderframe.llm.queries import QUERIES, URL_RULES, quality_model
+from cinderframe.llm.queries import QUERIES, URL_RULES, held_out, quality_model
 from helpers import AWKWARD, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -192,28 +192,67 @@ def test_rare_and_deep_branches_are_judged_alike_on_hosts_of_any_size(spark):
     assert {r["template"] for r in got if r["host"] == "deep"} == {"/{~}/{~}/{~}/{~}/{~}/good/{**}", "/{~}/{~}/{~}/{~}/{~}/bad/{**}"}
 
 
-def plain_license(text, least):
-    def grams(x):
-        w = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), x))
-        return set(zip(w, w[1:]))
+def plain_licenses(text, least):
+    """Every template that a text holds, at its best place, by trying all units and windows."""
 
-    best = None
-    units = [[text or ""], re.split(r"\n[ \t\r\x0b\x0c]*\n", text or ""), (text or "").split("\n")]
-    for name in sorted(licenses.TEMPLATES):
-        t = grams(licenses.TEMPLATES[name])
-        for rank, parts in enumerate(units):
-            for u in map(grams, parts):
-                dice = 2.0 * len(u & t) / (len(u) + len(t)) if u else 0.0
-                if dice >= least and (best is None or dice > best[1]):
-                    best = (name, dice, licenses.UNITS[rank])
-    return best or (None, None, None)
+    def words(x):
+        return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), x))
+
+    text, found = text or "", set()
+    units = [[text], re.split(r"\n[ \t\r\x0b\x0c]*\n", text), text.split("\n")]
+    spans = [(rank, w, sum(len(words(v)) for v in parts[:k])) for rank, parts in enumerate(units) for k, w in enumerate(map(words, parts))]
+    for name, body in licenses.TEMPLATES.items():
+        t, all_words = words(body), words(text)
+        grams, best = set(zip(t, t[1:])), None
+        windows = [(3, all_words[k : k + len(t)], k) for k in range(len(all_words) - len(t) + 1)] if grams & set(zip(all_words, all_words[1:])) else []
+        for rank, w, start in spans + windows:
+            own = set(zip(w, w[1:]))
+            dice = 2.0 * len(own & grams) / (len(own) + len(grams))
+            if dice >= least and (best is None or (-dice, rank, start) < best[:3]):
+                best = (-dice, rank, start, len(w))
+        if best:
+            found.add((name, -best[0], licenses.UNITS[best[1]], best[2], best[3]))
+    return found or {(None,) * 5}
 
 
 def test_licences_against_brute_force(spark):
-    mit, bsd = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["BSD-2-Clause"]
+    mit, bsd, gpl = (licenses.TEMPLATES[n] for n in ("MIT", "BSD-2-Clause", "GPL-3.0-or-later header"))
     half = mit.split(" ")
     texts = [*AWKWARD, mit.upper(), "Intro.\n\n" + mit.replace(" ", "\n") + "\n \t\nrest", "x\n" + bsd + "\ny", " ".join(half[: len(half) // 2]),
-             "a\nReleased under the  MIT license\nb", "Released under the", mit + " " + bsd, "licensed under cc by nc 4 0\n\n\nreleased under the mit license", " ".join(half[3:]) + " é"]
-    got = {r["doc_id"]: (r["license"], r["dice"], r["unit"]) for r in licenses.scan(documents(spark, texts)).collect()}
-    assert got == {i: plain_license(t, 0.8) for i, t in enumerate(texts)}
+             "a\nReleased under the  MIT license\nb", "Released under the", mit + " " + bsd, "licensed under cc by nc 4 0\n\n\nreleased under the mit license", " ".join(half[3:]) + " é",
+             mit + "\n\n" + gpl, "Copyright 2024 Foo. Released under the MIT License.", "import x\n# " + gpl.replace("the ", "\n# ") + "\nint main() {}\n" * 40,
+             "Released under the MIT License. " * 300, " ".join(half[:40] + ["other"] * 60 + half[40:])]
+    got = {}
+    for r in licenses.scan(documents(spark, texts)).collect():
+        got.setdefault(r["doc_id"], []).append(tuple(r)[1:])
+    for i, text in enumerate(texts):
+        assert len(got[i]) == len(set(got[i])) and set(got[i]) == plain_licenses(text, 0.8), text[:80]
+    names = [{m[0] for m in got[i]} for i in range(len(texts))]
+    assert names[len(AWKWARD) + 9] >= {"MIT", "GPL-3.0-or-later header"} and names[len(AWKWARD) + 10] == {"MIT notice"}
     assert licenses.scan(documents(spark, [])).collect() == []
+
+
+def test_many_windows_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "WINDOWS", 7)
+    words = np.random.default_rng(2).integers(0, 6, 400).astype(np.uint64)
+    grams = licenses.bigram_hashes(words)
+    for width in (3, 8, 20):
+        template = np.unique(grams[100 : 99 + width])
+        own = np.flatnonzero(np.isin(grams, template))
+        sets = [set(grams[s : s + width - 1].tolist()) for s in range(401 - width)]
+        dice = [2.0 * len(g & set(template.tolist())) / (len(g) + len(template)) for g in sets]
+        top = int(np.argmax(dice))
+        assert licenses.best_window(grams, own, width, 0, 400, len(template), 0.8) == (dice[top], top)
+
+
+def test_sample_of_lines_is_bounded_whatever_repeats(spark):
+    """An id of 3,000 rows counts once; many lines stop the sample; a null id is held out of nothing."""
+    rows = [(1, f"text {i}") for i in range(3000)] + [(k, "a\n" * 99 + "a") for k in range(2, 60)] + [(None, "x"), (60, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(61)] + [(1, 0), (1, 1), (None, 1)], "doc_id long, quality int")
+    take = lambda **bounds: crf.training_sample(docs, labels, **{"sample": 4000, "most_bytes": 65536, "most_lines": 10**6, **bounds}, id_col="doc_id", text_col="text", label_col="quality").collect()
+    assert len(take()) == 60 and len(take(sample=7)) == 7
+    few = take(most_lines=1000)
+    assert 9 <= len(few) <= 12 and sum(r["text"].count("\n") + 1 for r in few) <= 1000
+    assert sorted(map(tuple, take())) == sorted(map(tuple, take()))
+    assert [r["h"] for r in docs.filter("doc_id is null").select(held_out().alias("h")).collect()] == [False]
