@@ -12,6 +12,10 @@ from cinderframe.llm.shared import gapless, written
 PART = 32.0
 #: Counts of one part beyond this have a probability below 1e-16.
 MOST = 110
+#: Steps of a binary search among 127 places.
+STRIDES = (64, 32, 16, 8, 4, 2, 1)
+#: Tables of more sources, about 1 KB each, are not broadcast.
+SOURCES = 20_000
 BUCKET_DIGITS = 3
 
 
@@ -37,27 +41,33 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, sourc
         weight = F.lit(0.0)
         for source, value in weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(float(value))).otherwise(weight)
-    each = sizes.withColumn("weight", weight)
-    whole = each.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    totals = whole.head()
+    each = written(sizes.withColumn("weight", weight), "source-sizes")
+    totals = each.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight")).head()
     scale = volume * (totals["all_size"] or 0.0) / (totals["all_weight"] or 1.0)
     return each.select("source", (F.lit(scale) * F.col("weight") / F.col("size")).alias("rate"))
 
 
-def draws(rate: Column, seed: str, *keys: Column) -> Column:
-    """Invert the Poisson distribution with mean ``rate`` at a number hashed from seed and keys."""
-    parts = F.greatest(F.ceil(rate / PART), F.lit(1)).cast("int")
-    mean = rate / parts
+def cumulative(rates: DataFrame) -> DataFrame:
+    """Add ``parts`` and ``upto``: P(count <= k) of a part's Poisson distribution for k = 0, 1, ..., then 2 up to 127 places."""
+    mean = F.col("rate") / F.col("parts")
+    start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("c"))
 
-    def one(part: Column) -> Column:
-        u = unit(F.lit(seed), *keys, part.cast("string"))
-        start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"))
+    def step(s: Column, k: Column) -> Column:
+        p = s["p"] * mean / k
+        return F.struct(p.alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + p)).alias("c"))
+
+    table = F.aggregate(F.sequence(F.lit(1), F.lit(MOST - 1)), start, step, lambda s: s["c"])
+    padded = F.concat(table, F.array_repeat(F.lit(2.0), 2 * STRIDES[0] - 1 - MOST))
+    return rates.withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")).withColumn("upto", padded)
 
-        def step(s: Column, i: Column) -> Column:
-            p = s["p"] * mean / i
-            return F.struct(p.alias("p"), (s["c"] + p).alias("c"), (s["k"] + (u >= s["c"]).cast("int")).alias("k"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(MOST)), start, step, lambda s: s["k"])
+def draws(rate: Column, parts: Column, upto: Column, seed: str, *keys: Column) -> Column:
+    """Invert the Poisson distribution with mean ``rate`` at a number hashed from seed and keys: seven steps of a binary search in ``upto``."""
+
+    def one(part: Column) -> Column:
+        u = unit(F.lit(seed), *keys, part.cast("string"))
+        strides = F.array(*[F.lit(n) for n in STRIDES])
+        return F.aggregate(strides, F.lit(0), lambda k, n: k + F.when(F.get(upto, k + n - 1) <= u, n).otherwise(0))
 
     return F.when(rate <= 0, F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, part: n + one(part)))
 
@@ -82,10 +92,11 @@ def replicate(
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     facts = base.select(F.coalesce(F.col(f"row.`{source_col}`").cast("string"), F.lit("\0null")).alias("source"), F.col(f"row.`{text_col}`").alias("text"))
     named = {("\0null" if k is None else k): v for k, v in weights.items()} if weights is not None else None
-    table = rates(facts, named, alpha, "source", "text", volume)
+    table = written(cumulative(rates(facts, named, alpha, "source", "text", volume)), "source-draws")
     key = F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit(""))
     keyed = base.select("row", key.alias("key"), F.coalesce(F.col(f"row.`{source_col}`").cast("string"), F.lit("\0null")).alias("source"))
-    counted = join_metadata(keyed, table, ["source"]).withColumn("times", draws(F.col("rate"), seed, F.col("key")))
+    drawn = draws(F.col("rate"), F.col("parts"), F.col("upto"), seed, F.col("key"))
+    counted = join_metadata(keyed, table, ["source"], max_rows=SOURCES).withColumn("times", drawn)
     copies = counted.filter("times > 0").select("row", "key", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
     return copies.select("row", "copy", F.md5(F.concat_ws("|", F.lit(seed), "key", F.col("copy").cast("string"), F.lit("order"))).alias("order_key"))
 

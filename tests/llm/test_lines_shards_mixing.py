@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -140,7 +141,19 @@ def test_large_rates_and_positions(spark):
 
 @pytest.mark.parametrize("rate", [0.0, 0.3, 5.0, 31.9, 70.0])
 def test_draws_have_the_poisson_mean_and_variance(spark, rate):
-    n = spark.range(4000).select(mixing.draws(F.lit(rate), "s", F.col("id").cast("string")).alias("n"))
+    table = mixing.cumulative(spark.range(4000).select("id", F.lit(rate).alias("rate")))
+    u = [mixing.unit(F.lit("s"), F.col("id").cast("string"), F.lit(str(k))) for k in range(1, 4)]
+    n = mixing.written(table.select("parts", mixing.draws(F.col("rate"), F.col("parts"), F.col("upto"), "s", F.col("id").cast("string")).alias("n"), F.array(*u).alias("u")), "draws")
+    for r in n.collect():
+        count, mean = 0, rate / r["parts"]
+        for x in r["u"][: r["parts"]] if rate else []:
+            p = c = math.exp(-mean)
+            k = 0
+            while x >= c:
+                k, p = k + 1, p * mean / (k + 1)
+                c += p
+            count += k
+        assert r["n"] == count
     facts = n.agg(F.avg("n").alias("mean"), F.var_pop("n").alias("var")).head()
     assert facts["mean"] == pytest.approx(rate, abs=4 * (rate / 4000) ** 0.5 + 1e-9)
     assert facts["var"] == pytest.approx(rate, rel=0.15, abs=1e-9)
