@@ -46,9 +46,12 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat by Poisson draws so that sources follow the root of their size; sorted by hash."""
+    """Documents repeat by Poisson draws so that sources follow the root of their size.
+
+    A hash of document and copy deals the copies to partitions and orders them there: the global shuffle.
+    """
     mixed = mixing.replicate(docs, alpha=0.5)
-    return mixed.orderBy("order_key").select("row.*").select(*docs.columns)
+    return mixed.repartition("order_key").sortWithinPartitions("order_key").select("row.*").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
