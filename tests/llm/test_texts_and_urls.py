@@ -1,5 +1,7 @@
+import math
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -122,60 +124,128 @@ def test_whole_page_table(spark, sf_dir):
         assert r["verdict"] == (verdict or ("block" if r["purity"] >= 0.5 else "allow"))
 
 
-def plain_templates(pages, depth, support, share, z):
-    """The tree of templates, node by node."""
-    state = {i: "" for i, *_ in pages}
-    for level in range(1, depth + 1):
-        tokens, kids, totals = {}, Counter(), Counter()
-        for i, host, path, _ in pages:
-            parts = path.split("/")
-            if len(parts) > level:
-                kids[host, state[i], parts[level]] += 1
-                totals[host, state[i]] += 1
-        for i, host, path, _ in pages:
-            parts = path.split("/")
-            if len(parts) > level:
-                seg, node = parts[level], (host, state[i])
-                number = re.fullmatch(r"[0-9]+(\.[a-z]+)?", seg)
-                if number or kids[(*node, seg)] < max(support, share * totals[node]):
-                    seg = "" if seg == "" else "{n}" + (number[1] or "") if number else "{*}"
-                tokens[i] = seg
-        labelled = defaultdict(lambda: [0, 0])
-        for i, host, _, bad in pages:
-            if i in tokens and bad is not None:
-                labelled[host, state[i], tokens[i]][0] += 1
-                labelled[host, state[i], tokens[i]][1] += bad
-        apart = set()
-        for (host, node, token), (n, b) in labelled.items():
-            rest = [v for (h, p, t), v in labelled.items() if (h, p) == (host, node) and t != token]
-            m, c = sum(v[0] for v in rest), sum(v[1] for v in rest)
-            if m:
-                p = (b + c) / (n + m)
-                if abs(b / n - c / m) > z * (p * (1 - p) * (1 / n + 1 / m)) ** 0.5:
-                    apart.add((host, node, token))
-        for i, host, _, _ in pages:
-            if i in tokens:
-                state[i] += "/" + (tokens[i] if tokens[i] == "" or (host, state[i], tokens[i]) in apart else "{~}")
-    return {i: state[i] + ("/{**}" if path.count("/") > depth else "") for i, _, path, _ in pages}
+def plain_chance(n, b, m, c):
+    """Fisher's two-sided p-value in whole numbers: the smaller tail, doubled."""
+    ways = {k: math.comb(n, k) * math.comb(m, b + c - k) for k in range(n + 1) if 0 <= b + c - k <= m}
+    above = b * (n + m) >= n * (b + c)
+    tail = sum(w for k, w in ways.items() if (k >= b if above else k <= b))
+    return min(1.0, float(2 * Fraction(tail, sum(ways.values()))))
 
 
-def test_templates_against_a_plain_tree(spark):
-    rng = np.random.default_rng(4)
+def plain_templates(pages, support=8, alpha=0.05):
+    """The tree of templates, node by node."""
+    common = Counter((h, k, s) for _, h, path, _ in pages for k, s in enumerate(plain_shape(path)))
+    ways = {i: (h, [s if s == "" or s.startswith("{n}") or common[h, k, s] >= support else "{*}" for k, s in enumerate(plain_shape(path))]) for i, h, path, _ in pages}
+    kids = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+    for i, _, _, bad in pages:
+        if bad is not None:
+            host, tokens = ways[i]
+            for k, token in enumerate(tokens):
+                own = kids[host, *tokens[:k]][token]
+                own[0] += 1
+                own[1] += bad
+    labels = {}
+    for parent, seen in kids.items():
+        n, b = (sum(v[x] for v in seen.values()) for x in (0, 1))
+        if len(seen) < 2 or not 0 < b < n:
+            continue
+        apart = [t for t, v in seen.items() if plain_chance(*v, n - v[0], b - v[1]) * len(seen) < alpha]
+        groups = [[t] for t in sorted(apart, key=lambda t: Fraction(seen[t][1], seen[t][0]))]
+        while len(groups) > 1:
+            sums = [[sum(seen[t][x] for t in g) for x in (0, 1)] for g in groups]
+            alike = [plain_chance(*x, *y) for x, y in zip(sums, sums[1:])]
+            best = max(range(len(alike)), key=alike.__getitem__)
+            if alike[best] < alpha:
+                break
+            groups[best : best + 2] = [groups[best] + groups[best + 1]]
+        for g in groups:
+            for t in g:
+                labels[*parent, t] = t if len(g) == 1 else "{%s+%d}" % (min(g), len(g) - 1)
+    out = {}
+    for i, (host, tokens) in ways.items():
+        met = [k for k in range(len(tokens)) if (host, *tokens[: k + 1]) in labels]
+        out[i] = "/{**}" if tokens else ""
+        if met:
+            k = met[-1]
+            out[i] = "/" + "/".join([*tokens[:k], labels[host, *tokens[: k + 1]], *(["{**}"] if len(tokens) > k + 1 else [])])
+    return out
+
+
+def plain_shape(path):
+    return [re.sub("^[0-9]+", "{n}", s) if re.fullmatch(r"[0-9]+(\.[a-z]+)?", s) else s for s in path.split("/")[1:]]
+
+
+def plain_purity(groups, most=20.0):
+    """Shares of (n, b) groups, smoothed by as many pages of the mean as the groups' spread allows."""
+    n, b = sum(g[0] for g in groups), sum(g[1] for g in groups)
+    base = b / n
+    spread = sum((y - x * base) ** 2 for x, y in groups) / (base * (1 - base))
+    within = (spread - n) / sum(x * (x - 1) for x, _ in groups)
+    prior = 1 / min(max(within, 1 / (most + 1)), 0.5) - 1
+    return [(y + prior * base) / (x + prior) for x, y in groups]
+
+
+def random_site(rng, rows, sections):
     pages = []
-    for i in range(900):
-        kind = rng.choice(["shop", "blog", "spam"])
-        bad = int(rng.random() < (0.9 if kind == "spam" else 0.1))
+    for i in range(rows):
+        name = rng.choice(list(sections))
+        bad = int(rng.random() < sections[name])
         tail = f"/{rng.integers(10**6)}" + rng.choice(["", ".html", "/a/b/c/d/e", "/"])
-        pages.append((i, f"h{i % 2}", f"/{kind}{tail}" if rng.random() < 0.9 else f"/odd{i}{tail}", bad if rng.random() < 0.6 else None))
+        pages.append((i, f"h{i % 2}", f"/{name}{tail}" if rng.random() < 0.9 else f"/odd{i}{tail}", bad if rng.random() < 0.6 else None))
+    return pages
+
+
+def test_exact_chances_of_branches():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n, m = (int(x) for x in rng.integers(1, 60, 2))
+        b, c = int(rng.integers(0, n + 1)), int(rng.integers(0, m + 1))
+        assert url_tree.difference(n, b, m, c) == pytest.approx(plain_chance(n, b, m, c), rel=1e-9)
+    assert url_tree.difference(10**6, 10**5, 10**6, 10**5) == 1.0
+    assert url_tree.difference(10**6, 10**6, 10**6, 0) == 0.0
+
+
+def test_templates_against_a_plain_tree(spark):
+    sections = {"shop": 0.1, "blog": 0.1, "spam": 0.9, "pills": 0.9, "mixed": 0.45}
+    pages = random_site(np.random.default_rng(4), 1500, sections) + [(2000, None, None, 1), (2001, "h0", "", 0), (2001, "h0", "/", None), (2002, "one", "/x/y", 1)]
     table = spark.createDataFrame(pages, "page_id long, host string, path string, bad int")
     placed = url_tree.templates(table)
-    got = {r["id"]: r["template"] for r in placed.collect()}
-    assert got == plain_templates(pages, 4, 8, 0.02, 1.96)
-    assert {t.split("/")[1] for t in got.values()} >= {"spam", "{~}"}
-    for r in url_tree.purity(placed).collect():
-        own = [b for i, h, _, b in pages if h == r["host"] and got[i] == r["template"] and b is not None]
-        base = np.mean([b for *_, b in pages if b is not None])
-        assert r["labelled"] == len(own) and r["purity"] == pytest.approx((sum(own) + 10 * base) / (len(own) + 10))
+    got = Counter((r["id"], r["host"], r["path"], r["template"]) for r in placed.collect())
+    known = [(k, h or "", p or "", b) for k, (_, h, p, b) in enumerate(pages)]
+    want = plain_templates(known)
+    assert got == Counter((pages[k][0], h, p, want[k]) for k, h, p, _ in known)
+    assert "/{pills+1}/{**}" in want.values()
+    groups = defaultdict(lambda: [0, 0])
+    for k, h, _, b in known:
+        groups[h, want[k]][0] += b is not None
+        groups[h, want[k]][1] += b or 0
+    shares = dict(zip(groups, plain_purity(list(groups.values()))))
+    rows = url_tree.purity(placed).collect()
+    assert {(r["host"], r["template"]): r["labelled"] for r in rows} == {g: n for g, (n, _) in groups.items()}
+    for r in rows:
+        assert r["purity"] == pytest.approx(shares[r["host"], r["template"]])
+
+
+def test_rejected_pages_are_bad_where_labels_were_held_out(spark):
+    """Labels of even rows teach; of odd rows that templates reject nearly all are bad, and no bad section is missed. Labels that do not depend on the path reject nothing."""
+    rng = np.random.default_rng(11)
+    sections = {f"s{k}": 0.95 if k % 4 == 0 else 0.08 for k in range(20)}
+    pages = [p for p in random_site(rng, 3000, sections) if p[3] is not None]
+    table = spark.createDataFrame([(i, f"http://{h}{p}", b) for i, h, p, b in pages], "page_id long, url string, bad int")
+    got = {r["page_id"]: r["verdict"] for r in url_tree.judge(table.drop("bad"), table.filter("page_id % 4 < 2").drop("url"), []).collect()}
+    assert np.mean([b for i, *_, b in pages if i % 4 >= 2 and got[i] == "block"]) > 0.9
+    worst = {s for s, share in sections.items() if share > 0.5}
+    assert {i for i, v in got.items() if v == "block"} == {i for i, _, path, _ in pages if path.split("/")[1] in worst}
+    mixed = spark.createDataFrame([(i, int(x)) for (i, *_), x in zip(pages, rng.random(len(pages)) < 0.2)], "page_id long, bad int")
+    assert {r["verdict"] for r in url_tree.judge(table.drop("bad"), mixed, []).collect()} == {"allow"}
+
+
+def test_deep_paths(spark):
+    """A branch below 300 segments; the number of jobs does not follow the depth."""
+    deep = "/".join(f"s{k}" for k in range(300))
+    rows = [(i, "h", f"/{deep}/{'bad' if i % 2 else 'good'}/{i}", i % 2) for i in range(40)]
+    got = url_tree.templates(spark.createDataFrame(rows, "page_id long, host string, path string, bad int")).collect()
+    assert {(r["bad"], r["template"]) for r in got} == {(0, f"/{deep}/good/{{**}}"), (1, f"/{deep}/bad/{{**}}")}
 
 
 def test_rare_and_deep_branches_are_judged_alike_on_hosts_of_any_size(spark):
@@ -189,7 +259,7 @@ def test_rare_and_deep_branches_are_judged_alike_on_hosts_of_any_size(spark):
     got = url_tree.judge(table.drop("bad"), table.drop("url"), []).collect()
     assert {r["page_id"] for r in got if r["verdict"] == "block"} == {i for i, _, bad in rows if bad}
     assert len(got) == len(rows)
-    assert {r["template"] for r in got if r["host"] == "deep"} == {"/{~}/{~}/{~}/{~}/{~}/good/{**}", "/{~}/{~}/{~}/{~}/{~}/bad/{**}"}
+    assert {r["template"] for r in got if r["host"] == "deep"} == {"/a/b/c/d/e/good/{**}", "/a/b/c/d/e/bad/{**}"}
 
 
 def plain_licenses(text, least):
