@@ -32,12 +32,49 @@ def progression(snapshots: DataFrame, keys: Sequence[str] = ("run_id", "step"))
     )
 
 
+STRIP = 32
+
+
+def state_masks(snapshots: DataFrame, **roles: tuple[int, int]) -> DataFrame:
+    """``run_id, step, r, strip`` and per role a bit for each of a strip's 32 columns.
+
+    A role is a state and how many steps earlier it counts. Tasks merge the bits of
+    their own cells before the shuffle, so the dense cells of a grid are never shuffled as rows:
+    where a task holds neighbouring cells, as in stored snapshots, 32 of them become one row.
+    """
+    state, shift = F.col("state"), F.lit(0)
+    for code, earlier in roles.values():
+        shift = F.when(state == code, earlier).otherwise(shift)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("c", F.lit(STRIP)).cast("int"))
+    marks = [F.when(state == code, bit).otherwise(F.lit(0).cast("long")).alias(name) for name, (code, _) in roles.items()]
+    strip = F.floor(F.col("c") / F.lit(STRIP)).cast("int").alias("strip")
+    cells = snapshots.filter(state.isin(*[code for code, _ in roles.values()])).select("run_id", (F.col("step") - shift).alias("step"), "r", strip, *marks)
+    return cells.groupBy("run_id", "step", "r", "strip").agg(*[F.bit_or(name).alias(name) for name in roles])
+
+
+def join_masks(rows: DataFrame, masks: DataFrame) -> DataFrame:
+    """Rows with the masks of their strip; rows of strips without a mark are dropped."""
+    strip = F.floor(F.col("c") / F.lit(STRIP)).cast("int")
+    return rows.withColumn("strip", strip).join(masks, ["run_id", "step", "r", "strip"]).drop("strip")
+
+
+def marked(name: str) -> Column:
+    """1 where the cell's bit is set, else 0."""
+    return F.call_function("shiftright", F.col(name), F.pmod("c", F.lit(STRIP)).cast("int")).bitwiseAND(F.lit(1)).cast("int")
+
+
 def susceptible(df: DataFrame) -> DataFrame:
     """Rows that can ignite: not yet burning, with a blazing neighbour."""
     rows = df.filter(F.col("neighbor_burning_count") > 0)
     return rows.filter(F.col("state") == NOT_YET_BURNING) if "state" in df.columns else rows
 
 
+def susceptible_cells(snapshots: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of ``counts`` (blazing neighbours per cell) whose cell can ignite; one row per cell and step."""
+    met = join_masks(counts, state_masks(snapshots, unburnt=(NOT_YET_BURNING, 0)))
+    return susceptible(met.filter(marked("unburnt") == 1).drop("unburnt"))
+
+
 def label_transitions(
     snapshots: DataFrame,
     winds: DataFrame,
@@ -48,24 +85,17 @@ def label_transitions(
 ) -> DataFrame:
     """Labelled candidates: cells that could ignite at ``step`` and whether they did.
 
-    The neighbour scores, the unburnt cells and the newly ignited cells are
-    partitioned alike, so each is shuffled once. Scores and ignitions follow the
-    fire front; where adaptive execution finds their partitions small enough it
-    hashes them, and the dense unburnt cells stream past without being sorted. Steps whose successor was not recorded have no label;
+    ``snapshots`` has one row per run, step and cell. The scores follow the fire
+    front; the unburnt and the newly ignited cells meet them as masks of 32 columns, merged in the tasks
+    before their shuffle. Steps whose successor was not recorded have no label;
     ``run_log`` (one row per run and step) saves reading them off the snapshots.
     """
     keys = ["run_id", "step", "r", "c"]
     scores = neighbour_scores(snapshots, winds, grid, wind_weight=wind_weight)
-    unburnt = snapshots.filter(F.col("state") == NOT_YET_BURNING).select(*keys)
-    ignited = snapshots.filter(F.col("state") == IGNITED).select(
-        "run_id", (F.col("step") - 1).alias("step"), "r", "c", F.lit(1).alias("ignited")
-    )
     recorded = snapshots if run_log is None else run_log
     labelled_steps = recorded.select("run_id", (F.col("step") - 1).alias("step")).distinct()
-    candidates = unburnt.join(scores, keys)
-    labelled = candidates.join(ignited, keys, "left").select(
-        *keys, "neighbor_burning_count", "wind_weighted_score", F.coalesce("ignited", F.lit(0)).alias("ignited")
-    )
+    met = join_masks(scores, state_masks(snapshots, unburnt=(NOT_YET_BURNING, 0), ignitions=(IGNITED, 1)))
+    labelled = met.filter(marked("unburnt") == 1).select(*keys, "neighbor_burning_count", "wind_weighted_score", marked("ignitions").alias("ignited"))
     return join_metadata(labelled, labelled_steps, ["run_id", "step"], "left_semi")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinderframe.functions.columns import (
-    NOT_YET_BURNING,
     col_of,
     flat_index,
     is_active,
@@ -131,9 +130,7 @@ def fire_binarisation(t: Tables):
     select f.run_id, f.step, f.r, f.c, f.neighbor_burning_count from focal f
     join snapshots s on s.run_id = f.run_id and s.step = f.step and s.r = f.r and s.c = f.c where s.state = 2"""))
 def susceptible(t: Tables):
-    counts = focal.neighbour_counts(t.snapshots, t.grid)
-    unburnt = t.snapshots.filter(F.col("state") == NOT_YET_BURNING)
-    rows = transitions.susceptible(unburnt.join(counts, ["run_id", "step", "r", "c"]))
+    rows = transitions.susceptible_cells(t.snapshots, focal.neighbour_counts(t.snapshots, t.grid))
     return rows.select("run_id", "step", "r", "c", "neighbor_burning_count")
 
 

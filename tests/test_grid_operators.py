@@ -276,3 +276,30 @@ def test_metadata_join_checks_size(spark):
     small = inline_table(spark, ["k", "v"], [(0, "a"), (1, "b"), (2, "c")])
     assert fits_broadcast(small, 3) and not fits_broadcast(small, 2)
     assert join_metadata(rows, small, ["k"]).count() == join_metadata(rows, small, ["k"], max_rows=2).count() == 50
+
+
+def test_labels_from_masks_against_plain_cells(spark):
+    """Cells on both sides of strips and of zero; ignitions one step later, and at a step that nothing follows."""
+    rng = random.Random(5)
+    states = {(run, step, r, c): rng.choice([1, 2, 2, 2, 3, 4, 5]) for run in (1, 2) for step in (0, 1, 2) for r in range(-2, 4) for c in (*range(-3, 3), *range(29, 36), 63, 64)}
+    snapshots = spark.createDataFrame([(*k, s) for k, s in states.items()], "run_id int, step int, r int, c int, state int")
+    winds = spark.createDataFrame([(1, 12.0, 90.0), (2, 0.0, 0.0)], "run_id int, speed_kmh double, direction_deg double")
+    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
+    counts = {k: sum(states.get((*k[:2], k[2] + a, k[3] + b)) == 4 for a, b in near) for k in states}
+    front = {k: n for k, n in counts.items() if n and states[k] == 2}
+    rows = transitions.susceptible_cells(snapshots, focal.neighbour_counts(snapshots)).collect()
+    assert sorted((r["run_id"], r["step"], r["r"], r["c"], r["neighbor_burning_count"]) for r in rows) == sorted((*k, n) for k, n in front.items())
+    labelled = transitions.label_transitions(snapshots, winds).collect()
+    want = [(run, step, r, c, n, int(states[run, step + 1, r, c] == 3)) for (run, step, r, c), n in front.items() if step < 2]
+    assert sorted((r["run_id"], r["step"], r["r"], r["c"], r["neighbor_burning_count"], r["ignited"]) for r in labelled) == sorted(want)
+    assert transitions.label_transitions(snapshots.filter("false"), winds).collect() == []
+
+
+def test_masks_hold_every_cell_of_a_strip(spark):
+    """6,400 cells in 100 rows of 64 are 200 full masks, and are merged below the exchange."""
+    cells = spark.range(6400, numPartitions=2).selectExpr("1 run_id", "0 step", "cast(id div 64 as int) r", "cast(id % 64 as int) c", "2 state")
+    table = transitions.state_masks(cells, unburnt=(2, 0))
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "partial_bit_or" in plan[plan.index("Exchange") :]
+    masks = table.collect()
+    assert len(masks) == 200 and {m["unburnt"] for m in masks} == {(1 << 32) - 1}
