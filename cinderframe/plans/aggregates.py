@@ -89,7 +89,7 @@ counts as (
 
 @query("a1_neighbour_count", with_fixtures("focal", "select run_id, step, neighbor_burning_count, count(*) cells from focal group by 1, 2, 3"))
 def neighbour_count(t: Tables):
-    counts = focal.neighbour_counts(t.snapshots, t.grid)
+    counts = focal.neighbour_counts(t.snapshots, t.grid, tasks=t.tasks)
     return counts.groupBy("run_id", "step", "neighbor_burning_count").agg(F.count(F.lit(1)).alias("cells"))
 
 

@@ -35,7 +35,7 @@ def coregistration(t: Tables):
     from snapshots s cross join offsets o cross join dims where state = 4
       and s.r - o.dr between 0 and height - 1 and s.c - o.dc between 0 and width - 1 group by 1, 2, 3, 4"""))
 def neighbourhood(t: Tables):
-    return focal.neighbour_counts(t.snapshots, t.grid)
+    return focal.neighbour_counts(t.snapshots, t.grid, tasks=t.tasks)
 
 
 @query("j3_transition_labels", with_fixtures("transitions", """

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cinderframe.functions.grid import Grid
 from cinderframe.functions.joins import fits_broadcast, inline_table, join_metadata
 from cinderframe.operators import baselines, cells, digest, domains, focal, geometry, morphology, profile, transitions
+from cinderframe.plans.fixtures import Tables
 from cinderframe.sources import layers
 
 
@@ -303,3 +304,22 @@ def test_masks_hold_every_cell_of_a_strip(spark):
     assert "partial_bit_or" in plan[plan.index("Exchange") :]
     masks = table.collect()
     assert len(masks) == 200 and {m["unburnt"] for m in masks} == {(1 << 32) - 1}
+
+
+def test_snapshots_by_row_keep_a_row_in_one_task(spark, sf_dir):
+    """Masks merge in the tasks only where neighbours meet: one row a strip, run and step leaves them."""
+    t = Tables(spark, sf_dir)
+    placed = t.snapshots_by_row.withColumn("task", F.spark_partition_id())
+    assert placed.groupBy("r").agg(F.countDistinct("task").alias("n")).filter("n > 1").count() == 0
+    assert t.snapshots_by_row.exceptAll(t.snapshots).count() == 0 and t.snapshots.exceptAll(t.snapshots_by_row).count() == 0
+
+
+def test_tasks_follow_the_lattice(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    assert t.tasks == spark.sparkContext.defaultParallelism
+    t.grid = Grid(0.0, 0.0, 3.0, 75_000, 120)
+    few = t.tasks
+    t.grid = Grid(0.0, 0.0, 3.0, 450_000, 120)
+    assert few >= 100 and t.tasks >= 6 * few - 6
+    tiles = focal.to_tiles(snapshot(spark, [(1, 0, 0, 0, 4)]), ["run_id", "step"], tasks=3)
+    assert tiles.rdd.getNumPartitions() == 3
