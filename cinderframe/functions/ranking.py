@@ -60,13 +60,15 @@ def ordinal(
     *,
     name: str = "rank",
     total: str | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Exact ``row_number`` (from 1) per ``keys``, ordered by ``levels`` and then ``tail``.
 
-    ``total`` names a column for the size of the row's group.
+    ``total`` names a column for the size of the row's group. ``counted`` are the same rows before a
+    shuffle that ``df`` has behind it, to count the buckets from.
     """
     bucket = [*keys, *levels]
-    counts = df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__n"))
+    counts = (df if counted is None else counted).groupBy(*bucket).agg(F.count(F.lit(1)).alias("__n"))
     offsets = running_sums(counts, keys, levels, ["__n"], totals=total is not None).drop("__n")
     if total:
         offsets = offsets.withColumnRenamed("__n_total", total)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cinderframe.functions.columns import hash_key, hash_unit
 from cinderframe.functions.joins import join_metadata
-from cinderframe.functions.ranking import hash_ordinal
+from cinderframe.functions.ranking import hash_levels, ordinal
 from cinderframe.session import written
 
 
@@ -90,9 +90,17 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def _ranked(df: DataFrame, label: str, seed: int, ids: Sequence[str]) -> DataFrame:
-    """Add the rank in hash order within the class and the size of the class."""
-    hashed = df.withColumn("__hash", hash_key(seed, *ids))
-    return hash_ordinal(hashed, [label], "__hash", ids, name="__rank", total="__size").drop("__hash")
+    """Add the rank in hash order within the class and the size of the class.
+
+    Rows are shuffled with a prefix of their hash alone; the hash itself, which no compression shrinks, is
+    drawn again behind the shuffle.
+    """
+    levels = hash_levels("__hash")
+    last = list(levels)[-1]
+    placed = df.withColumns({name: F.substring(hash_key(seed, *ids), 1, int(name[3:])) for name in levels})
+    dealt = placed.drop(*[name for name in levels if name != last]).repartition(label, last).withColumn("__hash", hash_key(seed, *ids))
+    dealt = dealt.withColumns({name: level for name, level in levels.items() if name != last})
+    return ordinal(dealt, [label], list(levels), ["__hash", *ids], name="__rank", total="__size", counted=placed).drop("__hash", *levels)
 
 
 def stratified_split(df: DataFrame, label: str, ids: Sequence[str], *, test: float = 0.2, seed: int = 42) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cinderframe.functions.ranking import hash_ordinal, ordinal, running_sums, unit_levels
-from cinderframe.operators import learning, probability, profile, sampling, scoring, transitions
+from cinderframe.operators import learning, probability, profile, sampling, scoring, transitions, trials
 from cinderframe.operators.learning import Recipe
 from cinderframe.session import scratch_root, written
 from cinderframe.sources import fingerprint, runlog, tables, wind
@@ -412,3 +412,30 @@ def test_feature_contract(spark):
         features.feature_vectors(good.select(*reversed(good.columns)), "9")
     with pytest.raises(Exception, match="absent or non-finite feature at 1, 1, 1, 1"):
         features.feature_vectors(good.withColumn("wind_sin", F.lit(float("nan"))), "9").collect()
+
+
+def test_fits_and_metrics_of_counted_rows_equal_those_of_all_rows(spark, learnable):
+    names = ["a", "b", "d"]
+    df, _, _ = learnable
+    rows = df.withColumns({n: F.round(n, 0) for n in names})
+    rows = rows.unionByName(rows.filter("ignited = 1"))
+    counted = trials.count_equal(rows, [*names, "ignited", "fold"])
+    assert counted.count() < rows.count() == counted.agg(F.sum("n_rows")).head()[0]
+    recipes = learning.random_trials(3, seed=2)
+    assert learning.search(counted, names, recipes, folds=3, count="n_rows") == learning.search(rows, names, recipes, folds=3)
+    fits = [learning.fit_linear(*x, {"l2": Recipe()}, **k)["l2"] for x, k in (((rows, names), {}), ((counted, names), {"count": "n_rows"}))]
+    assert fits[0] == fits[1]
+    want = learning.evaluate(fits[0].predict(rows, ["ignited"]), also=0.5)
+    assert learning.evaluate(fits[1].predict(counted, ["ignited", "n_rows"]), also=0.5, count="n_rows") == pytest.approx(want, abs=1e-12)
+
+
+def test_folds_shuffle_no_hash(spark):
+    """Folds follow the hash order in each class; rows are shuffled with a prefix of the hash only."""
+    rows = spark.range(3000, numPartitions=3).selectExpr("id", "cast(id % 7 = 0 as int) y")
+    folded = sampling.stratified_folds(rows, "y", ["id"], k=5)
+    order = Window.partitionBy("y").orderBy(F.md5(F.concat_ws("|", F.lit("42"), F.col("id").cast("string"))), "id")
+    want = rows.withColumn("fold", ((F.row_number().over(order) - 1) % 5).cast("int"))
+    assert folded.select("id", "y", "fold").exceptAll(want).count() == 0 and folded.count() == 3000
+    lines = folded._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "RepartitionByExpression" in line)
+    assert "__hash" in "".join(lines[:at]) and "__hash" not in "".join(lines[at : at + 2])
