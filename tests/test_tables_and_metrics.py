@@ -439,3 +439,15 @@ def test_folds_shuffle_no_hash(spark):
     lines = folded._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = next(i for i, line in enumerate(lines) if "RepartitionByExpression" in line)
     assert "__hash" in "".join(lines[:at]) and "__hash" not in "".join(lines[at : at + 2])
+
+
+def test_logistic_fits_distinct_rows(spark, learnable, monkeypatch):
+    """Twice the rows are the same fit at half the strength, over the same distinct rows."""
+    df, _, _ = learnable
+    rows = df.withColumns({n: F.round(n, 0) for n in ("a", "b", "d")}).drop("fold")
+    seen, count_equal = [], trials.count_equal
+    monkeypatch.setattr(trials, "count_equal", lambda *a: seen.append(count_equal(*a)) or seen[-1])
+    once = learning.fit_logistic(rows, ["a", "b", "d"], Recipe(C=1.0)).stages[-1].coefficients.toArray()
+    twice = learning.fit_logistic(rows.unionByName(rows), ["a", "b", "d"], Recipe(C=0.5)).stages[-1].coefficients.toArray()
+    assert once == pytest.approx(twice, abs=1e-5)
+    assert [x.count() for x in seen] == [rows.select("a", "b", "d", "ignited").distinct().count()] * 2
