@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cinderframe.functions.grid import Grid
 from cinderframe.functions.joins import fits_broadcast, inline_table, join_metadata
-from cinderframe.operators import baselines, cells, digest, domains, focal, geometry, morphology, profile, transitions
+from cinderframe.operators import baselines, cells, digest, domains, features, focal, geometry, morphology, profile, transitions
 from cinderframe.plans.fixtures import Tables
 from cinderframe.sources import layers
 
@@ -323,3 +323,21 @@ def test_tasks_follow_the_lattice(spark, sf_dir):
     assert few >= 100 and t.tasks >= 6 * few - 6
     tiles = focal.to_tiles(snapshot(spark, [(1, 0, 0, 0, 4)]), ["run_id", "step"], tasks=3)
     assert tiles.rdd.getNumPartitions() == 3
+
+
+def test_joins_of_the_step_take_the_number_of_tasks_they_are_given(spark, sf_dir):
+    """Not the session's 4 shuffle partitions, however many rows there are: scores with masks, labels with cells."""
+    snaps = snapshot(spark, [(1, s, r, c, 4 if (r + s) % 3 == 0 else 2) for s in range(3) for r in range(40) for c in range(40)])
+    w, few = winds(spark, 10.0, 90.0), "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(few)
+    spark.conf.set(few, "-1")
+    try:
+        env = snaps.filter("step = 0").selectExpr("r", "c", "0.5D slope_risk", "0.5D proximity_risk", "1.0D building_presence", "0.5D material_risk")
+        plain = transitions.label_transitions(snaps, w, Grid(0, 120, 3, 40, 40))
+        dealt = transitions.label_transitions(snaps, w, Grid(0, 120, 3, 40, 40), tasks=11)
+        counts = transitions.susceptible_cells(snaps, focal.neighbour_counts(snaps, tasks=11), tasks=11)
+        rows = features.assemble(dealt, env, w, tasks=11)
+        assert [x.rdd.getNumPartitions() for x in (dealt, counts, rows)] == [11, 11, 11]
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect())) and rows.count() == plain.count() > 0
+    finally:
+        spark.conf.set(few, held)
