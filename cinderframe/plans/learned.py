@@ -37,10 +37,11 @@ def split(t: Tables, schema: str = "B") -> tuple[DataFrame, DataFrame]:
     """Written training table, split 80/20 by class.
 
     The fits read it many times; a table in the shared folder survives lost
-    executors and is not derived again.
+    executors and is not derived again. ``part`` is a column of it: to write a folder each, a task would
+    sort all rows of its file split, which is much more than its bytes.
     """
     rows = sampling.stratified_split(t.training_table(schema), TARGET, IDS)
-    table = written(rows, f"learning-{schema}", partition_by=("part",))
+    table = written(rows, f"learning-{schema}")
     return table.filter("part = 'train'"), table.filter("part = 'test'")
 
 

@@ -1,6 +1,7 @@
 """Ranks, metrics, splits, sources and learning against brute force and golden values."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -451,3 +452,19 @@ def test_logistic_fits_distinct_rows(spark, learnable, monkeypatch):
     twice = learning.fit_logistic(rows.unionByName(rows), ["a", "b", "d"], Recipe(C=0.5)).stages[-1].coefficients.toArray()
     assert once == pytest.approx(twice, abs=1e-5)
     assert [x.count() for x in seen] == [rows.select("a", "b", "d", "ignited").distinct().count()] * 2
+
+
+def test_the_split_is_written_without_a_sort_by_part(spark, sf_dir):
+    """A folder for each part made every task sort its whole file split; the rows are those of the training table."""
+    from cinderframe.plans import learned
+    from cinderframe.plans.fixtures import Tables
+
+    t = Tables(spark, sf_dir)
+    train, test = learned.split(t)
+    assert train.inputFiles() and not [f for f in train.inputFiles() if "/part=" in f]
+    keys = ["run_id", "step", "r", "c"]
+    both = train.unionByName(test)
+    assert both.count() == both.select(keys).distinct().count() == t.labels_table.count()
+    for label in (0, 1):
+        n, held = both.filter(f"ignited = {label}").count(), test.filter(f"ignited = {label}").count()
+        assert held == math.floor(0.2 * n + 0.5)
