@@ -28,7 +28,7 @@ def under_sampling(t: Tables):
     select (n - 1) // 10000 chunk, count(*) "rows", cast(sum(ignited) as bigint) positives
     from (select ignited, row_number() over (order by run_id, step, r, c) n from training) group by 1"""))
 def positives_per_chunk(t: Tables):
-    return profile.positives_per_chunk(t.training_table(), "ignited", ["run_id", "step", "r"], ["c"], 10_000)
+    return profile.positives_per_chunk(t.labels_table, "ignited", ["run_id", "step", "r"], ["c"], 10_000)
 
 
 @query("d3_class_means", with_fixtures("training", "select feature, round(m0, 6) mean_0, round(m1, 6) mean_1, round(m1 - m0, 6) difference from (" + " union all ".join(

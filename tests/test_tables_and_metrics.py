@@ -468,3 +468,21 @@ def test_the_split_is_written_without_a_sort_by_part(spark, sf_dir):
     for label in (0, 1):
         n, held = both.filter(f"ignited = {label}").count(), test.filter(f"ignited = {label}").count()
         assert held == math.floor(0.2 * n + 0.5)
+
+
+def test_chunks_rank_only_the_rows_of_buckets_that_a_block_cuts(spark, monkeypatch):
+    """Buckets of 0 to 40 rows against blocks of 1, 7, 64 and 10,000, next to the rank of every row."""
+    rng = random.Random(5)
+    rows = [(a, b, c, rng.choice([0, 0, 1])) for a in range(3) for b in range(9) for c in rng.sample(range(60), rng.randrange(41))]
+    df = written(spark.createDataFrame(rows, "a int, b int, c int, y int"), "chunk-rows")
+    joined, real = [], profile.join_metadata
+    monkeypatch.setattr(profile, "join_metadata", lambda big, small, on: joined.append(small.count()) or real(big, small, on))
+    for chunk in (1, 7, 64, 10_000):
+        want = {}
+        for i, row in enumerate(sorted(rows)):
+            n, y = want.get(i // chunk, (0, 0))
+            want[i // chunk] = n + 1, y + row[3]
+        got = profile.positives_per_chunk(df, "y", ["a", "b"], ["c"], chunk).collect()
+        assert len(got) == len(want) and {r["chunk"]: (r["rows"], r["positives"]) for r in got} == want
+    assert joined[-1] == 0 and joined[-2] <= len(rows) // 64
+    assert profile.positives_per_chunk(df.filter("false"), "y", ["a", "b"], ["c"], 7).collect() == []
