@@ -61,17 +61,21 @@ def ordinal(
     name: str = "rank",
     total: str | None = None,
     counted: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Exact ``row_number`` (from 1) per ``keys``, ordered by ``levels`` and then ``tail``.
 
     ``total`` names a column for the size of the row's group. ``counted`` are the same rows before a
-    shuffle that ``df`` has behind it, to count the buckets from.
+    shuffle that ``df`` has behind it, to count the buckets from. If that shuffle dealt them by all of ``keys`` and
+    ``levels`` to ``tasks`` tasks, the join with the buckets' places keeps them there.
     """
     bucket = [*keys, *levels]
     counts = (df if counted is None else counted).groupBy(*bucket).agg(F.count(F.lit(1)).alias("__n"))
     offsets = running_sums(counts, keys, levels, ["__n"], totals=total is not None).drop("__n")
     if total:
         offsets = offsets.withColumnRenamed("__n_total", total)
+    if tasks:
+        offsets = offsets.repartition(tasks, *bucket)
     window = Window.partitionBy(*bucket).orderBy(*tail)
     ranked = df.withColumn("__own", F.row_number().over(window)).join(offsets, bucket)
     return ranked.withColumn(name, F.col("__own") + F.col("__n_before")).drop("__own", "__n_before")

@@ -89,18 +89,17 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("class_rows"))
 
 
-def _ranked(df: DataFrame, label: str, seed: int, ids: Sequence[str]) -> DataFrame:
+def _ranked(df: DataFrame, label: str, seed: int, ids: Sequence[str], tasks: int | None = None) -> DataFrame:
     """Add the rank in hash order within the class and the size of the class.
 
-    Rows are shuffled with a prefix of their hash alone; the hash itself, which no compression shrinks, is
-    drawn again behind the shuffle.
+    Rows are shuffled with prefixes of their hash alone; the hash itself, which no compression shrinks, is
+    drawn again behind the shuffle. A task sorts its share of the rows: ``tasks``, which should follow their number, bounds
+    that; they are dealt by all levels, so that the join with the buckets' places does not deal them again.
     """
     levels = hash_levels("__hash")
-    last = list(levels)[-1]
     placed = df.withColumns({name: F.substring(hash_key(seed, *ids), 1, int(name[3:])) for name in levels})
-    dealt = placed.drop(*[name for name in levels if name != last]).repartition(label, last).withColumn("__hash", hash_key(seed, *ids))
-    dealt = dealt.withColumns({name: level for name, level in levels.items() if name != last})
-    return ordinal(dealt, [label], list(levels), ["__hash", *ids], name="__rank", total="__size", counted=placed).drop("__hash", *levels)
+    dealt = placed.repartition(*([tasks] if tasks else []), label, *levels).withColumn("__hash", hash_key(seed, *ids))
+    return ordinal(dealt, [label], list(levels), ["__hash", *ids], name="__rank", total="__size", counted=placed, tasks=tasks).drop("__hash", *levels)
 
 
 def stratified_split(df: DataFrame, label: str, ids: Sequence[str], *, test: float = 0.2, seed: int = 42) -> DataFrame:
@@ -116,10 +115,10 @@ def stratified_split(df: DataFrame, label: str, ids: Sequence[str], *, test: flo
     return placed.withColumn("part", F.when(in_test, "test").otherwise("train")).drop("__hash", "cut").select(*df.columns, "part")
 
 
-def stratified_folds(df: DataFrame, label: str, ids: Sequence[str], *, k: int = 5, seed: int = 42) -> DataFrame:
-    """Add ``fold`` 0..k-1, balanced within each class."""
+def stratified_folds(df: DataFrame, label: str, ids: Sequence[str], *, k: int = 5, seed: int = 42, tasks: int | None = None) -> DataFrame:
+    """Add ``fold`` 0..k-1, balanced within each class. ``tasks``, which should follow the rows, bounds what a task sorts."""
     fold = ((F.col("__rank") - 1) % k).cast("int")
-    return _ranked(df, label, seed, ids).withColumn("fold", fold).drop("__rank", "__size")
+    return _ranked(df, label, seed, ids, tasks).withColumn("fold", fold).drop("__rank", "__size")
 
 
 def under_sample(df: DataFrame, label: str, ids: Sequence[str], *, ratio: int = 10, seed: int = 42) -> DataFrame:

@@ -44,7 +44,7 @@ def stratified_split(t: Tables):
     select run_id, step, r, c, ignited,
       cast((row_number() over (partition by ignited order by {IDS_HASH}, run_id, step, r, c) - 1) % 5 as int) fold from training"""))
 def stratified_folds(t: Tables):
-    return sampling.stratified_folds(t.labels_table, "ignited", IDS, k=5)
+    return sampling.stratified_folds(t.labels_table, "ignited", IDS, k=5, tasks=t.tasks)
 
 
 FEATURES = ("slope_risk", "proximity_risk", "building_presence", "material_risk", "neighbor_burning_count", "composite_flammability", "wind_weighted_score")

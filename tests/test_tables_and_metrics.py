@@ -486,3 +486,16 @@ def test_chunks_rank_only_the_rows_of_buckets_that_a_block_cuts(spark, monkeypat
         assert len(got) == len(want) and {r["chunk"]: (r["rows"], r["positives"]) for r in got} == want
     assert joined[-1] == 0 and joined[-2] <= len(rows) // 64
     assert profile.positives_per_chunk(df.filter("false"), "y", ["a", "b"], ["c"], 7).collect() == []
+
+
+def test_folds_are_dealt_to_the_tasks_they_are_given(spark, hot):
+    """To 11 tasks and not to the session's 4 shuffle partitions, and the join with the places keeps them there; the folds are the same."""
+    few = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(few)
+    spark.conf.set(few, "-1")
+    try:
+        dealt = sampling.stratified_folds(hot, "y", ["id"], tasks=11)
+        assert dealt.rdd.getNumPartitions() == 11
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, sampling.stratified_folds(hot, "y", ["id"]).collect()))
+    finally:
+        spark.conf.set(few, held)
