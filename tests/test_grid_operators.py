@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from dataclasses import replace
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from cinderframe.functions.grid import Grid
 from cinderframe.functions.joins import fits_broadcast, inline_table, join_metadata
 from cinderframe.operators import baselines, cells, digest, domains, features, focal, geometry, morphology, profile, transitions
+from cinderframe.plans import fixtures
 from cinderframe.plans.fixtures import Tables
 from cinderframe.sources import layers
 
@@ -341,3 +343,23 @@ def test_joins_of_the_step_take_the_number_of_tasks_they_are_given(spark, sf_dir
         assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect())) and rows.count() == plain.count() > 0
     finally:
         spark.conf.set(few, held)
+
+
+def test_training_rows_are_dealt_by_the_lattice_alone(spark, sf_dir, monkeypatch):
+    """No exchange of cells on the way to the training rows takes the session's 4 shuffle partitions: what a task holds follows ``Tables.tasks``."""
+    few = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(few)
+    plain = sorted((r["run_id"], r["step"], r["r"], r["c"], r["ignited"]) for r in Tables(spark, sf_dir).training().collect())
+    spark.conf.set(few, "-1")
+    try:
+        cell_runs = Tables(spark, sf_dir).grid.height * fixtures.WIDTH * len(fixtures.SEEDS)
+        monkeypatch.setattr(fixtures, "CELL_RUNS_A_TASK", -(-cell_runs // 11))
+        t = Tables(spark, sf_dir)
+        rows = t.training()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"Exchange hashpartitioning\((.*), (\d+)\)", plan)
+        others = [re.sub(r"#\w+", "", keys) for keys, n in dealt if n != "11"]
+        assert t.tasks == 11 and len(dealt) >= 10 and others == ["run_id, step"]  # the run log: a row a run and step, whatever the tables
+        assert sorted((r["run_id"], r["step"], r["r"], r["c"], r["ignited"]) for r in rows.collect()) == plain
+    finally:
+        spark.conf.set(few, held)
