@@ -228,7 +228,7 @@ def layer_values(t: Tables):
     select wind_speed, count(*) "rows", cast(sum(ignited) as bigint) positives, round(avg(ignited), 6) positive_rate,
       round(count(*) / sum(count(*)) over (), 6) share_of_rows from training group by 1"""))
 def dataset_summary(t: Tables):
-    per_wind = profile.class_balance(t.training(), "ignited", ["wind_speed"])
+    per_wind = profile.class_balance(t.training_rows(), "ignited", ["wind_speed"])
     total = F.sum("rows").over(Window.partitionBy(F.lit(0)))  # one row per wind speed of a run
     return rounded(per_wind.withColumn("share_of_rows", F.col("rows") / total), "positive_rate", "share_of_rows")
 
@@ -354,7 +354,7 @@ def sensitivity_band(t: Tables):
       when 'custom' then case when ignited = 1 then 7.5 else 1 end else 1 end, 6) weight
     from (select ignited, count(*) n from training group by 1) cross join (values ('balanced'), ('custom'), ('none')) s(strategy)"""))
 def class_weights(t: Tables):
-    return rounded(sampling.class_weights(t.training(), "ignited", 7.5), "weight")
+    return rounded(sampling.class_weights(t.training_rows(), "ignited", 7.5), "weight")
 
 
 @query("a26_domain_inventory", with_fixtures("domains masked", f"""

@@ -34,7 +34,7 @@ def positives_per_chunk(t: Tables):
 @query("d3_class_means", with_fixtures("training", "select feature, round(m0, 6) mean_0, round(m1, 6) mean_1, round(m1 - m0, 6) difference from (" + " union all ".join(
     f"select '{f}' feature, avg({f}) filter (where ignited = 0) m0, avg({f}) filter (where ignited = 1) m1 from training" for f in FEATURES) + ")"))
 def class_means(t: Tables):
-    return rounded(profile.class_means(t.training(), FEATURES, "ignited"), "mean_0", "mean_1", "difference")
+    return rounded(profile.class_means(t.training_rows(), FEATURES, "ignited"), "mean_0", "mean_1", "difference")
 
 
 DISCRETE = ("slope_risk", "proximity_risk", "building_presence", "material_risk", "neighbor_burning_count", "composite_flammability")
@@ -43,7 +43,7 @@ DISCRETE = ("slope_risk", "proximity_risk", "building_presence", "material_risk"
 @query("d4_positive_distributions", with_fixtures("training", "select feature, round(v, 6) as value, count(*) cells from (" + " union all ".join(
     f"select '{f}' feature, {f} v from training where ignited = 1" for f in DISCRETE) + ") group by 1, 2"))
 def positive_distributions(t: Tables):
-    positives = t.training().filter("ignited = 1")
+    positives = t.training_rows().filter("ignited = 1")
     return rounded(profile.value_counts(rounded(positives, *DISCRETE), DISCRETE), "value")
 
 
@@ -55,7 +55,7 @@ PROFILED = ("run_id", "step", "slope_risk", "proximity_risk", "building_presence
     "noted as (select *, case when ignited = 1 then step end flag from training)"))
 def column_profile(t: Tables):
     """Types, distinct values and nulls of the training columns and of one with gaps."""
-    rows = t.training().withColumn("flag", F.when(F.col("ignited") == 1, F.col("step")))
+    rows = t.training_rows().withColumn("flag", F.when(F.col("ignited") == 1, F.col("step")))
     return profile.column_profile(rows.withColumn("wind_weighted_score", F.round("wind_weighted_score", 8)), PROFILED)
 
 

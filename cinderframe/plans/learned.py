@@ -239,7 +239,7 @@ def train_on_role(t: Tables):
     """Fit on the train role, probability metrics on the validation role."""
     slot = (F.col("r") * 120 + F.col("c")) % 10
     role = F.when(slot < 6, "train").when(slot < 8, "validation").otherwise("calibration")
-    path = tables.write_training(t.training("C").withColumn("role", role), scratch_path(t.spark, "roles"), partition_by=["role"])
+    path = tables.write_training(t.training_rows("C").withColumn("role", role), scratch_path(t.spark, "roles"), partition_by=["role"])
     train, held_out = tables.read_role(t.spark, path, "train"), tables.read_role(t.spark, path, "validation")
     models = learning.fit_linear(train, features.SCHEMA_C, {n: Recipe(class_weight=n) for n in ("balanced", "none")})
     scored = union([m.predict(held_out, [TARGET]).withColumn("variant", F.lit(name)) for name, m in models.items()])

@@ -363,3 +363,52 @@ def test_training_rows_are_dealt_by_the_lattice_alone(spark, sf_dir, monkeypatch
         assert sorted((r["run_id"], r["step"], r["r"], r["c"], r["ignited"]) for r in rows.collect()) == plain
     finally:
         spark.conf.set(few, held)
+
+
+def test_histories_give_the_labels_of_snapshots(spark):
+    """Random states over tiles and signs, one run in two spans of steps: the rows, scores and labels of the snapshots' way."""
+    rng, last = random.Random(7), 4
+    states = {(run, step, r, c): rng.choice([1, 2, 2, 2, 3, 4, 5]) for run in (1, 2) for step in range(last + 1) for r in (*range(-2, 4), 31, 32, 33) for c in (*range(-3, 3), *range(29, 36), 63, 64)}
+    snapshots = spark.createDataFrame([(*k, s) for k, s in states.items()], "run_id int, step int, r int, c int, state int")
+    w = spark.createDataFrame([(1, 12.0, 90.0), (2, 0.0, 0.0)], "run_id int, speed_kmh double, direction_deg double")
+
+    def masks(run, r, c, first, steps):
+        at = {s: states[run, s, r, c] for s in range(last + 1)}
+        bits = lambda holds: sum(1 << (s - first) for s in steps if holds(s))
+        return run, first, bits(lambda s: at[s] == 2 and s < last), bits(lambda s: at.get(s + 1) == 3), bits(lambda s: at[s] == 4)
+
+    spans = [(1, 0, range(5)), (2, 0, range(2)), (2, 2, range(2, 5))]
+    rows = [(r, c, float(r * 100 + c), [masks(run, r, c, first, steps) for run, first, steps in spans]) for r, c in sorted({k[2:] for k in states})]
+    cells = spark.createDataFrame(rows, "r int, c int, risk double, runs array<struct<run_id: int, first: int, unburnt: long, ignitions: long, blazing: long>>")
+    for grid in (None, Grid(0, 96, 3, 32, 64)):
+        found = transitions.label_histories(cells, F.col("runs"), w, grid, carry=["risk"], tasks=5)
+        got = {tuple(x)[:4]: x for x in found.collect()}
+        want = transitions.label_transitions(snapshots, w, grid).collect()
+        assert len(want) == len(got) == found.count() > 100
+        for x in want:
+            y = got[x["run_id"], x["step"], x["r"], x["c"]]
+            assert (x["neighbor_burning_count"], x["ignited"], x["r"] * 100 + x["c"]) == (y["neighbor_burning_count"], y["ignited"], y["risk"])
+            assert x["wind_weighted_score"] == pytest.approx(y["wind_weighted_score"], abs=1e-12)
+    assert transitions.label_histories(cells.filter("false"), F.col("runs"), w).collect() == []
+
+
+def test_training_rows_shuffle_cells_and_no_rows(spark, sf_dir, monkeypatch):
+    """Exchanges deal orders, line items and cells; none deals a row per run and step. The rows are those of the snapshots' way."""
+    few = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(few)
+    near = lambda df: df.withColumn("wind_weighted_score", F.round("wind_weighted_score", 9))
+    for schema in ("B", "C"):
+        t = Tables(spark, sf_dir)
+        rows, plain = near(t.training_rows(schema)), near(t.training(schema))
+        assert rows.dtypes == plain.dtypes and rows.count() == plain.count() > 0
+        assert rows.exceptAll(plain).count() == plain.exceptAll(rows).count() == 0
+    spark.conf.set(few, "-1")
+    try:
+        cell_runs = Tables(spark, sf_dir).grid.height * fixtures.WIDTH * len(fixtures.SEEDS)
+        monkeypatch.setattr(fixtures, "CELL_RUNS_A_TASK", -(-cell_runs // 11))
+        rows = Tables(spark, sf_dir).training_rows()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        dealt = [(re.sub(r"#\w+", "", keys), n) for keys, n in re.findall(r"Exchange hashpartitioning\((.*), (\d+)\)", plan)]
+        assert sorted(dealt) == [("l_orderkey", "11"), ("l_orderkey", "11"), ("tile_r, tile_c", "11")]
+    finally:
+        spark.conf.set(few, held)
