@@ -89,14 +89,14 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("class_rows"))
 
 
-def _ranked(df: DataFrame, label: str, seed: int, ids: Sequence[str], tasks: int | None = None) -> DataFrame:
+def _ranked(df: DataFrame, label: str, seed: int, ids: Sequence[str | Column], tasks: int | None = None) -> DataFrame:
     """Add the rank in hash order within the class and the size of the class.
 
-    Rows are shuffled with prefixes of their hash alone; the hash itself, which no compression shrinks, is
+    Rows are shuffled with a prefix of their hash alone (65,536 totals per class); the hash itself, which no compression shrinks, is
     drawn again behind the shuffle. A task sorts its share of the rows: ``tasks``, which should follow their number, bounds
-    that; they are dealt by all levels, so that the join with the buckets' places does not deal them again.
+    that; they are dealt by class and prefix, so that the join with the buckets' places does not deal them again.
     """
-    levels = hash_levels("__hash")
+    levels = hash_levels("__hash", (PREFIX,))
     placed = df.withColumns({name: F.substring(hash_key(seed, *ids), 1, int(name[3:])) for name in levels})
     dealt = placed.repartition(*([tasks] if tasks else []), label, *levels).withColumn("__hash", hash_key(seed, *ids))
     return ordinal(dealt, [label], list(levels), ["__hash", *ids], name="__rank", total="__size", counted=placed, tasks=tasks).drop("__hash", *levels)
@@ -106,7 +106,7 @@ def stratified_split(df: DataFrame, label: str, ids: Sequence[str], *, test: flo
     """Add ``part`` (train or test) with the same share of each class.
 
     A row compares itself with the cut of its class, so no row is shuffled. ``df`` is
-    read three times and should be a written table.
+    read twice here and by every read of the result, and should be a written table.
     """
     hashed = df.withColumn("__hash", hash_key(seed, *ids))
     cuts = hash_cuts(hashed.select(label, "__hash", *ids), [label], ["__hash", *ids], F.round(F.col("total") * F.lit(test)))
@@ -115,8 +115,11 @@ def stratified_split(df: DataFrame, label: str, ids: Sequence[str], *, test: flo
     return placed.withColumn("part", F.when(in_test, "test").otherwise("train")).drop("__hash", "cut").select(*df.columns, "part")
 
 
-def stratified_folds(df: DataFrame, label: str, ids: Sequence[str], *, k: int = 5, seed: int = 42, tasks: int | None = None) -> DataFrame:
-    """Add ``fold`` 0..k-1, balanced within each class. ``tasks``, which should follow the rows, bounds what a task sorts."""
+def stratified_folds(df: DataFrame, label: str, ids: Sequence[str | Column], *, k: int = 5, seed: int = 42, tasks: int | None = None) -> DataFrame:
+    """Add ``fold`` 0..k-1, balanced within each class. ``tasks``, which should follow the rows, bounds what a task sorts.
+
+    ``ids`` are columns or are computed from columns. The rows are shuffled whole: give few and narrow columns where there are many.
+    """
     fold = ((F.col("__rank") - 1) % k).cast("int")
     return _ranked(df, label, seed, ids, tasks).withColumn("fold", fold).drop("__rank", "__size")
 

@@ -16,11 +16,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderframe.functions.shipping import by_value
 from cinderframe.operators.probability import CUTOFFS
+from cinderframe.operators.sampling import stratified_folds
 from cinderframe.session import written
 
 by_value(__name__)
@@ -28,6 +29,7 @@ by_value(__name__)
 ROWS = 4096
 MOST_BUCKETS = 4096
 FAN = 32
+SALTS = 4
 
 
 @dataclass
@@ -83,6 +85,29 @@ def count_equal(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return written(rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows")), "equal-rows")
 
 
+def count_in_folds(
+    rows: DataFrame, names: Sequence[str], label: str, key: Column, ids: Sequence[Column], *, folds: int, tasks: int | None = None
+) -> DataFrame:
+    """Distinct values of the features ``names``, ``label`` and ``fold`` with their number of rows ``n_rows``, as a written table.
+
+    Folds are those of ``sampling.stratified_folds`` by ``ids``, which are computed from the one column that ``key`` makes of a row, named ``__key``.
+    Their shuffle holds every row. Where features repeat, a row goes through it with a hash in place of its features: the distinct features are counted
+    first, and a hash that two of them share is not used. Where less than seven rows of eight repeat others, or every hash is shared, rows keep their features.
+    """
+    names = list(names)
+    for salt in range(SALTS):
+        code = F.xxhash64(F.lit(salt), *names, *[F.col(n).isNull() for n in names]).alias("__code")
+        seen = written(rows.groupBy(code, *names).agg(F.count(F.lit(1)).alias("__n")), "distinct-rows")
+        distinct, codes, total = seen.agg(F.count(F.lit(1)), F.countDistinct("__code"), F.coalesce(F.sum("__n"), F.lit(0))).first()
+        if distinct * 8 > total:
+            break
+        if distinct == codes:
+            folded = stratified_folds(rows.select(key.alias("__key"), label, code), label, ids, k=folds, tasks=tasks)
+            counted = folded.groupBy("__code", label, "fold").agg(F.count(F.lit(1)).alias("n_rows"))
+            return written(counted.join(seen.drop("__n"), "__code").select(*names, label, "fold", "n_rows"), "equal-rows")
+    return count_equal(stratified_folds(rows.select(key.alias("__key"), label, *names), label, ids, k=folds, tasks=tasks), [*names, label, "fold"])
+
+
 def pack(folded: DataFrame, features: Sequence[str], label: str, count: str | None = None) -> Packed:
     """The counted rows of ``folded`` (features, label, ``fold``) as a written table of buckets.
 

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from cinderframe.operators import domains, features, forest, learning, probability, sampling
 from cinderframe.operators.learning import Recipe
-from cinderframe.operators.trials import count_equal
-from cinderframe.plans.fixtures import Tables, with_fixtures
+from cinderframe.operators.trials import count_equal, count_in_folds
+from cinderframe.plans.fixtures import Tables, ids_of, row_key, with_fixtures
 from cinderframe.plans.ranking import IDS
 from cinderframe.plans.registry import query, rounded
-from cinderframe.session import scratch_path, written
+from cinderframe.session import scratch_path
 from cinderframe.sources import tables
 
 # Sizes of the full study.
@@ -37,12 +37,11 @@ def split(t: Tables, schema: str = "B") -> tuple[DataFrame, DataFrame]:
     """Written training table, split 80/20 by class.
 
     The fits read it many times; a table in the shared folder survives lost
-    executors and is not derived again. ``part`` is a column of it: to write a folder each, a task would
-    sort all rows of its file split, which is much more than its bytes.
+    executors and is not derived again. It is written once: ``part`` is not a column of it but follows, at every
+    read, from the row's hash and the written cut of its class.
     """
     rows = sampling.stratified_split(t.training_table(schema), TARGET, IDS)
-    table = written(rows, f"learning-{schema}")
-    return table.filter("part = 'train'"), table.filter("part = 'test'")
+    return rows.filter("part = 'train'"), rows.filter("part = 'test'")
 
 
 def union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -118,8 +117,7 @@ def random_forest(t: Tables):
 
 def in_folds(t: Tables, train: DataFrame, names: Sequence[str]) -> DataFrame:
     """Equal training rows of a fold as one row with their number ``n_rows``: the rows of every fit."""
-    rows = train.select(*IDS, TARGET, *names)
-    return count_equal(sampling.stratified_folds(rows, TARGET, IDS, k=FOLDS, tasks=t.tasks), [*names, TARGET, "fold"])
+    return count_in_folds(train.select(*IDS, TARGET, *names), names, TARGET, row_key(), ids_of("__key"), folds=FOLDS, tasks=t.tasks)
 
 
 def search(folded: DataFrame, names: Sequence[str]) -> list[dict]:
@@ -149,7 +147,8 @@ def final_refit(t: Tables):
     rows = in_folds(t, train, features.SCHEMA_B)
     best = learning.best_trial(search(rows, features.SCHEMA_B))
     model = learning.fit_linear(rows, features.SCHEMA_B, {"best": recipe_of(best)}, count="n_rows")["best"]
-    metrics = learning.evaluate(model.predict(test, [TARGET]))
+    held_out = count_equal(test, [*features.SCHEMA_B, TARGET])
+    metrics = learning.evaluate(model.predict(held_out, [TARGET, "n_rows"]), count="n_rows")
     row = (best["trial"], best["converged_early"], best["cv_f1"], metrics["f1"], metrics["cutoff"], metrics["auc_roc"], learning.gap_class(best["cv_f1"], metrics["f1"]))
     return t.spark.createDataFrame([row], "trial int, converged_early boolean, cv_f1 double, test_f1 double, cutoff double, auc_roc double, gap string")
 

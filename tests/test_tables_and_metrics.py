@@ -511,3 +511,48 @@ def test_training_csv_is_written_compressed(spark, sf_dir):
     rows = spark.range(500).selectExpr("cast(id as int) r", "1 / (id + 3) x", "cast(id % 2 as int) ignited").repartition(3)
     path = tables.write_training(rows, scratch_path(spark, "csv"), fmt="csv")
     assert sorted(map(tuple, tables.read_training_csv(spark, path, rows.schema).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_the_split_writes_the_training_rows_once(spark, sf_dir):
+    """A second copy with the part as its column took as much disk again."""
+    from pathlib import Path
+
+    from cinderframe.plans import learned
+    from cinderframe.plans.fixtures import Tables
+
+    root = Path(scratch_root(spark))
+    before = set(root.iterdir())
+    train, test = learned.split(Tables(spark, sf_dir))
+    rows = train.count() + test.count()
+    sizes = [spark.read.parquet(str(p)).count() for p in set(root.iterdir()) - before if p.name.startswith(("training-", "learning-"))]
+    assert sizes == [rows]
+
+
+def test_folds_are_dealt_without_features_where_these_repeat(spark, monkeypatch):
+    """The counted rows are those of folds dealt with all features: with nulls, both zeros, few repeats, and hashes that meet."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice([0.5, None, -0.0, 0.0]), rng.choice([None, 0.5, 2.0]), i / 7, int(rng.random() < 0.1)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, d double, y int").repartition(5)
+    dealt, real = [], sampling.stratified_folds
+    monkeypatch.setattr(trials, "stratified_folds", lambda held, *a, **k: dealt.append(held.columns) or real(held, *a, **k))
+
+    def check(names):
+        got = trials.count_in_folds(df, names, "y", F.col("id") * 10, [F.expr("__key div 10")], folds=5, tasks=3)
+        want = real(df, "y", ["id"], k=5).groupBy(*names, "y", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
+        assert got.columns == want.columns and got.count() == want.count()
+        assert got.exceptAll(want).count() == 0 and got.agg(F.sum("n_rows")).first()[0] == 4000
+
+    check(["a", "b"])
+    check(["a", "d"])
+    monkeypatch.setattr(trials.F, "xxhash64", lambda *_: F.lit(1).cast("long"))
+    check(["a", "b"])
+    assert dealt == [["__key", "y", "__code"], ["__key", "y", "a", "d"], ["__key", "y", "a", "b"]]
+
+
+def test_the_row_key_gives_back_its_ids(spark, sf_dir):
+    from cinderframe.plans import fixtures, learned
+
+    rows = fixtures.Tables(spark, sf_dir).labels_table
+    back = rows.select(*learned.IDS, fixtures.row_key().alias("k")).select(*learned.IDS, *[c.alias(f"{n}_") for n, c in zip(learned.IDS, fixtures.ids_of("k"))])
+    assert back.select([f"{n}_" for n in learned.IDS]).exceptAll(back.select(*learned.IDS)).count() == 0
+    assert back.filter(" or ".join(f"not {n} <=> {n}_" for n in learned.IDS)).count() == 0 < back.count()
